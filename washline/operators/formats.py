@@ -46,6 +46,13 @@ class TextStats:
     digits: bool = False
 
 
+def _cells(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+    """Cells of the ``wanted`` columns as rows (column number, text)."""
+    pairs = ", ".join(f"{columns.index(c)}, v{columns.index(c)}" for c in wanted)
+    named = df.select(*(quoted(c).alias(f"v{columns.index(c)}") for c in wanted))
+    return named.selectExpr(f"stack({len(wanted)}, {pairs}) as (col, v)")
+
+
 def survey_text(
     df: DataFrame, columns: Sequence[str], present: Callable[[Column], Column] = lambda c: c
 ) -> dict[str, TextSurvey]:
@@ -55,24 +62,23 @@ def survey_text(
     """
     if not columns:
         return {}
-    aggregates = [F.count(F.lit(1))]
-    for name in columns:
-        c = quoted(name)
-        aggregates += [
-            F.count(present(c)),
-            F.coalesce(F.max(parsing.may_parse(c)), F.lit(False)),
-            F.count_if(has_non_ascii(c)),
-            F.approx_count_distinct(c),
-        ]
-    row = df.agg(*(a.alias(f"a{k}") for k, a in enumerate(aggregates))).first()
-    return {c: TextSurvey(row[0], *row[4 * i + 1 : 4 * i + 5]) for i, c in enumerate(columns)}
-
-
-def _cells(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]) -> DataFrame:
-    """Cells of the ``wanted`` columns as rows (column number, text)."""
-    pairs = ", ".join(f"{columns.index(c)}, v{columns.index(c)}" for c in wanted)
-    named = df.select(*(quoted(c).alias(f"v{columns.index(c)}") for c in wanted))
-    return named.selectExpr(f"stack({len(wanted)}, {pairs}) as (col, v)")
+    columns = list(columns)
+    v = F.col("v")
+    found = (
+        _cells(df, columns, columns)
+        .groupBy("col")
+        .agg(
+            F.count(F.lit(1)),
+            F.count(present(v)),
+            F.coalesce(F.max(parsing.may_parse(v)), F.lit(False)),
+            F.count_if(has_non_ascii(v)),
+            F.approx_count_distinct(v),
+        )
+    )
+    survey = {c: TextSurvey() for c in columns}
+    for row in found.collect():  # one row per column
+        survey[columns[row[0]]] = TextSurvey(*row[1:])
+    return survey
 
 
 def text_statistics(

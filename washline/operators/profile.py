@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from washline.functions.columns import as_double, missing_as_null, numeric_colum
 from washline.functions.names import quoted
 from washline.operators.columns import sample_rows
 from washline.operators.missing import present_counts
-from washline.operators.statistics import moments, quantiles
+from washline.operators.statistics import distinct_estimates, moments, quantiles, stacked
 
 # Fixed value: cardinalities above this are not reported.
 SMALL_CARDINALITY = 50
@@ -41,22 +41,28 @@ def small_cardinalities(df: DataFrame) -> dict[str, int]:
     """Different non-missing values of every column that has at most 50 of them.
 
     A sketch screens all columns in one pass; only the few-valued ones are counted exactly,
-    which never holds more than a few hundred values per column.
+    so the distinct (column, value) pairs stay few.
     """
     df = missing_as_null(df)
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, _NESTED)]
     if not names:
         return {}
-    estimates = df.agg(
-        *(F.approx_count_distinct(quoted(c)).alias(f"e{i}") for i, c in enumerate(names))
-    ).first()
-    few = [c for c, estimate in zip(names, estimates) if estimate <= _SCREEN]
+    # A hash stands for the value: the sketch only needs equal values to look equal.
+    hashed = {c: F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c))) for c in names}
+    estimates = distinct_estimates(df, hashed)
+    few = [c for c in names if estimates[c] <= _SCREEN]
     if not few:
         return {}
-    exact = df.agg(
-        *(F.size(F.collect_set(quoted(c))).alias(f"d{i}") for i, c in enumerate(few))
-    ).first()
-    return {c: n for c, n in zip(few, exact) if n <= SMALL_CARDINALITY}
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    texts = {c: _identity(quoted(c), dtypes[c]).cast("string") for c in few}
+    exact = stacked(df, texts).distinct().groupBy("col").count()
+    counts = {**dict.fromkeys(few, 0), **{few[row.col]: row["count"] for row in exact.collect()}}
+    return {c: n for c, n in counts.items() if n <= SMALL_CARDINALITY}
+
+
+def _identity(c: Column, dtype: T.DataType) -> Column:
+    # Adding zero makes 0.0 of -0.0, which is the same number under another name.
+    return c + F.lit(0.0) if isinstance(dtype, (T.FloatType, T.DoubleType)) else c
 
 
 def numeric_statistics(df: DataFrame, *, accuracy: int | None = None) -> dict[str, dict]:

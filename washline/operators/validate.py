@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -221,7 +223,9 @@ def failure_cases(
         "__key", F.lit(None).cast(rows.select(key.alias("k")).schema[0].dataType)
     )
     if hits:
-        found = rows.select(key.alias("__key"), F.explode(F.array(*hits)).alias("hit"))
+        broken = [F.coalesce(r.violated, F.lit(False)) for r in rules if r.violated is not None]
+        failing = rows.where(reduce(or_, broken))
+        found = failing.select(key.alias("__key"), F.explode(F.array(*hits)).alias("hit"))
         cases = cases.unionByName(
             found.where("hit is not null").select("hit.*", "__key")
         )
