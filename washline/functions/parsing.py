@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from washline.functions.names import quoted
 from washline.functions.text import WHITESPACE
 
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` mentions it.
+
+    Spelled out instead, every mention would repeat the whole expression, and a filter on
+    the result, which Spark pushes below projections, would multiply it beyond measure.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # Name fragments that hint at a kind of content.
 DATETIME_HINTS = ("date", "time", "timestamp", "created", "modified", "updated", "dt")
 NUMERIC_HINTS = (
@@ -93,6 +102,7 @@ def _spaced_clock(text: Column) -> Column:
 
 
 def _year_month_day(day: Column) -> Column:
+    """Date text rewritten by the rule of its shape."""
     digits = F.translate(day, "/. ", "---")
     return F.when(day.rlike(r"^[-/. 0-9]+$"), _rewritten(digits, _DIGIT_RULES)).otherwise(
         _rewritten(day, _WORD_RULES)
@@ -101,33 +111,48 @@ def _year_month_day(day: Column) -> Column:
 
 def _date(ymd: Column) -> Column:
     """DATE from year-month-day text, where the month may be a name or a quarter."""
-    plain = F.translate(ymd, "~", "-")
-    year, month, day = (F.split_part(plain, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
-    # Two-digit years follow the POSIX rule: 69-99 are 1969-1999, 00-68 are 2000-2068.
-    century = F.when(F.length(year) > 2, "").when(year >= "69", "19").otherwise("20")
-    position = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(month, 1, 3))
-    number = (
-        F.when(month.rlike(r"^\d"), month)
-        .when(month.startswith("q"), F.instr(F.lit("1..2..3..4"), F.substring(month, 2, 1)))
-        .otherwise(((position + 2) / 3).cast("int"))
-        .cast("string")
-    )
-    full_year = F.concat(century, year)
-    month_first = F.concat_ws("-", full_year, number, day).try_cast("date")
-    day_first = F.concat_ws("-", full_year, day, number).try_cast("date")
-    loose = F.coalesce(month_first, F.when(ymd.contains("~"), day_first))
-    return F.when(ymd.rlike("[~a-z]"), loose).otherwise(ymd.try_cast("date"))
 
+    def named(month: Column) -> Column:
+        position = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(month, 1, 3))
+        return (
+            F.when(month.rlike(r"^\d"), month)
+            .when(month.startswith("q"), F.instr(F.lit("1..2..3..4"), F.substring(month, 2, 1)))
+            .otherwise(((position + 2) / 3).cast("int"))
+        )
 
-def _clock_text(clock: Column) -> tuple[Column, Column]:
-    """24-hour text and the offset in minutes of a time-of-day tail (NULL if there is none)."""
-    hour, minute, second, half_a, half_b, zone = (
-        F.regexp_extract(clock, _CLOCK, i) for i in range(1, 7)
+    def four_digits(year: Column) -> Column:
+        # Two-digit years follow the POSIX rule: 69-99 are 1969-1999, 00-68 are 2000-2068.
+        century = F.when(F.length(year) > 2, "").when(year >= "69", "19").otherwise("20")
+        return F.concat(century, year)
+
+    def dashed(*parts: Column) -> Column:
+        return F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]).try_cast("date")
+
+    def loose(parts: Column) -> Column:
+        # Text that fits no rule may have fewer than three parts.
+        year, month, day = (F.get(parts, F.lit(i)) for i in range(3))
+        whole = F.struct(
+            _let(year, four_digits).alias("year"), _let(month, named).alias("month"), day.alias("day")
+        )
+        return _let(
+            whole,
+            lambda p: F.coalesce(
+                dashed(p["year"], p["month"], p["day"]),
+                F.when(ymd.contains("~"), dashed(p["year"], p["day"], p["month"])),
+            ),
+        )
+
+    return F.when(ymd.rlike("[~a-z]"), _let(F.split(ymd, "[-~]"), loose)).otherwise(
+        ymd.try_cast("date")
     )
-    half = F.concat(half_a, half_b)
-    hours = hour.try_cast("int")
-    hours = F.when(half == "", hours).when(
-        hours.between(1, 12), hours % 12 + F.when(half == "pm", 12).otherwise(0)
+
+
+def _clock(parts: Column) -> Column:
+    """Struct of 24-hour text and the offset from UTC as an interval."""
+    hour, minute, second, half, zone = (parts[x] for x in ("h", "m", "s", "half", "zone"))
+    number = F.when((half == "") | hour.rlike(r"^0?[1-9]$|^1[0-2]$"), hour).try_cast("int")
+    hours = F.when(half == "", number).otherwise(
+        number % 12 + F.when(half == "pm", 12).otherwise(0)
     )
     text = F.concat_ws(
         ":",
@@ -135,80 +160,61 @@ def _clock_text(clock: Column) -> tuple[Column, Column]:
         F.when(minute == "", "0").otherwise(minute),
         F.when(second == "", "0").otherwise(second),
     )
-    signed = F.when(zone.rlike("^[+-]"), zone)
-    minutes = F.substring(signed, 2, 2).try_cast("int") * 60 + F.substring(
-        signed, -2, 2
-    ).try_cast("int")
-    offset = F.when(signed.startswith("-"), -minutes).otherwise(minutes)
-    return text, F.coalesce(offset, F.lit(0))
-
-
-def _stamp(date: Column, clock: Column) -> Column:
-    time_text, offset = _clock_text(clock)
-    timed = F.concat_ws(" ", date.cast("string"), time_text).try_cast("timestamp_ntz")
-    return F.when(clock.isNull(), date.cast("timestamp_ntz")).otherwise(
-        timed - F.make_dt_interval(mins=offset)
+    shift = F.when(zone.rlike("^[+-]"), zone)
+    minutes = F.substring(shift, 2, 2).try_cast("int") * 60 + F.substring(shift, -2, 2).try_cast(
+        "int"
     )
+    offset = F.coalesce(F.when(shift.startswith("-"), -minutes).otherwise(minutes), F.lit(0))
+    return F.struct(text.alias("text"), F.make_dt_interval(mins=offset).alias("offset"))
+
+
+def _with_clock(date: Column, tail: Column) -> Column:
+    """Timestamp of a date and the time-of-day tail of its cell."""
+    groups = [F.regexp_extract(tail, _CLOCK, i) for i in range(1, 7)]
+    parts = F.struct(
+        groups[0].alias("h"),
+        groups[1].alias("m"),
+        groups[2].alias("s"),
+        F.concat(groups[3], groups[4]).alias("half"),
+        groups[5].alias("zone"),
+    )
+    stamped = _let(
+        _let(parts, _clock),
+        lambda clock: F.concat_ws(" ", date.cast("string"), clock["text"]).try_cast("timestamp_ntz")
+        - clock["offset"],
+    )
+    return F.when(tail == "", date.cast("timestamp_ntz")).otherwise(stamped)
 
 
-def with_datetimes(
-    df: DataFrame, outputs: Mapping[str, str], *, bare_digits: bool = True
-) -> DataFrame:
-    """Add, for each ``output: text column``, the timestamp (no zone) read from the text.
-
-    Any accepted shape counts, other cells give NULL. Numeric dates are read month first,
-    day first where the month would exceed 12. An offset is applied, so results are UTC.
-    ``bare_digits=False`` refuses digits only (``2024``, ``20240105``, ``20240105103000``).
+def parse_datetime(c: Column, *, bare_digits: bool = True) -> Column:
+    """Timestamp (no zone) read from text in any of the accepted shapes, else NULL.
 
-    The work is a chain of projections, so that each intermediate text is computed once,
-    and cells that cannot be a date leave it at the first link.
+    Numeric dates are read month first, day first where the month would exceed 12. An
+    offset is applied, so results are UTC. ``bare_digits=False`` refuses digits only
+    (``2024``, ``20240105``, ``20240105103000``).
     """
-    if not outputs:
-        return df
-    keep = [quoted(c) for c in df.columns]
     first, last = (F.lit(t).cast("timestamp_ntz") for t in (EARLIEST, LATEST))
 
-    def temp(what: str, out: str) -> Column:
-        return quoted(f"__{what} {out}")
+    def candidate(cell: Column) -> Column:
+        # One cheap look settles most cells: an accepted cell is short and starts like a date.
+        fits = (F.length(cell) <= _LONGEST) & cell.rlike(r"[0-9]") & F.lower(cell).rlike(_DATE_START)
+        if not bare_digits:
+            fits = fits & ~cell.rlike(r"^\d+(?:[tT]\d+)?$")
+        return F.when(fits, F.lower(cell))
 
-    def link(frame: DataFrame, kept: tuple[str, ...], what: str, make) -> DataFrame:
-        return frame.select(
-            *keep,
-            *(temp(k, out) for k in kept for out in outputs),
-            *(make(out).alias(f"__{what} {out}") for out in outputs),
-        )
+    def from_text(text: Column) -> Column:
+        def with_tail(tail: Column) -> Column:
+            day = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+            date = _let(_let(day, _year_month_day), _date)
+            return _let(date, lambda d: F.when(d.isNotNull(), _with_clock(d, tail)))
 
-    def candidate(out: str) -> Column:
-        c = quoted(outputs[out])
-        short = (F.length(c) <= _LONGEST) & c.rlike(r"[0-9]")
-        text = F.lower(c)
-        fits = short & text.rlike(_DATE_START)
-        if not bare_digits:
-            fits = fits & ~text.rlike(r"^\d+(?:t\d+)?$")
-        return F.when(fits, _spaced_clock(text))
-
-    def without_clock(out: str) -> Column:
-        text = temp("text", out)
-        tail = F.coalesce(F.length(temp("clock", out)), F.lit(0))
-        return F.substring(text, F.lit(1), F.length(text) - tail)
-
-    def clock_of(out: str) -> Column:
-        # NULL rather than "": casts of empty text are slow, casts of NULL are free.
-        return F.nullif(F.regexp_extract(temp("text", out), _CLOCK, 0), F.lit(""))
-
-    df = link(df, (), "text", candidate)
-    df = link(df, ("text",), "clock", clock_of)
-    df = link(df, ("clock",), "day", without_clock)
-    df = link(df, ("clock",), "ymd", lambda out: _year_month_day(temp("day", out)))
-    df = link(df, ("clock",), "date", lambda out: _date(temp("ymd", out)))
-    df = link(df, (), "stamp", lambda out: _stamp(temp("date", out), temp("clock", out)))
-    return df.select(
-        *keep,
-        *(
-            F.when(temp("stamp", out).between(first, last), temp("stamp", out)).alias(out)
-            for out in outputs
-        ),
+        return _let(F.regexp_extract(text, _CLOCK, 0), with_tail)
+
+    stamp = _let(
+        _let(c, candidate),
+        lambda t: F.when(t.isNotNull(), _let(_spaced_clock(t), from_text)),
     )
+    return _let(stamp, lambda s: F.when(s.between(first, last), s))
 
 
 # --------------------------------------------------------------------- numbers
@@ -236,37 +242,31 @@ _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-
 _INTEGER = r"^[+-]?[0-9]{1,18}$"
 
 
-def with_bare_numbers(
-    df: DataFrame, outputs: Mapping[str, str], *, ignore_code_case: bool = True
-) -> DataFrame:
-    """Add, for each ``output: text column``, the text without its currency marks.
+def bare_number_text(c: Column, *, ignore_code_case: bool = True) -> Column:
+    """Text without its currency marks: codes, symbols, commas and blanks go.
 
-    Currency codes and symbols, commas and blanks go; ``(12.5)`` becomes ``-12.5``. Cells
-    that cannot be a number give NULL.
+    ``(12.5)`` becomes ``-12.5``. Cells that cannot be a number give NULL.
     """
-    if not outputs:
-        return df
-    keep = [quoted(c) for c in df.columns]
     currency = _currency_pattern(ignore_code_case)
 
-    def unmarked(c: Column) -> Column:
-        # Without a digit only an infinity can be meant.
-        possible = c.rlike(r"[0-9]|(?i:inf)") & ~c.rlike(_ORDINARY_WORD)
-        marked = c.rlike(r"[^-+.,()0-9eE ]")
-        return F.when(possible, F.when(marked, F.regexp_replace(c, currency, "")).otherwise(c))
-
-    def bare(c: Column) -> Column:
-        signed = F.regexp_replace(c, r"\(([0-9.,]+)\)", "-$1")
-        return F.when(c.rlike(_NUMBER), c).otherwise(
+    def bare(plain: Column) -> Column:
+        signed = F.regexp_replace(plain, r"\(([0-9.,]+)\)", "-$1")
+        return F.when(plain.rlike(_NUMBER), plain).otherwise(
             F.regexp_replace(signed, rf"[,{WHITESPACE}]", "")
         )
 
-    df = df.select(*keep, *(unmarked(quoted(c)).alias(out) for out, c in outputs.items()))
-    return df.select(*keep, *(bare(quoted(out)).alias(out) for out in outputs))
+    def from_cell(cell: Column) -> Column:
+        # Without a digit only an infinity can be meant.
+        possible = cell.rlike(r"[0-9]|(?i:inf)") & ~cell.rlike(_ORDINARY_WORD)
+        marked = cell.rlike(r"[^-+.,()0-9eE ]")
+        plain = F.when(marked, F.regexp_replace(cell, currency, "")).otherwise(cell)
+        return F.when(possible, _let(plain, bare))
+
+    return _let(c, from_cell)
 
 
 def number_of(bare: Column) -> Column:
-    """Double for text in number form, else NULL (the guard refuses ``1d``, ``0x1f``, ``nan``)."""
+    """Double for text in number form, else NULL: ``1d``, ``0x1f`` and ``nan`` are refused."""
     return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
 
 
@@ -283,13 +283,6 @@ def has_digit(c: Column) -> Column:
     return c.rlike(r"\p{Nd}")
 
 
-def with_numbers(
-    df: DataFrame, outputs: Mapping[str, str], *, ignore_code_case: bool = True
-) -> DataFrame:
-    """Add, for each ``output: text column``, the double read from the text (NULL if none)."""
-    if not outputs:
-        return df
-    keep = [quoted(c) for c in df.columns]
-    bare = {f"__bare {out}": c for out, c in outputs.items()}
-    df = with_bare_numbers(df, bare, ignore_code_case=ignore_code_case)
-    return df.select(*keep, *(number_of(quoted(f"__bare {out}")).alias(out) for out in outputs))
+def parse_number(c: Column, *, ignore_code_case: bool = True) -> Column:
+    """Double read from text, NULL where the text is no number."""
+    return _let(bare_number_text(c, ignore_code_case=ignore_code_case), number_of)

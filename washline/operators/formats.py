@@ -12,6 +12,7 @@ from washline.functions import parsing
 from washline.functions.columns import text_columns, typed_columns
 from washline.functions.names import quoted
 from washline.functions.text import has_non_ascii
+from washline.operators.columns import replace_columns
 
 # Shares of readable cells that must be exceeded, missing cells included.
 HINTED_DATETIME_SHARE = 0.8
@@ -106,8 +107,11 @@ def text_statistics(
     if many:
         parts.append(_cells(df, columns, many).withColumn("n", F.lit(1).cast("bigint")))
     cells = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    parsed = parsing.with_datetimes(cells, {"dt": "v"}, bare_digits=bare_digits)
-    parsed = parsing.with_bare_numbers(parsed, {"bare": "v"}, ignore_code_case=ignore_code_case)
+    parsed = cells.select(
+        "*",
+        parsing.parse_datetime(F.col("v"), bare_digits=bare_digits).alias("dt"),
+        parsing.bare_number_text(F.col("v"), ignore_code_case=ignore_code_case).alias("bare"),
+    )
     bare = F.col("bare")
 
     def total(condition: Column) -> Column:
@@ -147,16 +151,14 @@ def apply_targets(
     df: DataFrame, targets: Mapping[str, str], *, bare_digits: bool = True, ignore_code_case: bool = True
 ) -> DataFrame:
     """Convert the columns in ``targets``; cells that do not parse become missing."""
-    if not targets:
-        return df
-    dates = {f"__dt {c}": c for c, t in targets.items() if t == "timestamp_ntz"}
-    numbers = {f"__num {c}": c for c, t in targets.items() if t != "timestamp_ntz"}
-    wide = parsing.with_datetimes(df, dates, bare_digits=bare_digits)
-    wide = parsing.with_numbers(wide, numbers, ignore_code_case=ignore_code_case)
-    new = {c: quoted(out) for out, c in dates.items()}
-    for out, c in numbers.items():
-        new[c] = quoted(out).cast("bigint") if targets[c] == "bigint" else quoted(out)
-    return wide.select(*(new[c].alias(c) if c in new else quoted(c) for c in df.columns))
+
+    def converted(name: str, target: str) -> Column:
+        if target == "timestamp_ntz":
+            return parsing.parse_datetime(quoted(name), bare_digits=bare_digits)
+        number = parsing.parse_number(quoted(name), ignore_code_case=ignore_code_case)
+        return number.cast(target)
+
+    return replace_columns(df, {c: converted(c, target) for c, target in targets.items()})
 
 
 def fit_formats(

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from washline.errors import DependencyError, ValidationError
 from washline.functions.columns import missing_as_null
 from washline.functions.names import quoted
-from washline.functions.parsing import with_datetimes
+from washline.functions.parsing import parse_datetime
 
 # Declared type names and the Spark types they stand for.
 DTYPES = {
@@ -137,13 +137,8 @@ def _check_rule(check: CheckSpec, value: Column) -> tuple[str, Column]:
     return f"str_matches({check.regex!r})", ~value.rlike(rf"\A(?:{check.regex})")
 
 
-def _rules(df: DataFrame, spec: SchemaSpec) -> tuple[DataFrame, list[_Rule]]:
+def _rules(df: DataFrame, spec: SchemaSpec) -> list[_Rule]:
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    dated = {
-        f"__as_datetime {c}": c
-        for c, s in spec.columns.items()
-        if s.dtype == "datetime" and isinstance(dtypes.get(c), T.StringType)
-    }
     rules: list[_Rule] = []
     for name, column in spec.columns.items():
         if name not in dtypes:
@@ -151,8 +146,8 @@ def _rules(df: DataFrame, spec: SchemaSpec) -> tuple[DataFrame, list[_Rule]]:
                 rules.append(_Rule(name, "required", None, F.lit(name)))
             continue
         raw = quoted(name)
-        if f"__as_datetime {name}" in dated:
-            value = quoted(f"__as_datetime {name}")
+        if column.dtype == "datetime" and isinstance(dtypes[name], T.StringType):
+            value = parse_datetime(raw)
         else:
             value = raw.try_cast(DTYPES[column.dtype])
         misfit = raw.isNotNull() & value.isNull()
@@ -165,7 +160,7 @@ def _rules(df: DataFrame, spec: SchemaSpec) -> tuple[DataFrame, list[_Rule]]:
         for check in column.checks:
             label, broken = _check_rule(check, value)
             rules.append(_Rule(name, label, broken, case))
-    return with_datetimes(df, dated), rules
+    return rules
 
 
 def validation_report(df: DataFrame, spec: SchemaSpec | Mapping) -> DataFrame:
@@ -173,7 +168,8 @@ def validation_report(df: DataFrame, spec: SchemaSpec | Mapping) -> DataFrame:
 
     The table is only read. A missing value breaks no rule but ``not_nullable``.
     """
-    rows, rules = _rules(missing_as_null(df), _as_spec(spec))
+    rows = missing_as_null(df)
+    rules = _rules(rows, _as_spec(spec))
     counted = [r for r in rules if r.violated is not None]
     counts = iter(
         rows.agg(*(F.count_if(r.violated).alias(f"n{i}") for i, r in enumerate(counted))).first()
@@ -200,7 +196,8 @@ def failure_cases(
 
     With ``limit`` the first ones by rule, then by ``order_key`` (else by value).
     """
-    rows, rules = _rules(missing_as_null(df), _as_spec(spec))
+    rows = missing_as_null(df)
+    rules = _rules(rows, _as_spec(spec))
     schema = "rule int, column string, check string, failure_case string"
     whole = [
         (i, r.column, r.check, r.column) for i, r in enumerate(rules) if r.violated is None

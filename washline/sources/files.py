@@ -5,7 +5,8 @@ from __future__ import annotations
 import csv
 from pathlib import PurePosixPath
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,18 +141,22 @@ def read_data(
         if kind == "csv":
             return read_csv(spark, path, infer=infer, multi_line=multi_line)
         return spark.read.parquet(path)
-    except AnalysisException as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise DataLoadError(f"Unexpected error while loading file {path}: {error}") from error
 
 
 def _csv_ready(df: DataFrame) -> DataFrame:
+    """Cells that CSV can hold: nested values as JSON, times without idle digits."""
     nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-    return df.select(
-        *(
-            F.to_json(quoted(f.name)).alias(f.name) if isinstance(f.dataType, nested) else quoted(f.name)
-            for f in df.schema.fields
-        )
-    )
+    moments = (T.TimestampType, T.TimestampNTZType)
+
+    def cell(field: T.StructField) -> Column:
+        c = quoted(field.name)
+        if isinstance(field.dataType, nested):
+            return F.to_json(c).alias(field.name)
+        return c.cast("string").alias(field.name) if isinstance(field.dataType, moments) else c
+
+    return df.select(*(cell(f) for f in df.schema.fields))
 
 
 def write_data(
@@ -175,11 +180,9 @@ def write_data(
                 .write.mode(mode)
                 .option("header", True)
                 .option("escape", '"')
-                .option("timestampFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-                .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
                 .csv(path)
             )
-    except AnalysisException as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise DataLoadError(f"Unexpected error while writing file {path}: {error}") from error
 
 

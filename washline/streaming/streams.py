@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from washline.functions.names import quoted
 from washline.plans.model import CleaningModel
 
 
@@ -34,9 +35,11 @@ def clean_stream(
     if any(f.kind == "forward" for f in model.fills.values()):
         raise ValueError("forward fill needs the whole table and cannot run on a stream")
     if event_time:
-        stream = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(
-            list(subset or stream.columns)
-        )
+        # Watermarks need an instant; a timestamp without zone is read in the session zone.
+        keys = list(subset or stream.columns)
+        timed = stream.withColumn("__event_time", quoted(event_time).cast("timestamp"))
+        distinct = timed.withWatermark("__event_time", delay).dropDuplicatesWithinWatermark(keys)
+        stream = distinct.drop("__event_time")
     return model.transform(stream)
 
 
