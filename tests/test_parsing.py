@@ -3,8 +3,6 @@ import warnings
 import pandas as pd
 import pytest
 
-from pyspark.sql import functions as F
-
 from washline.functions.parsing import parse_datetime, parse_number
 from washline.operators import formats
 from washline.operators.formats import TextStats, choose_target, standardize_formats
@@ -25,7 +23,7 @@ jan 2024|january 2024|2024 jan 5|2024-jan-05|5-jan-24|friday, january 5, 2024|1/
 def test_datetimes_match_pandas(spark):
     cells = DATES.replace("\n", "|").split("|") + ["", None]
     df = spark.createDataFrame(list(enumerate(cells)), "i int, c string")
-    ours = [r.t for r in df.select("*", parse_datetime(F.col("c")).alias("t")).orderBy("i").collect()]
+    ours = [r.t for r in df.select("*", parse_datetime("c").alias("t")).orderBy("i").collect()]
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         for cell, got in zip(cells, ours):
@@ -38,13 +36,13 @@ def test_datetimes_match_pandas(spark):
 
 def test_time_without_a_day_is_refused(spark, values):
     df = spark.createDataFrame([("10:30",), ("10pm",)], "c string")
-    assert values(df.select("*", parse_datetime(F.col("c")).alias("t")), "t") == [None, None]
+    assert values(df.select("*", parse_datetime("c").alias("t")), "t") == [None, None]
 
 
 def test_bare_digits_can_be_refused(spark, values):
     cells = ["2024", "20240105", "20240105103000", "2024-01"]
     df = spark.createDataFrame(list(enumerate(cells)), "i int, c string")
-    got = values(df.select("*", parse_datetime(F.col("c"), bare_digits=False).alias("t")), "t", "i")
+    got = values(df.select("*", parse_datetime("c", bare_digits=False).alias("t")), "t", "i")
     assert [g is not None for g in got] == [False, False, False, True]
 
 
@@ -52,7 +50,7 @@ def test_results_do_not_depend_on_the_session_zone(spark, values):
     df = spark.createDataFrame([("2024-03-31 02:30:00+02:00",)], "c string")
     spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
     try:
-        got = values(df.select("*", parse_datetime(F.col("c")).alias("t")), "t")
+        got = values(df.select("*", parse_datetime("c").alias("t")), "t")
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert str(got[0]) == "2024-03-31 00:30:00"
@@ -71,13 +69,13 @@ NUMBERS = {
 
 def test_numbers(spark):
     df = spark.createDataFrame(list(enumerate(NUMBERS)), "i int, c string")
-    got = {r.c: r.n for r in df.select("*", parse_number(F.col("c")).alias("n")).collect()}
+    got = {r.c: r.n for r in df.select("*", parse_number("c").alias("n")).collect()}
     assert got == NUMBERS
 
 
 def test_code_case_can_matter(spark, values):
     df = spark.createDataFrame([(0, "usd 5"), (1, "USD 5")], "i int, c string")
-    assert values(df.select("*", parse_number(F.col("c"), ignore_code_case=False).alias("n")), "n", "i") == [None, 5]
+    assert values(df.select("*", parse_number("c", ignore_code_case=False).alias("n")), "n", "i") == [None, 5]
 
 
 @pytest.mark.parametrize(
@@ -130,7 +128,7 @@ def test_years_become_timestamps_like_any_date(spark):
 def test_filters_on_parsed_columns_stay_small(spark, values):
     """Spark pushes the filter below the parser: the plan must not grow with every step."""
     df = spark.createDataFrame([("5 jan 2024", "$5"), ("6/1/2024", "$7")], "d string, p string")
-    out = df.select(parse_datetime(F.col("d")).alias("d"), parse_number(F.col("p")).alias("p"))
+    out = df.select(parse_datetime("d").alias("d"), parse_number("p").alias("p"))
     kept = out.where("d > timestamp_ntz'2024-02-01' and p > 1").where("p < 10 or d is null")
     assert values(kept, "p") == [7.0]
     assert len(kept._jdf.queryExecution().optimizedPlan().toString()) < 200_000

@@ -74,3 +74,14 @@ def datetime_literal(micros: int, dtype: T.DataType) -> Column:
         return F.timestamp_micros(F.lit(int(micros)))
     moment = datetime(1970, 1, 1) + timedelta(microseconds=int(micros))
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz").cast(dtype)
+
+
+def has_map(dtype: T.DataType) -> bool:
+    """Whether values of the type hold maps, which Spark can neither order nor hash."""
+    if isinstance(dtype, T.MapType):
+        return True
+    if isinstance(dtype, T.ArrayType):
+        return has_map(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(has_map(f.dataType) for f in dtype.fields)
+    return False

@@ -33,6 +33,11 @@ def unique_names(
     return result
 
 
+def quoted_name(name: str) -> str:
+    """A column name in backticks, for SQL text; it may hold dots, blanks or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """Reference a column whose name may hold dots, blanks or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Reference a column whatever its name holds."""
+    return F.col(quoted_name(name))

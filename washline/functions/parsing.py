@@ -1,22 +1,24 @@
-"""Text to timestamps and numbers, as column expressions that never raise."""
+"""Text to timestamps and numbers, as column expressions that never raise.
 
-from __future__ import annotations
+The parsers are long, so they are written as SQL text: one call builds the whole expression.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from washline.functions.names import quoted_name
 from washline.functions.text import WHITESPACE
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` mentions it.
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body``, where ``name`` stands for a value computed once.
 
     Spelled out instead, every mention would repeat the whole expression, and a filter on
     the result, which Spark pushes below projections, would multiply it beyond measure.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 # Name fragments that hint at a kind of content.
@@ -73,6 +75,9 @@ _DATE_START = (
 )
 _LONGEST = 64
 
+# The most common shape needs no rule.
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
+
 # Time of day at the end of a cell: 10:30, 10:30:05.123, 10:30 pm, 10pm, 10:30:05+02:00.
 _CLOCK = (
     r"(?:[ t]+(\d{1,2})(?::(\d{2})(?::(\d{2}(?:\.\d{1,9})?))? ?([ap]m)?| ?([ap]m))"
@@ -80,141 +85,106 @@ _CLOCK = (
 )
 
 
-def _rewritten(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+def _rewritten(text: str, rules: tuple[tuple[str, str], ...]) -> str:
     for shape, form in rules:
-        text = F.regexp_replace(text, shape, form)
+        text = f"regexp_replace({text}, r'{shape}', '{form}')"
     return text
 
 
-def _spaced_clock(text: Column) -> Column:
-    """Give digits-only stamps a visible time of day: 20240105103000 -> 20240105 10:30:00."""
-    return (
-        F.when(
-            text.rlike(r"^\d{8}t?\d{6}$"),
-            F.regexp_replace(text, r"^(\d{8})t?(\d{2})(\d{2})(\d{2})$", "$1 $2:$3:$4"),
-        )
-        .when(
-            text.rlike(r"^\d{8}t?\d{4}$"),
-            F.regexp_replace(text, r"^(\d{8})t?(\d{2})(\d{2})$", "$1 $2:$3"),
-        )
-        .otherwise(text)
-    )
-
-
-def _year_month_day(day: Column) -> Column:
-    """Date text rewritten by the rule of its shape."""
-    digits = F.translate(day, "/. ", "---")
-    return F.when(day.rlike(r"^[-/. 0-9]+$"), _rewritten(digits, _DIGIT_RULES)).otherwise(
-        _rewritten(day, _WORD_RULES)
-    )
-
-
-def _date(ymd: Column) -> Column:
-    """DATE from year-month-day text, where the month may be a name or a quarter."""
-
-    def named(month: Column) -> Column:
-        position = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(month, 1, 3))
-        return (
-            F.when(month.rlike(r"^\d"), month)
-            .when(month.startswith("q"), F.instr(F.lit("1..2..3..4"), F.substring(month, 2, 1)))
-            .otherwise(((position + 2) / 3).cast("int"))
-        )
-
-    def four_digits(year: Column) -> Column:
-        # Two-digit years follow the POSIX rule: 69-99 are 1969-1999, 00-68 are 2000-2068.
-        century = F.when(F.length(year) > 2, "").when(year >= "69", "19").otherwise("20")
-        return F.concat(century, year)
-
-    def dashed(*parts: Column) -> Column:
-        return F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]).try_cast("date")
-
-    def loose(parts: Column) -> Column:
-        # Text that fits no rule may have fewer than three parts.
-        year, month, day = (F.get(parts, F.lit(i)) for i in range(3))
-        whole = F.struct(
-            _let(year, four_digits).alias("year"), _let(month, named).alias("month"), day.alias("day")
-        )
-        return _let(
-            whole,
-            lambda p: F.coalesce(
-                dashed(p["year"], p["month"], p["day"]),
-                F.when(ymd.contains("~"), dashed(p["year"], p["day"], p["month"])),
-            ),
-        )
-
-    return F.when(ymd.rlike("[~a-z]"), _let(F.split(ymd, "[-~]"), loose)).otherwise(
-        ymd.try_cast("date")
-    )
-
-
-def _clock(parts: Column) -> Column:
-    """Struct of 24-hour text and the offset from UTC as an interval."""
-    hour, minute, second, half, zone = (parts[x] for x in ("h", "m", "s", "half", "zone"))
-    number = F.when((half == "") | hour.rlike(r"^0?[1-9]$|^1[0-2]$"), hour).try_cast("int")
-    hours = F.when(half == "", number).otherwise(
-        number % 12 + F.when(half == "pm", 12).otherwise(0)
-    )
-    text = F.concat_ws(
-        ":",
-        F.coalesce(hours.cast("string"), F.lit("x")),
-        F.when(minute == "", "0").otherwise(minute),
-        F.when(second == "", "0").otherwise(second),
-    )
-    shift = F.when(zone.rlike("^[+-]"), zone)
-    minutes = F.substring(shift, 2, 2).try_cast("int") * 60 + F.substring(shift, -2, 2).try_cast(
-        "int"
-    )
-    offset = F.coalesce(F.when(shift.startswith("-"), -minutes).otherwise(minutes), F.lit(0))
-    return F.struct(text.alias("text"), F.make_dt_interval(mins=offset).alias("offset"))
-
-
-def _with_clock(date: Column, tail: Column) -> Column:
-    """Timestamp of a date and the time-of-day tail of its cell."""
-    groups = [F.regexp_extract(tail, _CLOCK, i) for i in range(1, 7)]
-    parts = F.struct(
-        groups[0].alias("h"),
-        groups[1].alias("m"),
-        groups[2].alias("s"),
-        F.concat(groups[3], groups[4]).alias("half"),
-        groups[5].alias("zone"),
-    )
-    stamped = _let(
-        _let(parts, _clock),
-        lambda clock: F.concat_ws(" ", date.cast("string"), clock["text"]).try_cast("timestamp_ntz")
-        - clock["offset"],
-    )
-    return F.when(tail == "", date.cast("timestamp_ntz")).otherwise(stamped)
+# Digits-only stamps get a visible time of day: 20240105103000 -> 20240105 10:30:00.
+_SPACED = r"""
+    CASE WHEN t RLIKE r'^\d{8}t?\d{6}$'
+         THEN regexp_replace(t, r'^(\d{8})t?(\d{2})(\d{2})(\d{2})$', '$1 $2:$3:$4')
+         WHEN t RLIKE r'^\d{8}t?\d{4}$'
+         THEN regexp_replace(t, r'^(\d{8})t?(\d{2})(\d{2})$', '$1 $2:$3')
+         ELSE t END"""
+
+# Date text rewritten by the rule of its shape.
+_YEAR_MONTH_DAY = f"""
+    CASE WHEN day RLIKE r'^[-/. 0-9]+$'
+         THEN {_rewritten("translate(day, '/. ', '---')", _DIGIT_RULES)}
+         ELSE {_rewritten("day", _WORD_RULES)} END"""
+
+# Two-digit years follow the POSIX rule: 69-99 are 1969-1999, 00-68 are 2000-2068.
+_FULL_YEAR = """
+    concat(CASE WHEN length(y) > 2 THEN '' WHEN y >= '69' THEN '19' ELSE '20' END, y)"""
+
+_MONTH_NUMBER = r"""
+    CASE WHEN m RLIKE r'^\d' THEN m
+         WHEN startswith(m, 'q') THEN cast(instr('1..2..3..4', substr(m, 2, 1)) AS string)
+         ELSE cast(cast((instr('janfebmaraprmayjunjulaugsepoctnovdec', substr(m, 1, 3)) + 2) / 3
+                        AS int) AS string) END"""
+
+# DATE from year-month-day text, where the month may be a name or a quarter.
+_LOOSE_DATE = f"""
+    coalesce(try_cast(concat(p.y, '-', p.m, '-', p.d) AS date),
+             CASE WHEN contains(ymd, '~')
+                  THEN try_cast(concat(p.y, '-', p.d, '-', p.m) AS date) END)"""
+_PARTS = f"""
+    named_struct('y', {_let("y", "get(a, 0)", _FULL_YEAR)},
+                 'm', {_let("m", "get(a, 1)", _MONTH_NUMBER)},
+                 'd', get(a, 2))"""
+_DATE = f"""
+    CASE WHEN ymd RLIKE r'[~a-z]'
+         THEN {_let("a", "split(ymd, r'[-~]')", _let("p", _PARTS, _LOOSE_DATE))}
+         ELSE try_cast(ymd AS date) END"""
+
+# Time of day as 24-hour text, and the offset from UTC in minutes.
+_CLOCK_PARTS = f"""
+    named_struct({", ".join(
+        f"'{name}', regexp_extract(tail, r'{_CLOCK}', {i})"
+        for i, name in enumerate(("h", "m", "s", "half_a", "half_b", "zone"), 1)
+    )})"""
+_HOUR = r"""
+    CASE WHEN concat(k.half_a, k.half_b) = '' THEN k.h
+         WHEN NOT k.h RLIKE r'^(?:0?[1-9]|1[0-2])$' THEN 'x'
+         ELSE cast(cast(k.h AS int) % 12
+                   + CASE WHEN 'pm' IN (k.half_a, k.half_b) THEN 12 ELSE 0 END AS string) END"""
+_OFFSET = r"""
+    CASE WHEN k.zone RLIKE r'^[+-]'
+         THEN cast(concat(substr(k.zone, 1, 1), '1') AS int)
+              * (cast(substr(k.zone, 2, 2) AS int) * 60 + cast(substr(k.zone, -2, 2) AS int))
+         ELSE 0 END"""
+_STAMP = f"""
+    try_cast(concat(cast(date AS string), ' ', {_HOUR}, ':',
+                    CASE WHEN k.m = '' THEN '0' ELSE k.m END, ':',
+                    CASE WHEN k.s = '' THEN '0' ELSE k.s END) AS timestamp_ntz)
+    - make_dt_interval(0, 0, {_OFFSET})"""
+_WITH_CLOCK = f"""
+    CASE WHEN tail = '' THEN cast(date AS timestamp_ntz)
+         WHEN date IS NOT NULL THEN {_let("k", _CLOCK_PARTS, _STAMP)} END"""
+
+_DAY = "substr(text, 1, length(text) - length(tail))"
+_FROM_TEXT = _let(
+    "tail",
+    f"regexp_extract(text, r'{_CLOCK}', 0)",
+    _let("date", _let("ymd", _let("day", _DAY, _YEAR_MONTH_DAY), _DATE), _WITH_CLOCK),
+)
 
 
-def parse_datetime(c: Column, *, bare_digits: bool = True) -> Column:
-    """Timestamp (no zone) read from text in any of the accepted shapes, else NULL.
+def parse_datetime(column: str, *, bare_digits: bool = True) -> Column:
+    """Timestamp (no zone) read from a text column in any of the accepted shapes, else NULL.
 
     Numeric dates are read month first, day first where the month would exceed 12. An
     offset is applied, so results are UTC. ``bare_digits=False`` refuses digits only
     (``2024``, ``20240105``, ``20240105103000``).
     """
-    first, last = (F.lit(t).cast("timestamp_ntz") for t in (EARLIEST, LATEST))
-
-    def candidate(cell: Column) -> Column:
-        # One cheap look settles most cells: an accepted cell is short and starts like a date.
-        fits = (F.length(cell) <= _LONGEST) & cell.rlike(r"[0-9]") & F.lower(cell).rlike(_DATE_START)
-        if not bare_digits:
-            fits = fits & ~cell.rlike(r"^\d+(?:[tT]\d+)?$")
-        return F.when(fits, F.lower(cell))
-
-    def from_text(text: Column) -> Column:
-        def with_tail(tail: Column) -> Column:
-            day = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
-            date = _let(_let(day, _year_month_day), _date)
-            return _let(date, lambda d: F.when(d.isNotNull(), _with_clock(d, tail)))
-
-        return _let(F.regexp_extract(text, _CLOCK, 0), with_tail)
-
-    stamp = _let(
-        _let(c, candidate),
-        lambda t: F.when(t.isNotNull(), _let(_spaced_clock(t), from_text)),
+    mixed = "" if bare_digits else r"AND NOT c RLIKE r'^\d+(?:[tT]\d+)?$'"
+    # One cheap look settles most cells: an accepted cell is short and starts like a date.
+    candidate = f"""
+        CASE WHEN length(c) <= {_LONGEST} AND c RLIKE r'[0-9]' {mixed}
+                  AND lower(c) RLIKE r'{_DATE_START}' THEN lower(c) END"""
+    parsed = _let(
+        "t",
+        _let("c", quoted_name(column), candidate),
+        f"""
+        CASE WHEN t RLIKE r'{_ISO}' THEN try_cast(upper(t) AS timestamp_ntz)
+             WHEN t IS NOT NULL THEN {_let("text", _SPACED, _FROM_TEXT)} END""",
     )
-    return _let(stamp, lambda s: F.when(s.between(first, last), s))
+    in_range = f"""
+        CASE WHEN stamp BETWEEN timestamp_ntz'{EARLIEST}' AND timestamp_ntz'{LATEST}'
+             THEN stamp END"""
+    return F.expr(_let("stamp", parsed, in_range))
 
 
 # --------------------------------------------------------------------- numbers
@@ -242,27 +212,33 @@ _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-
 _INTEGER = r"^[+-]?[0-9]{1,18}$"
 
 
-def bare_number_text(c: Column, *, ignore_code_case: bool = True) -> Column:
+def _bare_number_sql(column: str, ignore_code_case: bool) -> str:
+    bare = rf"""
+        CASE WHEN plain RLIKE r'{_NUMBER}' THEN plain
+             ELSE regexp_replace(regexp_replace(plain, r'\(([0-9.,]+)\)', '-$1'),
+                                 r'[,{WHITESPACE}]', '') END"""
+    plain = rf"""
+        CASE WHEN c RLIKE r'[^-+.,()0-9eE ]'
+             THEN regexp_replace(c, r'{_currency_pattern(ignore_code_case)}', '') ELSE c END"""
+    # Without a digit only an infinity can be meant.
+    cell = f"""
+        CASE WHEN c RLIKE r'[0-9]|(?i:inf)' AND NOT c RLIKE r'{_ORDINARY_WORD}'
+             THEN {_let("plain", plain, bare)} END"""
+    return _let("c", quoted_name(column), cell)
+
+
+def bare_number_text(column: str, *, ignore_code_case: bool = True) -> Column:
     """Text without its currency marks: codes, symbols, commas and blanks go.
 
     ``(12.5)`` becomes ``-12.5``. Cells that cannot be a number give NULL.
     """
-    currency = _currency_pattern(ignore_code_case)
-
-    def bare(plain: Column) -> Column:
-        signed = F.regexp_replace(plain, r"\(([0-9.,]+)\)", "-$1")
-        return F.when(plain.rlike(_NUMBER), plain).otherwise(
-            F.regexp_replace(signed, rf"[,{WHITESPACE}]", "")
-        )
+    return F.expr(_bare_number_sql(column, ignore_code_case))
 
-    def from_cell(cell: Column) -> Column:
-        # Without a digit only an infinity can be meant.
-        possible = cell.rlike(r"[0-9]|(?i:inf)") & ~cell.rlike(_ORDINARY_WORD)
-        marked = cell.rlike(r"[^-+.,()0-9eE ]")
-        plain = F.when(marked, F.regexp_replace(cell, currency, "")).otherwise(cell)
-        return F.when(possible, _let(plain, bare))
 
-    return _let(c, from_cell)
+def parse_number(column: str, *, ignore_code_case: bool = True) -> Column:
+    """Double read from a text column, NULL where the text is no number."""
+    number = f"CASE WHEN b RLIKE r'{_NUMBER}' THEN try_cast(b AS double) END"
+    return F.expr(_let("b", _bare_number_sql(column, ignore_code_case), number))
 
 
 def number_of(bare: Column) -> Column:
@@ -281,8 +257,3 @@ def may_parse(c: Column) -> Column:
 
 def has_digit(c: Column) -> Column:
     return c.rlike(r"\p{Nd}")
-
-
-def parse_number(c: Column, *, ignore_code_case: bool = True) -> Column:
-    """Double read from text, NULL where the text is no number."""
-    return _let(bare_number_text(c, ignore_code_case=ignore_code_case), number_of)

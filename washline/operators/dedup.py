@@ -11,9 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from washline.functions.columns import missing_as_null, text_columns
+from washline.functions.columns import has_map, missing_as_null, text_columns
 from washline.functions.names import quoted
 from washline.functions.text import strip
 
@@ -40,16 +39,6 @@ def _folded(df: DataFrame) -> DataFrame:
     )
 
 
-def _has_map(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.MapType):
-        return True
-    if isinstance(dtype, T.ArrayType):
-        return _has_map(dtype.elementType)
-    if isinstance(dtype, T.StructType):
-        return any(_has_map(f.dataType) for f in dtype.fields)
-    return False
-
-
 def _kept(
     counted: DataFrame, subset: list[str], keep: str | bool, order_key: list[str]
 ) -> DataFrame:
@@ -63,10 +52,10 @@ def _kept(
         return picked.where("total = 1")
     choose = F.min if keep == "first" else F.max
     dtypes = {f.name: f.dataType for f in counted.schema.fields}
-    rest = [c for c in columns if c not in order_key and not _has_map(dtypes[c])]
+    rest = [c for c in columns if c not in order_key and not has_map(dtypes[c])]
     # The remaining columns only settle ties of the order key, to make the choice stable.
     rank = F.struct(*_cols(order_key), *_cols(rest))
-    if all(not _has_map(dtypes[c]) for c in columns):
+    if all(not has_map(dtypes[c]) for c in columns):
         picked = counted.groupBy(*_cols(subset)).agg(choose(rank).alias("row"))
         return picked
     by = F.min_by if keep == "first" else F.max_by
@@ -135,7 +124,7 @@ def remove_duplicates(
     # Rows are joined on the whole row, so a hot key spreads over all its different rows.
     counted = count_copies(rows)
     kept = _row_of(_kept(counted, list(subset), keep, order), columns)
-    identity = [f for f in rows.schema.fields if not _has_map(f.dataType)]
+    identity = [f for f in rows.schema.fields if not has_map(f.dataType)]
     a, b = counted.alias("a"), kept.withColumn("__kept", F.lit(1)).alias("b")
     same = None
     for f in identity:

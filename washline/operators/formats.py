@@ -109,8 +109,8 @@ def text_statistics(
     cells = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     parsed = cells.select(
         "*",
-        parsing.parse_datetime(F.col("v"), bare_digits=bare_digits).alias("dt"),
-        parsing.bare_number_text(F.col("v"), ignore_code_case=ignore_code_case).alias("bare"),
+        parsing.parse_datetime("v", bare_digits=bare_digits).alias("dt"),
+        parsing.bare_number_text("v", ignore_code_case=ignore_code_case).alias("bare"),
     )
     bare = F.col("bare")
 
@@ -154,8 +154,8 @@ def apply_targets(
 
     def converted(name: str, target: str) -> Column:
         if target == "timestamp_ntz":
-            return parsing.parse_datetime(quoted(name), bare_digits=bare_digits)
-        number = parsing.parse_number(quoted(name), ignore_code_case=ignore_code_case)
+            return parsing.parse_datetime(name, bare_digits=bare_digits)
+        number = parsing.parse_number(name, ignore_code_case=ignore_code_case)
         return number.cast(target)
 
     return replace_columns(df, {c: converted(c, target) for c, target in targets.items()})

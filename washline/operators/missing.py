@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from washline.functions.columns import as_micros, datetime_literal, missing_as_null
+from washline.functions.columns import as_micros, datetime_literal, has_map, missing_as_null
 from washline.functions.names import quoted
 from washline.operators.columns import replace_columns
 from washline.operators.statistics import Moments, modes, moments, quantiles
@@ -174,17 +174,26 @@ def fit_datetime_medians(
 def forward_fill(df: DataFrame, columns: Sequence[str], order_key: str) -> DataFrame:
     """Repeat the last non-missing value in ``order_key`` order; leading gaps stay.
 
-    Rows are cut into ranges of the key. Each range is filled on its own; what a range
-    hands to the next one is a table of one row per range.
+    Rows are cut into ranges of the key (rows of equal key into ranges of a row hash, which
+    also makes their order stable). Each range is filled on its own; what a range hands to
+    the next one is a table of one row per range.
     """
+    hashable = [quoted(f.name) for f in df.schema.fields if not has_map(f.dataType)]
+    keyed = df.withColumn("__tie", F.xxhash64(*hashable))
+    position = [quoted(order_key), F.col("__tie")]
     ranged = stage(
-        df.repartitionByRange(quoted(order_key)).withColumn("__range", F.spark_partition_id())
+        keyed.repartitionByRange(*position).withColumn("__range", F.spark_partition_id())
+    )
+    so_far = (
+        Window.partitionBy("__range")
+        .orderBy(*position)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ordered = Window.partitionBy("__range").orderBy(quoted(order_key))
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last_rows = ranged.groupBy("__range").agg(
         *(
-            F.max_by(quoted(c), F.when(quoted(c).isNotNull(), quoted(order_key))).alias(f"__last{i}")
+            F.max_by(quoted(c), F.when(quoted(c).isNotNull(), F.struct(*position))).alias(
+                f"__last{i}"
+            )
             for i, c in enumerate(columns)
         )
     )

@@ -147,7 +147,7 @@ def _rules(df: DataFrame, spec: SchemaSpec) -> list[_Rule]:
             continue
         raw = quoted(name)
         if column.dtype == "datetime" and isinstance(dtypes[name], T.StringType):
-            value = parse_datetime(raw)
+            value = parse_datetime(name)
         else:
             value = raw.try_cast(DTYPES[column.dtype])
         misfit = raw.isNotNull() & value.isNull()

@@ -15,6 +15,19 @@ SETTINGS: Mapping[str, str] = {
 }
 
 
+_TASK_BYTES = 256 * 1024 * 1024
+
+
+def cluster_settings(input_bytes: int) -> dict[str, str]:
+    """Settings for a table of this size: enough shuffle partitions for tasks to fit in memory.
+
+    Adaptive execution merges partitions that turn out small, but never splits large ones,
+    so the number must be right for the largest shuffle: the whole rows of a table.
+    """
+    partitions = max(200, -(-input_bytes // _TASK_BYTES))
+    return {**SETTINGS, "spark.sql.shuffle.partitions": str(partitions)}
+
+
 def local_session(cores: int | str = 8, name: str = "washline", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (

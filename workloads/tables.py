@@ -10,7 +10,15 @@ from washline.plans.cleaning import fit, run_cleaning, summary_frame
 from washline.plans.config import CleaningConfig
 from washline.streaming.streams import clean_stream, read_stream, write_stream
 from workloads.registry import query
-from workloads.values import bounds_sql, capped_sql, fill_sql, mode_sql, rounded, untidy_lineitem
+from workloads.values import (
+    bounds_sql,
+    capped_sql,
+    fill_sql,
+    mode_sql,
+    remove_sql,
+    rounded,
+    untidy_lineitem,
+)
 from workloads.views import CUSTOMER, LINEITEM, scratch, sql_view, table, view
 
 _LINEITEM_SQL = sql_view("lineitem", LINEITEM)
@@ -200,6 +208,29 @@ def validate_report(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validation_report(untidy_customer(spark, sf), SPEC)
 
 
+def _single(column: str, nullable: bool = True, **changes: object) -> dict:
+    return {"columns": {column: {**SPEC["columns"][column], "nullable": nullable, **changes}}}
+
+
+def _register_single(name: str, spec: dict, rules: list[int]) -> None:
+    sql = " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS rule, {_quote(_RULES[r][0])} AS \"column\","
+        f" {_quote(_RULES[r][1])} AS \"check\", count(*) FILTER (WHERE {_RULES[r][2]}) AS n_failed"
+        f" FROM ({_CUSTOMER_SQL})"
+        for i, r in enumerate(rules)
+    )
+    query(sql, name)(
+        lambda spark, sf: validate.validation_report(untidy_customer(spark, sf), spec)
+    )
+
+
+_register_single("validate_types", _single("c_code"), [8])
+_register_single("validate_nulls", _single("c_name", False, checks=[]), [2, 3])
+_register_single("validate_range", _single("c_nationkey"), [5, 7])
+_register_single("validate_isin", _single("c_mktsegment"), [12, 14])
+_register_single("validate_regex", _single("c_name"), [2, 4])
+
+
 _CASES_FORM = (
     "SELECT CAST({i} AS INTEGER) AS rule, {column} AS \"column\", {check} AS \"check\","
     f" CAST({{c}} AS VARCHAR) AS failure_case FROM ({_CUSTOMER_SQL}) WHERE {{test}}"
@@ -392,6 +423,24 @@ def clean_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(run_cleaning(untidy_lineitem(spark, sf).select(*_NUMBERS)).table)
 
 
+_REMAINING = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+@query(
+    f"{remove_sql(_LINEITEM_SQL, _NUMBERS, last='kept')} SELECT l_orderkey, l_partkey, l_suppkey,"
+    " l_linenumber, l_discount, "
+    + ", ".join(
+        f"round(coalesce({c}, (SELECT {fill_sql(c)} FROM kept)), 4) AS {c}" for c in _REMAINING
+    )
+    + f", coalesce(l_returnflag, ({mode_sql('kept', 'l_returnflag')})) AS l_returnflag FROM kept"
+)
+def clean_lineitem_remove(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with outliers go, and the fills come from the rows that remain."""
+    rows = untidy_lineitem(spark, sf).select(*_NUMBERS, "l_returnflag")
+    run = run_cleaning(rows, CleaningConfig(outliers="remove", clean_text=False))
+    return rounded(run.table)
+
+
 @query(_STAGES_SQL.replace("SELECT DISTINCT", "SELECT", 1))
 def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     """A model fitted on the batch table cleans the same rows arriving as a file stream."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from washline.operators import formats, missing, outliers
-from washline.operators.statistics import quantiles
+from washline.operators.statistics import moments, quantiles
 from workloads.registry import query
 from workloads.views import LINEITEM, sql_view, table, view
 
@@ -207,7 +207,8 @@ _SPIKED = [
 ]
 
 
-def _remove_sql(source: str, columns: list[str]) -> str:
+def remove_sql(source: str, columns: list[str], last: str) -> str:
+    """CTEs that remove rows column by column; ``last`` names the remaining rows."""
     ctes, current = [f"r0 AS ({source})"], "r0"
     for i, c in enumerate(columns, 1):
         ctes.append(f"b{i} AS ({bounds_sql(current, c)})")
@@ -216,19 +217,43 @@ def _remove_sql(source: str, columns: list[str]) -> str:
             f" WHERE NOT coalesce({c} < lo OR {c} > hi, FALSE))"
         )
         current = f"r{i}"
-    return f"WITH {', '.join(ctes)} SELECT * FROM {current}"
+    return f"WITH {', '.join(ctes)}, {last} AS (SELECT * FROM {current})"
 
 
 @query(
-    _remove_sql(
-        sql_view("lineitem", _SPIKED), ["l_orderkey", "l_quantity", "l_extendedprice", "l_tax"]
+    remove_sql(
+        sql_view("lineitem", _SPIKED),
+        ["l_orderkey", "l_quantity", "l_extendedprice", "l_tax"],
+        last="kept",
     )
+    + " SELECT * FROM kept"
 )
 def outliers_remove(spark: SparkSession, sf: str) -> DataFrame:
     """Bounds of a column come from the rows that the earlier columns left."""
     return outliers.handle_outliers(view(spark, sf, "lineitem", _SPIKED), "remove")
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, CAST(min({c}) AS DOUBLE) AS low,"
+        f" CAST(max({c}) AS DOUBLE) AS high, round(avg({c}), 4) AS mean,"
+        f" round(stddev_samp({c}), 4) AS std, round(skewness({c}), 4) AS skew"
+        f" FROM ({_LINEITEM_SQL})"
+        for c in _NUMBERS
+    )
+)
+def skew_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, range, mean, deviation and skewness of every numeric column, in one pass."""
+    found = moments(untidy_lineitem(spark, sf), _NUMBERS)
+    rows = [(c, m.n, m.low, m.high, m.mean, m.std, m.skew) for c, m in found.items()]
+    return rounded(
+        spark.createDataFrame(
+            rows,
+            "column string, n bigint, low double, high double, mean double, std double, skew double",
+        )
+    )
+
+
 # ----------------------------------------------------------------- missing values
 
 _LINEITEM_COLUMNS = [*_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
