@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from washline.operators import statistics
 from washline.operators.statistics import grouped_quantile, modes, moments, quantiles
 
 POINTS = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
@@ -36,8 +37,14 @@ def numbers(spark):
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)), data
 
 
-@pytest.mark.parametrize("route", [{}, {"small_rows": 0}, {"small_rows": 0, "small_values": 0}])
-def test_quantiles_match_numpy(numbers, route):
+@pytest.mark.parametrize(
+    "route",
+    [{}, {"small_values": 0}, {"small_rows": 0}, {"small_rows": 0, "small_values": 0}],
+)
+def test_quantiles_match_numpy(numbers, route, monkeypatch):
+    """Every route is exact: one buffer, a sketch finer than a rank, narrowed intervals."""
+    if route:
+        monkeypatch.setattr(statistics, "_TINY_ROWS", 0)
     df, data = numbers
     found = quantiles(df, {c: POINTS for c in data}, **route)
     for c, cells in data.items():
@@ -112,6 +119,22 @@ def test_modes(spark):
     assert modes(df, []) == {}
 
 
+def test_narrowing_broadcasts_its_few_intervals(spark, numbers, monkeypatch):
+    df, _ = numbers
+    plans = []
+    real = statistics._collected
+
+    def watched(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        result = real(frame)
+        assert result._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10_000
+        return result
+
+    monkeypatch.setattr(statistics, "_collected", watched)
+    quantiles(df, {"uniform": (0.5,)}, small_rows=0, small_values=0)
+    assert 1 <= len(plans) <= 7
+
+
 def test_no_pass_shuffles_rows_or_sorts_them(numbers):
     """Counting passes exchange one record per bucket, so no sort of the values is planned."""
     df, _ = numbers

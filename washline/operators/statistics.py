@@ -7,7 +7,7 @@ Three building blocks serve every operator that decides from data:
 * ``modes``    - the most frequent value per column.
 
 Spark's own ``percentile``, ``median`` and ``mode`` keep every distinct value of a group in
-one aggregation buffer. That is used here only where a count shows the buffer to be small.
+one aggregation buffer. That is used here only where counts show the buffer to be small.
 Otherwise a quantile is found by narrowing value intervals: each pass counts rows per
 bucket of the interval that holds the wanted rank (a map-side combined ``groupBy`` of at
 most ``_BUCKETS`` groups per interval) and keeps the one bucket that still holds it.
@@ -19,17 +19,21 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from washline.functions.columns import as_double
 from washline.functions.names import quoted
 from washline.staging import stage
 
-# A percentile buffer is allowed for this many rows, or this many different values.
+# A buffer may hold this many rows, or this many different values.
 SMALL_ROWS = 1_000_000
 SMALL_VALUES = 1_000
 
+# Below this size a column is not worth a look at how many different values it has.
+_TINY_ROWS = 20_000
+
 _BUCKETS = 1024
 _MAGNITUDE_STEPS = 16
 
@@ -138,8 +142,8 @@ def _narrow(
 ) -> DataFrame:
     """Shrink every interval of ``state`` until it holds a single value.
 
-    ``values`` has the key columns and ``v``. ``state`` has the key columns and ``ranks``,
-    the wanted zero-based ranks within the key. Returns key columns, ``rank`` and ``v``.
+    ``values`` has the key columns and ``v``; ``state`` has the same keys and ``ranks``, the
+    wanted zero-based ranks within the key. Returns key columns, ``rank`` and ``v``.
     Each interval is closed; intervals of a key never overlap, so a row meets at most one.
     """
     inside = F.col("v").between(F.col("low"), F.col("high"))
@@ -168,13 +172,13 @@ def _narrow(
         )
 
     start = state.select(*keys, "ranks", F.lit(0).cast("long").alias("base"))
-    # The state has one row per key and open interval. Spark broadcasts it if its measured
-    # size allows, so ``values`` are not shuffled row by row.
-    rows = values.join(start.select(*keys, "base"), list(keys))
+    rows = values.withColumn("base", F.lit(0).cast("long"))
     state = materialize(one_pass(rows, start, _magnitude_bucket(F.col("v"))))
     solved = state.where("low = high")
     pending = state.where("low < high")
     while not pending.isEmpty():
+        # One row per key and open interval: Spark broadcasts it if its measured size
+        # allows, so ``values`` are not shuffled row by row.
         rows = values.join(pending.drop("ranks"), list(keys)).where(inside)
         bucket = _even_bucket(F.col("v"), F.col("low"), F.col("high"))
         state = materialize(one_pass(rows, pending, bucket))
@@ -185,9 +189,15 @@ def _narrow(
     )
 
 
+def _local(spark: SparkSession, columns: Mapping[str, pa.Array]) -> DataFrame:
+    # An Arrow table becomes a local relation, whose size Spark knows when it plans joins.
+    return spark.createDataFrame(pa.table(dict(columns)))
+
+
 def _collected(df: DataFrame) -> DataFrame:
     # Only for states without user keys: a few rows per column.
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    table = df.toArrow()
+    return _local(df.sparkSession, dict(zip(table.column_names, table.columns)))
 
 
 def quantiles(
@@ -221,36 +231,57 @@ def quantiles(
         approximate = {names[row.col]: dict(zip(points, row.q)) for row in found.collect()}
         return {n: {p: approximate[n][p] for p in wanted[n]} for n in names}
 
-    long_ones = {n: columns[n] for n in names if known[n].n > small_rows}
-    estimates = distinct_estimates(df, long_ones) if small_values else {}
-    small = [n for n in names if n not in long_ones or estimates.get(n, math.inf) <= small_values]
+    parts = {(n, p): _rank_parts(known[n].n, p) for n in names for p in wanted[n]}
+    unsure = {n: columns[n] for n in names if known[n].n > min(_TINY_ROWS, small_rows)}
+    estimates = distinct_estimates(df, unsure) if small_values else {}
+    few = [n for n in names if n not in unsure or estimates.get(n, math.inf) <= small_values]
+    some = [n for n in names if n not in few and known[n].n <= small_rows]
+    many = [n for n in names if n not in few and n not in some]
+
     result: dict[str, dict[float, float]] = {}
-    if small:
-        points = sorted({p for n in small for p in wanted[n]})
+    if few:
+        points = sorted({p for n in few for p in wanted[n]})
         found = (
-            stacked(df, {n: columns[n] for n in small})
+            stacked(df, {n: columns[n] for n in few})
             .groupBy("col")
             .agg(F.percentile("v", F.array(*(F.lit(float(p)) for p in points))).alias("q"))
         )
         for row in found.collect():  # one row per column
             at = dict(zip(points, row.q))
-            result[small[row.col]] = {p: at[p] for p in wanted[small[row.col]]}
-
-    large = [n for n in names if n not in result]
-    if large:
-        parts = {(n, p): _rank_parts(known[n].n, p) for n in large for p in wanted[n]}
-        ranks = [
-            (i, sorted({r for p in wanted[n] for r in parts[n, p][:2]})) for i, n in enumerate(large)
-        ]
-        state = df.sparkSession.createDataFrame(ranks, "col int, ranks array<bigint>")
-        found = _narrow(stacked(df, {n: columns[n] for n in large}), state, ["col"], _collected)
-        value = {(large[r.col], r.rank): r.v for r in found.collect()}
-        for n in large:
-            result[n] = {
-                p: _blend(value[n, lo], value[n, hi], weight)
-                for p in wanted[n]
-                for lo, hi, weight in [parts[n, p]]
-            }
+            result[few[row.col]] = {p: at[p] for p in wanted[few[row.col]]}
+
+    value: dict[tuple[str, int], float] = {}
+    ranks = {n: sorted({r for p in wanted[n] for r in parts[n, p][:2]}) for n in [*some, *many]}
+    if some:
+        # The stated error of a rank is rows / accuracy. Below one half it leaves only the
+        # exact rank; the middle of the rank's step keeps rounding away from its edges.
+        middle = {(n, r): (r + 0.5) / known[n].n for n in some for r in ranks[n]}
+        points = sorted(set(middle.values()))
+        accuracy = 2 * max(known[n].n for n in some) + 1
+        found = (
+            stacked(df, {n: columns[n] for n in some})
+            .groupBy("col")
+            .agg(F.percentile_approx("v", points, accuracy).alias("q"))
+        )
+        for row in found.collect():  # one row per column
+            at = dict(zip(points, row.q))
+            value.update({(n, r): at[p] for (n, r), p in middle.items() if n == some[row.col]})
+    if many:
+        state = _local(
+            df.sparkSession,
+            {
+                "col": pa.array(range(len(many)), pa.int32()),
+                "ranks": pa.array([ranks[n] for n in many], pa.list_(pa.int64())),
+            },
+        )
+        found = _narrow(stacked(df, {n: columns[n] for n in many}), state, ["col"], _collected)
+        value.update({(many[r.col], r.rank): r.v for r in found.collect()})
+    for n in [*some, *many]:
+        result[n] = {
+            p: _blend(value[n, lo], value[n, hi], weight)
+            for p in wanted[n]
+            for lo, hi, weight in [parts[n, p]]
+        }
     return result
 
 
@@ -279,7 +310,8 @@ def grouped_quantile(
         "upper", F.least(lower + 1, F.col("size") - 1)
     )
     state = ranked.select(*keys, F.array_distinct(F.array("lower", "upper")).alias("ranks"))
-    found = _narrow(rows, state, list(keys), stage)
+    rows_of_large = rows.join(large.select(*keys), list(keys), "left_semi")
+    found = _narrow(rows_of_large, state, list(keys), stage)
     at = lambda rank: F.max(F.when(F.col("rank") == F.col(rank), F.col("v")))
     low, high = at("lower"), at("upper")
     weight = F.max(position) - F.max("lower")

@@ -10,8 +10,6 @@ SETTINGS: Mapping[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Methods beyond this size are never compiled by the JVM; plain evaluation is faster.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
