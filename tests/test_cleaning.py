@@ -189,19 +189,19 @@ def test_names_without_normalisation(spark):
 
 def test_stage_lives_in_the_checkpoint_folder_and_can_be_released(spark, small):
     root = staging.staging_root(spark)
-    before = len(staging._created)
+    before = len(staging.staged_paths())
     with staging.stage_scope(spark):
         staged = staging.stage(small)
-        path = staging.latest().removeprefix("file:")
+        path = staging.staged_paths()[-1].removeprefix("file:")
         assert staged.count() == 5 and path.startswith(root.removeprefix("file:"))
         assert os.path.isdir(path)
-    assert not os.path.exists(path) and len(staging._created) == before
+    assert not os.path.exists(path) and len(staging.staged_paths()) == before
 
 
 def test_fit_leaves_nothing_staged(spark, untidy):
-    before = list(staging._created)
+    before = staging.staged_paths()
     model = fit(untidy)
-    assert staging._created == before and model.targets == {"c1": "double", "c2": "timestamp_ntz"}
+    assert staging.staged_paths() == before and model.targets == {"c1": "double", "c2": "timestamp_ntz"}
 
 
 def test_stream(spark, untidy, tmp_path):

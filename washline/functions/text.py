@@ -62,18 +62,6 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(has_non_ascii(c), c)), c)
 
 
-def clean_text(
-    c: Column,
-    *,
-    lowercase: bool = True,
-    unicode: bool = True,
-    tokens_after_strip: bool = False,
-) -> Column:
-    """Null tokens, white space, NFKC and case, in this order.
-
-    ``unicode=False`` leaves NFKC out; callers use it for columns known to be ASCII.
-    """
-    tidy = null_tokens(tidy_space(c)) if tokens_after_strip else tidy_space(null_tokens(c))
-    if unicode:
-        tidy = nfkc(tidy)
-    return F.lower(tidy) if lowercase else tidy
+def tidy_text(c: Column, *, tokens_after_strip: bool = False) -> Column:
+    """Null tokens become NULL and white space becomes tidy, in this order by default."""
+    return null_tokens(tidy_space(c)) if tokens_after_strip else tidy_space(null_tokens(c))

@@ -56,17 +56,16 @@ def clean_text_columns(
     ``unicode`` may name the columns that need NFKC; the others stay free of Python.
     """
     names = text_columns(df)
-    needs_nfkc = set(names if unicode is True else unicode or ())
-    cleaned = {
-        c: text_rules.clean_text(
-            quoted(c),
-            lowercase=lowercase,
-            unicode=c in needs_nfkc,
-            tokens_after_strip=tokens_after_strip,
-        )
-        for c in names
+    tidy = {
+        c: text_rules.tidy_text(quoted(c), tokens_after_strip=tokens_after_strip) for c in names
     }
-    return normalize_categorical_text(replace_columns(df, cleaned), categorical_mapping)
+    df = replace_columns(df, tidy)
+    # NFKC mentions its column more than once: as a step of its own it reads the tidy text.
+    needs_nfkc = names if unicode is True else [c for c in names if c in (unicode or ())]
+    df = replace_columns(df, {c: text_rules.nfkc(quoted(c)) for c in needs_nfkc})
+    if lowercase:
+        df = replace_columns(df, {c: F.lower(quoted(c)) for c in names})
+    return normalize_categorical_text(df, categorical_mapping)
 
 
 def _mapping_expression(c: Column, values: Mapping[str, str | None]) -> Column:

@@ -13,6 +13,7 @@ from washline.functions.columns import text_columns, typed_columns
 from washline.functions.names import quoted
 from washline.functions.text import has_non_ascii
 from washline.operators.columns import replace_columns
+from washline.staging import stage
 
 # Shares of readable cells that must be exceeded, missing cells included.
 HINTED_DATETIME_SHARE = 0.8
@@ -20,8 +21,10 @@ DATETIME_SHARE = 0.9
 NUMBER_SHARE = 0.8
 
 
-# Columns with at most this many different values are parsed value by value, not cell by cell.
+# Columns with at most this many different values are parsed value by value, not cell by
+# cell, and looked up if the readable values fit into a broadcast of this size.
 FEW_VALUES = 50_000
+LOOKUP_BYTES = 16 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -82,53 +85,82 @@ def survey_text(
     return survey
 
 
-def text_statistics(
+@dataclass(frozen=True)
+class ParsedText:
+    """Parser results per column, and the parsed values of columns with few of them."""
+
+    stats: Mapping[str, TextStats]
+    values: Mapping[str, DataFrame]
+
+
+def parse_text(
     df: DataFrame,
     columns: Sequence[str],
     survey: Mapping[str, TextSurvey],
     *,
     bare_digits: bool = True,
     ignore_code_case: bool = True,
-) -> dict[str, TextStats]:
-    """Readable cells per text column, for all columns and both parsers in one pass.
+) -> ParsedText:
+    """Readable cells per text column, for all columns and both parsers together.
 
     Columns are stacked into (column number, cell) rows: the parsers appear once in the
-    plan however many columns there are. Cells of columns with few different values are
-    counted per value first, so each value is parsed once.
+    plan however many columns there are. In columns with few different values each value is
+    parsed once and kept, so that converting the column is a lookup.
     """
     columns = list(columns)
     if not columns:
-        return {}
+        return ParsedText({}, {})
     few = [c for c in columns if survey[c].distinct <= FEW_VALUES]
     many = [c for c in columns if c not in few]
+
+    def parsed(cells: DataFrame) -> DataFrame:
+        wide = cells.select(
+            "*",
+            parsing.parse_datetime("v", bare_digits=bare_digits).alias("dt"),
+            parsing.bare_number_text("v", ignore_code_case=ignore_code_case).alias("bare"),
+        )
+        number = parsing.number_of(F.col("bare"))
+        readable = F.col("dt").isNotNull() | number.isNotNull()
+        return wide.select(
+            "col",
+            "n",
+            F.col("v").isNotNull().alias("present"),
+            F.coalesce(parsing.has_digit(F.col("v")), F.lit(False)).alias("digits"),
+            F.coalesce(parsing.is_integer_text(F.col("bare")), F.lit(False)).alias("whole"),
+            "dt",
+            number.alias("number"),
+            F.when(readable, F.col("v")).alias("text"),
+        )
+
     parts = []
     if few:
-        parts.append(_cells(df, columns, few).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")))
+        counts = _cells(df, columns, few).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+        values = stage(parsed(counts))
+        parts.append(values)
     if many:
-        parts.append(_cells(df, columns, many).withColumn("n", F.lit(1).cast("bigint")))
+        parts.append(parsed(_cells(df, columns, many).withColumn("n", F.lit(1).cast("bigint"))))
     cells = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    parsed = cells.select(
-        "*",
-        parsing.parse_datetime("v", bare_digits=bare_digits).alias("dt"),
-        parsing.bare_number_text("v", ignore_code_case=ignore_code_case).alias("bare"),
-    )
-    bare = F.col("bare")
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
-    counted = parsed.groupBy("col").agg(
+    counted = cells.groupBy("col").agg(
         total(F.lit(True)),
-        total(F.col("v").isNotNull()),
+        total(F.col("present")),
         total(F.col("dt").isNotNull()),
-        total(parsing.number_of(bare).isNotNull()),
-        total(parsing.is_integer_text(bare)),
-        F.coalesce(F.max(parsing.has_digit(F.col("v"))), F.lit(False)),
+        total(F.col("number").isNotNull()),
+        total(F.col("whole")),
+        F.max("digits"),
+        F.sum(F.length("text") + 32).alias("size"),
     )
     stats = {c: TextStats() for c in columns}
+    lookups = {}
     for row in counted.collect():  # one row per column
-        stats[columns[row[0]]] = TextStats(*row[1:])
-    return stats
+        c = columns[row[0]]
+        stats[c] = TextStats(*row[1:7])
+        if c in few and row.size and row.size <= LOOKUP_BYTES:
+            lookups[c] = values.where(F.col("col") == row[0]).where("text is not null")
+    return ParsedText(stats, lookups)
 
 
 def choose_target(label: str, stats: TextStats) -> str | None:
@@ -148,9 +180,18 @@ def choose_target(label: str, stats: TextStats) -> str | None:
 
 
 def apply_targets(
-    df: DataFrame, targets: Mapping[str, str], *, bare_digits: bool = True, ignore_code_case: bool = True
+    df: DataFrame,
+    targets: Mapping[str, str],
+    *,
+    bare_digits: bool = True,
+    ignore_code_case: bool = True,
+    values: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Convert the columns in ``targets``; cells that do not parse become missing."""
+    """Convert the columns in ``targets``; cells that do not parse become missing.
+
+    ``values`` are values parsed before, of bounded size: their columns are looked up, the
+    others are parsed cell by cell.
+    """
 
     def converted(name: str, target: str) -> Column:
         if target == "timestamp_ntz":
@@ -158,25 +199,32 @@ def apply_targets(
         number = parsing.parse_number(name, ignore_code_case=ignore_code_case)
         return number.cast(target)
 
-    return replace_columns(df, {c: converted(c, target) for c, target in targets.items()})
+    known = {c: v for c, v in (values or {}).items() if c in targets}
+    df = replace_columns(df, {c: converted(c, t) for c, t in targets.items() if c not in known})
+    for c, table in known.items():
+        result = "dt" if targets[c] == "timestamp_ntz" else "number"
+        lookup = table.select(
+            F.col("text").alias("__text"), F.col(result).cast(targets[c]).alias("__value")
+        )
+        joined = df.join(F.broadcast(lookup), quoted(c) == F.col("__text"), "left")
+        df = joined.select(
+            *(F.col("__value").alias(x) if x == c else quoted(x) for x in df.columns)
+        )
+    return df
 
 
 def fit_formats(
-    df: DataFrame,
-    *,
-    labels: Mapping[str, str] | None = None,
-    bare_digits: bool = True,
-    ignore_code_case: bool = True,
-) -> dict[str, str]:
-    """Target type of every text column that should change."""
+    df: DataFrame, *, bare_digits: bool = True, ignore_code_case: bool = True
+) -> tuple[dict[str, str], dict[str, DataFrame]]:
+    """Target type of every text column that should change, and values parsed on the way."""
     columns = text_columns(df)
     survey = survey_text(df, columns)
     worth = [c for c in columns if survey[c].may_parse]
-    stats = text_statistics(
+    parsed = parse_text(
         df, worth, survey, bare_digits=bare_digits, ignore_code_case=ignore_code_case
     )
-    chosen = {c: choose_target((labels or {}).get(c, c), stats[c]) for c in worth}
-    return {c: target for c, target in chosen.items() if target}
+    chosen = {c: choose_target(c, parsed.stats[c]) for c in worth}
+    return {c: target for c, target in chosen.items() if target}, dict(parsed.values)
 
 
 def standardize_formats(
@@ -184,7 +232,8 @@ def standardize_formats(
 ) -> DataFrame:
     """Turn text columns into timestamps or numbers where enough cells parse."""
     options = {"bare_digits": bare_digits, "ignore_code_case": ignore_code_case}
-    return apply_targets(df, fit_formats(df, **options), **options)
+    targets, values = fit_formats(df, **options)
+    return apply_targets(df, targets, values=values, **options)
 
 
 def typed_column_count(df: DataFrame) -> int:

@@ -123,24 +123,20 @@ def _survey(rows: DataFrame, model: CleaningModel) -> dict[str, formats.TextSurv
     return formats.survey_text(rows, text_columns(rows), present)
 
 
-def _measure_text(
+def _parse_text(
     rows: DataFrame, survey: Mapping[str, formats.TextSurvey], model: CleaningModel
-) -> dict[str, formats.TextStats]:
+) -> formats.ParsedText:
     """Parser results for the columns worth it; the others are known to stay text."""
-    stats = {c: formats.TextStats(s.rows, s.present) for c, s in survey.items()}
-    worth = [
-        c for c, s in survey.items() if s.may_parse or s.non_ascii or c in model.mapping
-    ]
-    stats.update(
-        formats.text_statistics(
-            model.with_clean_text(rows),
-            worth,
-            survey,
-            bare_digits=model.bare_digit_dates,
-            ignore_code_case=model.ignore_currency_code_case,
-        )
+    worth = [c for c, s in survey.items() if s.may_parse or s.non_ascii or c in model.mapping]
+    parsed = formats.parse_text(
+        model.with_clean_text(rows),
+        worth,
+        survey,
+        bare_digits=model.bare_digit_dates,
+        ignore_code_case=model.ignore_currency_code_case,
     )
-    return stats
+    unread = {c: formats.TextStats(s.rows, s.present) for c, s in survey.items()}
+    return formats.ParsedText({**unread, **parsed.stats}, parsed.values)
 
 
 def _value_columns(rows: DataFrame) -> dict[str, Column]:
@@ -288,8 +284,8 @@ def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> Cleanin
         model = replace(model, mapping=mapping)
 
     with log.timed("remove_duplicates"):
+        outlived = len(staging.staged_paths())
         rows = staging.stage(count_copies(model.positional(df)))
-        first_stage = staging.latest()
     log.milliseconds["normalize_columns"] = 0.0
 
     with log.timed("clean_text"):
@@ -298,15 +294,17 @@ def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> Cleanin
         if model.clean_text:
             model = replace(model, nfkc=tuple(c for c in texts if survey[c].non_ascii))
     with log.timed("standardize_formats"):
-        stats = _measure_text(rows, survey, model)
+        parsed = _parse_text(rows, survey, model)
+        stats = parsed.stats
         labels = dict(zip(internal.values(), internal))
         targets = {c: formats.choose_target(labels[c], stats[c]) for c in texts}
         model = replace(model, targets={c: t for c, t in targets.items() if t})
-        rows = model.with_types(model.with_clean_text(rows))
+        rows = model.with_types(model.with_clean_text(rows), parsed.values)
         if model.targets:
             # Parsing is worth doing once: the passes below read plain numbers.
+            earlier = staging.staged_paths()[outlived:]
             rows = staging.stage(rows)
-            staging.release(df.sparkSession, [first_stage])
+            staging.release(df.sparkSession, earlier)
         profile = _profile(rows, {c: s.present for c, s in stats.items()})
     if profile.rows == 0:
         raise InvalidInputError("Input dataframe is empty.")

@@ -51,12 +51,16 @@ class CleaningModel:
         )
         return normalize_categorical_text(cleaned, self.mapping)
 
-    def with_types(self, rows: DataFrame) -> DataFrame:
+    def with_types(
+        self, rows: DataFrame, values: Mapping[str, DataFrame] | None = None
+    ) -> DataFrame:
+        """Typed columns; ``values`` may bring values parsed before."""
         return apply_targets(
             rows,
             self.targets,
             bare_digits=self.bare_digit_dates,
             ignore_code_case=self.ignore_currency_code_case,
+            values=values,
         )
 
     def with_values(self, rows: DataFrame) -> DataFrame:

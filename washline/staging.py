@@ -46,16 +46,16 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path).toDF(*df.columns)
 
 
-def latest() -> str:
-    """Path of the most recently staged table."""
-    return _created[-1]
+def staged_paths() -> list[str]:
+    """Paths of the tables staged and not yet released, oldest first."""
+    return list(_created)
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete staged tables (all of them by default). Frames built on them stop working."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(_created if paths is None else paths):
+    for path in staged_paths() if paths is None else paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
         _created.remove(path)
@@ -64,8 +64,8 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
 @contextmanager
 def stage_scope(spark: SparkSession) -> Iterator[None]:
     """Delete on exit whatever was staged inside the block."""
-    before = set(_created)
+    before = set(staged_paths())
     try:
         yield
     finally:
-        release(spark, [p for p in _created if p not in before])
+        release(spark, [p for p in staged_paths() if p not in before])
