@@ -77,7 +77,7 @@ def test_outlier_methods(spark, method, rows, handled):
 
 
 def test_bad_input(spark, small):
-    with pytest.raises(InvalidInputError, match="Invalid outliers value"):
+    with pytest.raises(InvalidInputError, match="unknown outlier method"):
         clean_data(small, outliers="bogus")
     with pytest.raises(InvalidInputError, match="empty"):
         clean_data(small.limit(0))

@@ -74,7 +74,7 @@ def test_maps_count_as_values(spark):
 
 def test_bad_arguments(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
-    with pytest.raises(ValueError, match="Subset columns not found"):
+    with pytest.raises(ValueError, match="unknown columns"):
         remove_duplicates(df, ["a", "nope"])
     with pytest.raises(ValueError, match="order_key"):
         remove_duplicates(df, ["a"])

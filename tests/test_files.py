@@ -53,7 +53,7 @@ def test_dates_stay_text_and_quotes_are_doubled(spark, write):
 def test_short_rows_are_padded_and_long_rows_refused(spark, write):
     df = read_data(spark, write("a,b\n1,2\n3\n"))
     assert [tuple(r) for r in df.collect()] == [(1, 2), (3, None)]
-    with pytest.raises(DataLoadError, match="Parsing error"):
+    with pytest.raises(DataLoadError, match="longer than the header"):
         read_data(spark, write("a,b\n1,2\n1,2,3\n"))
 
 
@@ -69,11 +69,11 @@ def test_without_inference(spark, write):
 def test_refusals(spark, write, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_data(spark, str(tmp_path / "nope.csv"))
-    with pytest.raises(DataLoadError, match="old Excel format"):
+    with pytest.raises(DataLoadError, match="old Excel"):
         read_data(spark, write("", "a.xls"))
-    with pytest.raises(DataLoadError, match=r"Unsupported file format: \.txt\. Supported formats: \.csv, \.parquet"):
+    with pytest.raises(DataLoadError, match=r"\.txt; known are \.csv, \.parquet"):
         read_data(spark, write("", "a.txt"))
-    with pytest.raises(DataLoadError, match="empty or invalid"):
+    with pytest.raises(DataLoadError, match="no header"):
         read_data(spark, write(""))
     with pytest.raises(DataLoadError):
         read_data(spark, write("no parquet", "bad.parquet"))

@@ -39,14 +39,14 @@ def numbers(spark):
 
 @pytest.mark.parametrize(
     "route",
-    [{}, {"small_values": 0}, {"small_rows": 0}, {"small_rows": 0, "small_values": 0}],
+    [None, {}, {"small_rows": 0}, {"small_rows": 0, "small_values": 0}],
 )
 def test_quantiles_match_numpy(numbers, route, monkeypatch):
     """Every route is exact: one buffer, a sketch finer than a rank, narrowed intervals."""
-    if route:
+    if route is not None:
         monkeypatch.setattr(statistics, "_TINY_ROWS", 0)
     df, data = numbers
-    found = quantiles(df, {c: POINTS for c in data}, **route)
+    found = quantiles(df, {c: POINTS for c in data}, **(route or {}))
     for c, cells in data.items():
         present = [x for x in cells if x is not None]
         for p in POINTS:

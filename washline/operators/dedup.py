@@ -101,7 +101,7 @@ def remove_duplicates(
     columns = list(df.columns)
     unknown = [c for c in subset or () if c not in columns]
     if unknown:
-        raise ValueError(f"Subset columns not found: {unknown}")
+        raise ValueError(f"subset names unknown columns: {unknown}")
     order = [order_key] if isinstance(order_key, str) else list(order_key or ())
     whole_row = not subset or set(subset) == set(columns)
     if not whole_row and keep is not False and not order:

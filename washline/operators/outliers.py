@@ -176,7 +176,7 @@ def handle_outliers(
     ``accuracy`` replaces exact quartiles by ``percentile_approx`` of that accuracy.
     """
     if method not in METHODS:
-        raise InvalidInputError(f"Invalid outliers value: {method!r} (expected one of {METHODS})")
+        raise InvalidInputError(f"unknown outlier method {method!r}; choose from {METHODS}")
     df = missing_as_null(df)
     if method == "cap":
         return apply_caps(df, fit_caps(df, auto_detect=auto_detect, accuracy=accuracy))

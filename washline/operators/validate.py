@@ -43,9 +43,9 @@ class CheckSpec:
     def __post_init__(self) -> None:
         given = [x for x in (self.in_range, self.isin, self.regex) if x is not None]
         if len(given) != 1:
-            raise ValidationError("exactly one check must be provided (in_range, isin, or regex)")
+            raise ValidationError("a check holds one of in_range, isin and regex, and only one")
         if self.in_range is not None and not {"min", "max"} <= set(self.in_range):
-            raise ValidationError("in_range must include min and max")
+            raise ValidationError("in_range needs both min and max")
 
     @classmethod
     def from_dict(cls, spec: Mapping) -> CheckSpec:
@@ -66,9 +66,9 @@ class ColumnSpec:
         if self.dtype not in DTYPES:
             raise ValidationError(f"dtype must be one of {list(DTYPES)}, not {self.dtype!r}")
         if any(c.regex is not None for c in self.checks) and self.dtype != "str":
-            raise ValidationError("regex check is only supported for dtype=str")
+            raise ValidationError("a regex check needs dtype str")
         if any(c.in_range is not None for c in self.checks) and self.dtype not in ("int", "float"):
-            raise ValidationError("in_range check is only supported for numeric dtypes")
+            raise ValidationError("an in_range check needs dtype int or float")
 
     @classmethod
     def from_dict(cls, spec: Mapping) -> ColumnSpec:
@@ -111,7 +111,7 @@ def load_spec(path: str) -> SchemaSpec:
         try:
             data = yaml.safe_load(lines) or {}
         except yaml.YAMLError as error:
-            raise ValidationError(f"Invalid YAML in schema file: {error}") from error
+            raise ValidationError(f"schema file is not valid YAML: {error}") from error
     return SchemaSpec.from_dict(data)
 
 

@@ -254,7 +254,7 @@ def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> Cleanin
     config = config or CleaningConfig()
     if config.outliers not in outliers.METHODS:
         raise InvalidInputError(
-            f"Invalid outliers value: {config.outliers!r} (expected one of {outliers.METHODS})"
+            f"unknown outlier method {config.outliers!r}; choose from {outliers.METHODS}"
         )
     config.validate()
     if df is None or not df.columns:

@@ -28,19 +28,15 @@ class CleaningConfig:
     def validate(self) -> None:
         """Raise ValidationError for an unknown outlier method or a malformed mapping."""
         if self.outliers not in METHODS:
-            raise ValidationError(
-                f"Invalid outlier method: {self.outliers}. Must be one of: {list(METHODS)}"
-            )
+            raise ValidationError(f"outliers is {self.outliers!r}; choose from {METHODS}")
         mapping = self.categorical_mapping
         if mapping is None:
             return
         if not isinstance(mapping, dict):
-            raise ValidationError("categorical_mapping must be a dictionary")
+            raise ValidationError("categorical_mapping maps column names to dictionaries")
         wrong = [c for c, values in mapping.items() if not isinstance(values, dict)]
         if wrong:
-            raise ValidationError(
-                f"categorical_mapping[{wrong[0]}] must be a dictionary mapping old to new values"
-            )
+            raise ValidationError(f"categorical_mapping: no dictionary for column(s) {wrong}")
 
 
 @dataclass

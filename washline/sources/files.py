@@ -35,14 +35,9 @@ def format_of(path: str, fmt: str | None = None) -> str:
     suffix = f".{fmt}" if fmt else PurePosixPath(path).suffix
     kind = suffix.lower().lstrip(".")
     if kind == "xls":
-        raise DataLoadError(
-            "Unsupported file format: .xls (old Excel format). "
-            f"Please convert it first. Supported formats: {supported}"
-        )
+        raise DataLoadError(f"old Excel files (.xls) cannot be read; convert to {supported}")
     if kind not in FORMATS:
-        raise DataLoadError(
-            f"Unsupported file format: {suffix or path}. Supported formats: {supported}"
-        )
+        raise DataLoadError(f"unknown file format {suffix or path}; known are {supported}")
     return kind
 
 
@@ -55,7 +50,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def _header(spark: SparkSession, path: str) -> list[str]:
     line = spark.read.text(path).where(F.trim("value") != "").first()
     if line is None:
-        raise DataLoadError(f"The file is empty or invalid: {path}")
+        raise DataLoadError(f"no header line in {path}")
     names = next(csv.reader([line.value.lstrip("﻿")]))
     named = [name if name else f"Unnamed: {i}" for i, name in enumerate(names)]
     return unique_names(named, joiner=".")
@@ -84,7 +79,7 @@ def _infer(raw: DataFrame, width: int, path: str) -> list[str]:
         ]
     row = raw.agg(*(a.alias(f"a{k}") for k, a in enumerate(aggregates))).first()
     if row[0]:
-        raise DataLoadError(f"Parsing error occurred while reading the file: {path}")
+        raise DataLoadError(f"rows longer than the header in {path}")
     return [_inferred(*row[4 * i + 1 : 4 * i + 5]) for i in range(width)]
 
 
@@ -135,14 +130,14 @@ def read_data(
     """
     path = str(path)
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"no such path: {path}")
     kind = format_of(path, fmt)
     try:
         if kind == "csv":
             return read_csv(spark, path, infer=infer, multi_line=multi_line)
         return spark.read.parquet(path)
     except (PySparkException, Py4JJavaError) as error:
-        raise DataLoadError(f"Unexpected error while loading file {path}: {error}") from error
+        raise DataLoadError(f"cannot read {path}: {error}") from error
 
 
 def _csv_ready(df: DataFrame) -> DataFrame:
@@ -183,7 +178,7 @@ def write_data(
                 .csv(path)
             )
     except (PySparkException, Py4JJavaError) as error:
-        raise DataLoadError(f"Unexpected error while writing file {path}: {error}") from error
+        raise DataLoadError(f"cannot write {path}: {error}") from error
 
 
 def default_output(path: str) -> str:
