@@ -98,7 +98,7 @@ def test_gate(label, stats, target):
     assert choose_target(label, stats) == target
 
 
-@pytest.mark.parametrize(("few_values", "lookup_bytes"), [(0, 0), (50_000, 0), (50_000, 1_000_000)])
+@pytest.mark.parametrize(("few_values", "lookup_bytes"), [(0, 0), (250_000, 0), (250_000, 1_000_000)])
 def test_standardize(spark, values, monkeypatch, few_values, lookup_bytes):
     """All routes agree: cell by cell, counted by value, and looked up by value."""
     monkeypatch.setattr(formats, "FEW_VALUES", few_values)

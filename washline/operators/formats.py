@@ -23,7 +23,7 @@ NUMBER_SHARE = 0.8
 
 # Columns with at most this many different values are parsed value by value, not cell by
 # cell, and looked up if the readable values fit into a broadcast of this size.
-FEW_VALUES = 50_000
+FEW_VALUES = 250_000
 LOOKUP_BYTES = 16 * 1024 * 1024
 
 
