@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_expected_result_belongs_to_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(driver.QUERIES) == set(driver.ORACLES)
 
 
 def test_flagship(spark):
