@@ -27,7 +27,8 @@ def tokenizer_path() -> str:
 
 
 def in_fold(fold: int, of: int):
-    return F.crc32(F.col("doc_id").cast("string")) % of == fold
+    """A row without doc_id is in no held-out fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == fold, F.lit(False))
 
 
 @query
@@ -58,3 +59,19 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.score(docs, forest).select(
         "doc_id", in_fold(2, 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op8_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and number of links of every document at a Jaccard coefficient of 0.8 of five-word shingles."""
+    from washline.llm.forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
+
+
+@query
+def op9_count_min_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that an earlier document has."""
+    from washline.llm.substrings import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents"), width=50)
