@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from washline.llm.rules import apply_rules, rules_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,3 +77,41 @@ def op9_count_min_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.llm.substrings import remove_repeated
 
     return remove_repeated(table(spark, sf_dir, "documents"), width=50)
+
+
+@query
+def op2_entropy_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that a mix of 150 percent of all words takes of it."""
+    from washline.llm.balance import cycled_targets, mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), cycled_targets((5, 2, 1), share=1.5, most=2), most=2)
+
+
+@query
+def op4_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    return apply_rules(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_threshold_rules"] = rules_sql()
+
+
+@query
+def op5_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row stays of equal texts, by a stream over the documents."""
+    from washline.llm.stream_dedup import exact_duplicates
+
+    return exact_duplicates(spark, f"{sf_dir}/documents.parquet").drop("file", "row")
+
+
+ORACLES["op5_stream_dedup"] = """
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS c,
+         regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS n
+  FROM documents),
+k AS (
+  SELECT *, row_number() OVER w AS p, first_value(doc_id) OVER w AS keep_id,
+         count(*) OVER (PARTITION BY n) AS group_size
+  FROM d WINDOW w AS (PARTITION BY n ORDER BY c DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, p = 1 AS kept, sha256(n) AS text_sha256 FROM k
+"""
