@@ -266,3 +266,16 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"`{id_col}` {kind}, score double"
     )
+
+
+def accepted(docs: DataFrame, forest: Forest, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
+            for i, j, data, offsets in batch_chunks(texts, "text"):
+                yield batch.slice(i, j - i).filter(pa.array(forest.score(statistics(data, offsets)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,16 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def located(docs: DataFrame, name: str = "_place") -> DataFrame:
+    """Add the place of each row in its files; a frame that does not come from files is staged first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = stage(docs, "documents")
+    place = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+    return docs.select("*", place.alias(name))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

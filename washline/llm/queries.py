@@ -115,3 +115,51 @@ k AS (
   FROM d WINDOW w AS (PARTITION BY n ORDER BY c DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, p = 1 AS kept, sha256(n) AS text_sha256 FROM k
 """
+
+
+@query
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each participant; the mask as character ranges."""
+    from washline.llm.perspectives import rotate
+
+    masked = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return rotate(table(spark, sf_dir, "conversations")).withColumn("masked", masked).drop("spans")
+
+
+ORACLES["op1_perspective_rotation"] = """
+WITH m AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS s,
+         replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') || '<|im_end|>' AS body,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS rank
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, s AS perspective FROM m WHERE s <> 'system'),
+v AS (
+  SELECT m.conv_id, perspective, rank // 256 AS part, rank, s = perspective AS own, body,
+         '<|im_start|>' || CASE WHEN s = perspective THEN 'assistant' WHEN s = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(s, '[^\\p{L}\\p{N}_.-]+', '_', 'g') END || chr(10) AS head
+  FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (
+    PARTITION BY conv_id, perspective, part ORDER BY rank) - length(body) - 1 AS start FROM v)
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
+       CAST(count(*) FILTER (own) AS BIGINT) AS n_own, string_agg(head || body || chr(10), '' ORDER BY rank) AS text,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ',' ORDER BY rank) FILTER (own), '') AS masked
+FROM o GROUP BY conv_id, perspective, part
+"""
+
+
+@query
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal numbers, dates and mail addresses."""
+    from washline.llm.pseudonyms import pseudonymise
+
+    # A deployment passes its own secret; the tables are synthetic.
+    return pseudonymise(table(spark, sf_dir, "documents"), key="synthetic tables")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline over the documents."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
