@@ -98,10 +98,10 @@ def test_gate(label, stats, target):
     assert choose_target(label, stats) == target
 
 
-@pytest.mark.parametrize(("few_values", "lookup_bytes"), [(0, 0), (250_000, 0), (250_000, 1_000_000)])
-def test_standardize(spark, values, monkeypatch, few_values, lookup_bytes):
+@pytest.mark.parametrize(("few_share", "lookup_bytes"), [(-1, 0), (1.1, 0), (1.1, 1_000_000)])
+def test_standardize(spark, values, monkeypatch, few_share, lookup_bytes):
     """All routes agree: cell by cell, counted by value, and looked up by value."""
-    monkeypatch.setattr(formats, "FEW_VALUES", few_values)
+    monkeypatch.setattr(formats, "FEW_SHARE", few_share)
     monkeypatch.setattr(formats, "LOOKUP_BYTES", lookup_bytes)
     rows = [
         (i, f"${i},000.50", "2024-01-%02d" % (i % 9 + 1) if i else "junk", str(i), f"id {i}", None)

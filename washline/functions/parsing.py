@@ -55,9 +55,11 @@ _WEEKDAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,
 _NTH = r"(\d{1,2})(?:st|nd|rd|th)?\.?"
 
 # Each rule rewrites one date shape as year-month-day. A tilde after the year says that
-# month and day may change places.
+# month and day may change places, a bar that they may not.
 _DIGIT_RULES = (
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(3[2-9]|[4-9]\d)(\d{2})(\d{2})$", "$1|$2-$3"),
+    (r"^(\d{2})(\d{2})(\d{2})$", "$3~$1-$2"),
     (r"^(\d{1,2})-(\d{1,2})-(\d{4}|\d{2})$", "$3~$1-$2"),
     (r"^(\d{1,2})-(\d{4})$", "$2-$1-1"),
 )
@@ -67,22 +69,25 @@ _WORD_RULES = (
     (rf"^(\d{{4}}),?[ -]({_MONTH})\.?[ -](\d{{1,2}})$", "$1-$2-$3"),
     (rf"^({_MONTH})\.?,?[ -](\d{{4}})$", "$2-$1-1"),
     (r"^(\d{4})-?q([1-4])$", "$1-q$2-1"),
+    (r"^([1-4])q-?(\d{4}|\d{2})$", "$2-q$1-1"),
 )
 
-# What any accepted shape starts with, and the most characters it can have.
+# What any accepted shape starts with.
 _DATE_START = (
-    rf"^(?:\d{{1,4}}[-/. ,]|\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)?\.?[ -]?{_MONTH}|{_WEEKDAY}(?:{_MONTH}|\d))"
+    rf"^(?:\d{{1,4}}[-/. ,]|\d{{4}}|[1-4]q|\d{{1,2}}(?:st|nd|rd|th)?\.?[ -]?{_MONTH}|{_WEEKDAY}(?:{_MONTH}|\d))"
 )
-_LONGEST = 64
 
 # The most common shape needs no rule.
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ t]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
 
 # Time of day at the end of a cell: 10:30, 10:30:05.123, 10:30 pm, 10pm, 10:30:05+02:00.
-_CLOCK = (
-    r"(?:[ t]+(\d{1,2})(?::(\d{2})(?::(\d{2}(?:\.\d{1,9})?))? ?([ap]m)?| ?([ap]m))"
-    r" ?(z|utc|gmt|[+-]\d{2}:?\d{2})?)$"
+# It follows blanks, or a "t" right after a digit; a run of blanks is looked at once.
+_CLOCK_TEXT = (
+    r"(\d{1,2})(?::(\d{2})(?::(\d{2}(?:\.\d{1,9})?))? ?([ap]m)?| ?([ap]m))"
+    r" ?(z|utc|gmt|[+-]\d{2}:?\d{2})?$"
 )
+_CLOCK = rf"(?:(?<! ) ++t?|(?<=\d)t ?){_CLOCK_TEXT}"
+_CLOCK_ALONE = rf"^[ t]+{_CLOCK_TEXT}"
 
 
 def _rewritten(text: str, rules: tuple[tuple[str, str], ...]) -> str:
@@ -91,13 +96,20 @@ def _rewritten(text: str, rules: tuple[tuple[str, str], ...]) -> str:
     return text
 
 
+# The time of day can stand before the year: Fri Jan  5 10:30:00 2024.
+_TIME_BEFORE_YEAR = (
+    rf"^({_WEEKDAY}{_MONTH})\.? +(\d{{1,2}}) +(\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?) +(\d{{4}})$"
+)
+
 # Digits-only stamps get a visible time of day: 20240105103000 -> 20240105 10:30:00.
 _SPACED = r"""
     CASE WHEN t RLIKE r'^\d{8}t?\d{6}$'
          THEN regexp_replace(t, r'^(\d{8})t?(\d{2})(\d{2})(\d{2})$', '$1 $2:$3:$4')
          WHEN t RLIKE r'^\d{8}t?\d{4}$'
          THEN regexp_replace(t, r'^(\d{8})t?(\d{2})(\d{2})$', '$1 $2:$3')
-         ELSE t END"""
+         WHEN t RLIKE r' \d{4}$' AND contains(t, ':')
+         THEN regexp_replace(t, r'{_TIME_BEFORE_YEAR}', '$1 $2 $4 $3')
+         ELSE t END""".replace("{_TIME_BEFORE_YEAR}", _TIME_BEFORE_YEAR)
 
 # Date text rewritten by the rule of its shape.
 _YEAR_MONTH_DAY = f"""
@@ -115,24 +127,27 @@ _MONTH_NUMBER = r"""
          ELSE cast(cast((instr('janfebmaraprmayjunjulaugsepoctnovdec', substr(m, 1, 3)) + 2) / 3
                         AS int) AS string) END"""
 
-# DATE from year-month-day text, where the month may be a name or a quarter.
+# DATE from year-month-day text, where the month may be a name or a quarter. Every part has
+# digits only, so no text after a date gets lost.
+_PART = r"'^\d{1,2}$'"
 _LOOSE_DATE = f"""
-    coalesce(try_cast(concat(p.y, '-', p.m, '-', p.d) AS date),
-             CASE WHEN contains(ymd, '~')
-                  THEN try_cast(concat(p.y, '-', p.d, '-', p.m) AS date) END)"""
+    CASE WHEN size(a) = 3 AND p.y RLIKE r'^\\d{{4}}$' AND p.m RLIKE r{_PART} AND p.d RLIKE r{_PART}
+         THEN coalesce(try_cast(concat(p.y, '-', p.m, '-', p.d) AS date),
+                       CASE WHEN contains(ymd, '~')
+                            THEN try_cast(concat(p.y, '-', p.d, '-', p.m) AS date) END) END"""
 _PARTS = f"""
     named_struct('y', {_let("y", "get(a, 0)", _FULL_YEAR)},
                  'm', {_let("m", "get(a, 1)", _MONTH_NUMBER)},
                  'd', get(a, 2))"""
 _DATE = f"""
-    CASE WHEN ymd RLIKE r'[~a-z]'
-         THEN {_let("a", "split(ymd, r'[-~]')", _let("p", _PARTS, _LOOSE_DATE))}
-         ELSE try_cast(ymd AS date) END"""
+    CASE WHEN ymd RLIKE r'[~|a-z]'
+         THEN {_let("a", "split(ymd, r'[-~|]')", _let("p", _PARTS, _LOOSE_DATE))}
+         WHEN ymd RLIKE r'^\\d{{4}}(?:-\\d{{1,2}}){{0,2}}$' THEN try_cast(ymd AS date) END"""
 
 # Time of day as 24-hour text, and the offset from UTC in minutes.
 _CLOCK_PARTS = f"""
     named_struct({", ".join(
-        f"'{name}', regexp_extract(tail, r'{_CLOCK}', {i})"
+        f"'{name}', regexp_extract(tail, r'{_CLOCK_ALONE}', {i})"
         for i, name in enumerate(("h", "m", "s", "half_a", "half_b", "zone"), 1)
     )})"""
 _HOUR = r"""
@@ -170,13 +185,13 @@ def parse_datetime(column: str, *, bare_digits: bool = True) -> Column:
     (``2024``, ``20240105``, ``20240105103000``).
     """
     mixed = "" if bare_digits else r"AND NOT c RLIKE r'^\d+(?:[tT]\d+)?$'"
-    # One cheap look settles most cells: an accepted cell is short and starts like a date.
+    # One cheap look settles most cells: an accepted cell starts like a date.
     candidate = f"""
-        CASE WHEN length(c) <= {_LONGEST} AND c RLIKE r'[0-9]' {mixed}
+        CASE WHEN c RLIKE r'[0-9]' {mixed}
                   AND lower(c) RLIKE r'{_DATE_START}' THEN lower(c) END"""
     parsed = _let(
         "t",
-        _let("c", quoted_name(column), candidate),
+        _let("c", f"trim({quoted_name(column)})", candidate),
         f"""
         CASE WHEN t RLIKE r'{_ISO}' THEN try_cast(upper(t) AS timestamp_ntz)
              WHEN t IS NOT NULL THEN {_let("text", _SPACED, _FROM_TEXT)} END""",
@@ -209,7 +224,7 @@ def _currency_pattern(ignore_case: bool) -> str:
 _ORDINARY_WORD = r"(?i)(?=[a-z]{4})[a-z]{0,3}?[bdghjlmoquvwx]"
 
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))$"
-_INTEGER = r"^[+-]?[0-9]{1,18}$"
+_INTEGER = r"^[+-]?[0-9]+$"
 
 
 def _bare_number_sql(column: str, ignore_code_case: bool) -> str:
@@ -246,7 +261,27 @@ def number_of(bare: Column) -> Column:
     return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
 
 
+def integer_of(bare: Column) -> Column:
+    """64-bit integer for whole-number text in its range, else NULL."""
+    return F.when(bare.rlike(_INTEGER), bare.try_cast("bigint"))
+
+
+def parse_integer(column: str, *, ignore_code_case: bool = True) -> Column:
+    """64-bit integer read from a text column, every digit kept."""
+    return integer_of(bare_number_text(column, ignore_code_case=ignore_code_case))
+
+
 def is_integer_text(bare: Column) -> Column:
+    return integer_of(bare).isNotNull()
+
+
+def decimal_of(bare: Column) -> Column:
+    """Whole number of up to 38 digits, else NULL."""
+    return F.when(bare.rlike(_INTEGER), bare.try_cast("decimal(38,0)"))
+
+
+def is_whole_text(bare: Column) -> Column:
+    """Whole numbers of any length, also those beyond 64 bits."""
     return bare.rlike(_INTEGER)
 
 

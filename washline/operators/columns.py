@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from washline.functions import text as text_rules
-from washline.functions.columns import text_columns
+from washline.functions.columns import of_type, text_columns
 from washline.functions.names import normalize_name, quoted, unique_names
 
 # A mapping up to this size becomes an expression; a larger one becomes a join.
@@ -68,36 +68,75 @@ def clean_text_columns(
     return normalize_categorical_text(df, categorical_mapping)
 
 
-def _mapping_expression(c: Column, values: Mapping[str, str | None]) -> Column:
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    table = F.create_map(*pairs).cast("map<string,string>")
-    return F.when(F.map_contains_key(table, c), F.element_at(table, c)).otherwise(c)
-
-
-def _mapping_join(df: DataFrame, column: str, values: Mapping[str, str | None]) -> DataFrame:
-    # The dictionary sits in driver memory, so its length bounds the broadcast.
-    rows = [(old, new, True) for old, new in values.items()]
-    table = df.sparkSession.createDataFrame(rows, "__old string, __new string, __hit boolean")
-    if len(rows) <= 1_000_000:
-        table = F.broadcast(table)
+def mapped_type(dtype: T.DataType, values: Mapping[object, object]) -> T.DataType:
+    """Type of a mapped column: its own if all new values fit it, else a wider number or text."""
+    new = [v for v in values.values() if v is not None]
+    if isinstance(dtype, T.StringType) or any(isinstance(v, str) for v in new):
+        return T.StringType()
+    if isinstance(dtype, T.BooleanType):
+        return dtype if all(isinstance(v, bool) for v in new) else T.StringType()
+    if isinstance(dtype, T.IntegralType):
+        whole = all(isinstance(v, int) or float(v).is_integer() for v in new)
+        return (dtype if _fits(dtype, new) else T.LongType()) if whole else T.DoubleType()
+    return dtype if isinstance(dtype, (T.DoubleType, T.DecimalType)) else T.DoubleType()
+
+
+def _fits(dtype: T.DataType, values: Sequence[object]) -> bool:
+    bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(dtype), 63)
+    return all(-(1 << bits) <= int(v) < 1 << bits for v in values)
+
+
+def _mapping_table(df: DataFrame, column: str, values: Mapping[object, object]) -> tuple[list, T.DataType]:
+    """(old, new) pairs as text whose old value is one of the column's type, and the new type."""
+    dtype = df.schema[column].dataType
+    text = lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    return [(text(old), text(new)) for old, new in values.items() if old is not None], mapped_type(dtype, values)
+
+
+def _mapping_expression(df: DataFrame, column: str, values: Mapping[object, object]) -> Column:
+    pairs, target = _mapping_table(df, column, values)
+    dtype, c = df.schema[column].dataType, quoted(column)
+    if isinstance(dtype, T.StringType):
+        table = F.create_map(*[F.lit(x) for pair in pairs for x in pair]).cast("map<string,string>")
+        return F.when(F.map_contains_key(table, c), F.element_at(table, c)).otherwise(c)
+    result = c.cast(target)
+    for old, new in pairs:
+        # A key that is no value of the type matches nothing.
+        result = F.when(c == F.lit(old).try_cast(dtype), F.lit(new).try_cast(target)).otherwise(result)
+    return result
+
+
+def _mapping_join(df: DataFrame, column: str, values: Mapping[object, object]) -> DataFrame:
+    """The dictionary as a table; Spark broadcasts it if its size in bytes allows."""
+    pairs, target = _mapping_table(df, column, values)
+    dtype = df.schema[column].dataType
+    table = df.sparkSession.createDataFrame(
+        [(*pair, True) for pair in pairs], "__old string, __new string, __hit boolean"
+    ).select(
+        F.col("__old").try_cast(dtype).alias("__old"), F.col("__new").try_cast(target).alias("__new"), "__hit"
+    )
     joined = df.join(table, quoted(column) == F.col("__old"), "left")
-    mapped = F.when(F.col("__hit"), F.col("__new")).otherwise(quoted(column))
+    mapped = F.when(F.col("__hit"), F.col("__new")).otherwise(quoted(column).cast(target))
     return joined.select(*(mapped.alias(c) if c == column else quoted(c) for c in df.columns))
 
 
 def normalize_categorical_text(
     df: DataFrame,
-    mapping: Mapping[str, Mapping[str, str | None]] | None,
+    mapping: Mapping[str, Mapping[object, object]] | None,
     *,
     inline_limit: int = INLINE_MAPPING,
 ) -> DataFrame:
-    """Replace listed values column by column; other values and absent columns stay."""
+    """Replace listed values column by column; other values and absent columns stay.
+
+    Keys are values of the column, of any plain type: codes as well as text. A column becomes
+    text, or a wider number, if a new value is none of its type.
+    """
     if not mapping:
         return df
-    text = set(text_columns(df))
-    present = {c: values for c, values in mapping.items() if c in text and values}
+    plain = set(of_type(df, T.StringType, T.NumericType, T.BooleanType))
+    present = {c: values for c, values in mapping.items() if c in plain and values}
     small = {c: v for c, v in present.items() if len(v) <= inline_limit}
-    df = replace_columns(df, {c: _mapping_expression(quoted(c), v) for c, v in small.items()})
+    df = replace_columns(df, {c: _mapping_expression(df, c, v) for c, v in small.items()})
     for column, values in present.items():
         if column not in small:
             df = _mapping_join(df, column, values)

@@ -21,11 +21,15 @@ DATETIME_SHARE = 0.9
 NUMBER_SHARE = 0.8
 
 
-# Columns with at most this many different values are parsed value by value, not cell by
-# cell, and looked up if the readable values fit into a broadcast of this size.
-FEW_VALUES = 250_000
+# Columns with at most this share of different values are parsed value by value, not cell by
+# cell, and looked up as long as the readable values of all such columns together fit into
+# broadcasts of this size.
+FEW_SHARE = 0.1
 LOOKUP_BYTES = 16 * 1024 * 1024
 
+# Whole numbers beyond this are not exact as doubles.
+_EXACT = 1 << 53
+
 
 @dataclass(frozen=True)
 class TextSurvey:
@@ -48,6 +52,9 @@ class TextStats:
     numbers: int = 0
     integers: int = 0
     digits: bool = False
+    whole: int = 0
+    wide: int = 0
+    beyond_double: int = 0
 
 
 def _cells(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]) -> DataFrame:
@@ -110,7 +117,7 @@ def parse_text(
     columns = list(columns)
     if not columns:
         return ParsedText({}, {})
-    few = [c for c in columns if survey[c].distinct <= FEW_VALUES]
+    few = [c for c in columns if survey[c].distinct <= FEW_SHARE * survey[c].rows]
     many = [c for c in columns if c not in few]
 
     def parsed(cells: DataFrame) -> DataFrame:
@@ -126,7 +133,9 @@ def parse_text(
             "n",
             F.col("v").isNotNull().alias("present"),
             F.coalesce(parsing.has_digit(F.col("v")), F.lit(False)).alias("digits"),
-            F.coalesce(parsing.is_integer_text(F.col("bare")), F.lit(False)).alias("whole"),
+            F.coalesce(parsing.is_whole_text(F.col("bare")), F.lit(False)).alias("whole"),
+            parsing.integer_of(F.col("bare")).alias("integer"),
+            parsing.decimal_of(F.col("bare")).alias("wide"),
             "dt",
             number.alias("number"),
             F.when(readable, F.col("v")).alias("text"),
@@ -149,22 +158,30 @@ def parse_text(
         total(F.col("present")),
         total(F.col("dt").isNotNull()),
         total(F.col("number").isNotNull()),
-        total(F.col("whole")),
+        total(F.col("integer").isNotNull()),
         F.max("digits"),
-        F.sum(F.length("text") + 32).alias("size"),
+        total(F.col("whole")),
+        total(F.col("wide").isNotNull()),
+        total(F.col("wide").isNotNull() & (F.abs("wide") > _EXACT)),
+        F.sum(F.octet_length("text") + 48).alias("size"),
     )
     stats = {c: TextStats() for c in columns}
-    lookups = {}
-    for row in counted.collect():  # one row per column
+    lookups, room = {}, LOOKUP_BYTES
+    found = counted.collect()  # one row per column
+    for row in sorted(found, key=lambda r: (r.size or 0, r[0])):
         c = columns[row[0]]
-        stats[c] = TextStats(*row[1:7])
-        if c in few and row.size and row.size <= LOOKUP_BYTES:
+        stats[c] = TextStats(*row[1:10])
+        if c in few and row.size and row.size <= room:
+            room -= row.size
             lookups[c] = values.where(F.col("col") == row[0]).where("text is not null")
     return ParsedText(stats, lookups)
 
 
 def choose_target(label: str, stats: TextStats) -> str | None:
-    """``timestamp_ntz``, ``double``, ``bigint`` or None (stays text)."""
+    """``timestamp_ntz``, ``double``, ``bigint``, ``decimal(38,0)`` or None (stays text).
+
+    Whole numbers that a double would round keep every digit, also next to gaps.
+    """
     if not stats.rows:
         return None
     name = label.lower()
@@ -175,7 +192,11 @@ def choose_target(label: str, stats: TextStats) -> str | None:
     if not (stats.digits or any(hint in name for hint in parsing.NUMERIC_HINTS)):
         return None
     if stats.numbers / stats.rows > NUMBER_SHARE:
-        return "bigint" if stats.integers == stats.rows else "double"
+        if stats.integers == stats.rows or (stats.beyond_double and stats.integers == stats.numbers):
+            return "bigint"
+        if stats.beyond_double and stats.whole == stats.numbers:
+            return "decimal(38,0)" if stats.wide == stats.whole else None
+        return "double"
     return None
 
 
@@ -196,13 +217,16 @@ def apply_targets(
     def converted(name: str, target: str) -> Column:
         if target == "timestamp_ntz":
             return parsing.parse_datetime(name, bare_digits=bare_digits)
-        number = parsing.parse_number(name, ignore_code_case=ignore_code_case)
-        return number.cast(target)
+        if target == "bigint":
+            return parsing.parse_integer(name, ignore_code_case=ignore_code_case)
+        if target != "double":
+            return parsing.decimal_of(parsing.bare_number_text(name, ignore_code_case=ignore_code_case))
+        return parsing.parse_number(name, ignore_code_case=ignore_code_case)
 
     known = {c: v for c, v in (values or {}).items() if c in targets}
     df = replace_columns(df, {c: converted(c, t) for c, t in targets.items() if c not in known})
     for c, table in known.items():
-        result = "dt" if targets[c] == "timestamp_ntz" else "number"
+        result = {"timestamp_ntz": "dt", "double": "number", "bigint": "integer"}.get(targets[c], "wide")
         lookup = table.select(
             F.col("text").alias("__text"), F.col(result).cast(targets[c]).alias("__value")
         )

@@ -26,14 +26,19 @@ _DATETIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 @dataclass(frozen=True)
 class Fill:
-    """Fill value of one column. ``kind``: number, datetime, boolean, text or forward."""
+    """Fill value of one column. ``kind``: number, whole, datetime, boolean, text or forward."""
 
     kind: str
     value: object = None
 
     def expression(self, c: Column, dtype: T.DataType) -> Column:
+        if self.kind == "number" and isinstance(dtype, T.DecimalType):
+            # The column keeps its type; a value that does not fit leaves the gap.
+            return F.coalesce(c, F.lit(float(self.value)).try_cast(dtype))
         if self.kind == "number":
             return F.coalesce(c.cast("double"), F.lit(float(self.value)))
+        if self.kind == "whole":
+            return F.coalesce(c, F.lit(int(self.value)).try_cast(dtype))
         if self.kind == "datetime":
             return F.coalesce(c, datetime_literal(self.value, dtype))
         return F.coalesce(c, F.lit(self.value))

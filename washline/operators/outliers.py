@@ -95,9 +95,9 @@ def outside(c: Column, bounds: Bounds) -> Column:
 
 
 def capped_type(dtype: T.DataType, bounds: Bounds) -> T.DataType:
-    """Whole-number columns stay whole only if both bounds are whole numbers."""
+    """Decimals stay; whole-number columns stay whole only if both bounds are whole numbers."""
     whole = bounds.low.is_integer() and bounds.high.is_integer()
-    keeps = isinstance(dtype, T.DoubleType) or (isinstance(dtype, T.IntegralType) and whole)
+    keeps = isinstance(dtype, (T.DoubleType, T.DecimalType)) or (isinstance(dtype, T.IntegralType) and whole)
     return dtype if keeps else T.DoubleType()
 
 
@@ -106,9 +106,10 @@ def cap_expression(c: Column, dtype: T.DataType, bounds: Bounds) -> Column:
     target = capped_type(dtype, bounds)
     low, high = (F.lit(float(b)) for b in (bounds.low, bounds.high))
     value = c.cast(target)
+    # A bound beyond the type's range limits nothing.
     return (
-        F.when(c.cast("double") < low, low.try_cast(target))
-        .when(c.cast("double") > high, high.try_cast(target))
+        F.when(c.cast("double") < low, F.coalesce(low.try_cast(target), value))
+        .when(c.cast("double") > high, F.coalesce(high.try_cast(target), value))
         .otherwise(value)
     )
 
@@ -142,13 +143,26 @@ def fit_ranges(
     accuracy: int | None = None,
     known: Mapping[str, Moments] | None = None,
 ) -> dict[str, Bounds]:
-    """Ranges for row removal, in column order, each on the rows the earlier ones left.
+    """Ranges for row removal, in column order, each on the rows the earlier ones left."""
+    ranges, removing = fit_all_ranges(df, auto_detect=auto_detect, accuracy=accuracy, known=known)
+    return {c: ranges[c] for c in removing}
+
+
+def fit_all_ranges(
+    df: DataFrame,
+    *,
+    auto_detect: bool = True,
+    accuracy: int | None = None,
+    known: Mapping[str, Moments] | None = None,
+) -> tuple[dict[str, Bounds], list[str]]:
+    """Ranges of all columns that have some, and the columns whose range removes rows of ``df``.
 
     All waiting columns are measured together. Columns without outliers leave the rows as
     they are, so the measurement is repeated only after a column that does remove rows.
     """
     waiting = numeric_columns(df)
     ranges: dict[str, Bounds] = {}
+    removing: list[str] = []
     rows = df
     while waiting:
         bounds, stats = fit_bounds(
@@ -156,12 +170,14 @@ def fit_ranges(
         )
         known = None
         first = next((c for c in waiting if has_outliers(stats[c], bounds[c])), None)
+        settled = waiting if first is None else waiting[: waiting.index(first) + 1]
+        ranges.update({c: bounds[c] for c in settled if bounds[c] is not None})
         if first is None:
             break
-        ranges[first] = bounds[first]
+        removing.append(first)
         rows = apply_ranges(rows, {first: bounds[first]})
-        waiting = waiting[waiting.index(first) + 1 :]
-    return ranges
+        waiting = waiting[len(settled) :]
+    return ranges, removing
 
 
 def handle_outliers(

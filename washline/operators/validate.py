@@ -127,12 +127,17 @@ def _as_spec(spec: SchemaSpec | Mapping) -> SchemaSpec:
     return spec if isinstance(spec, SchemaSpec) else SchemaSpec.from_dict(spec)
 
 
-def _check_rule(check: CheckSpec, value: Column) -> tuple[str, Column]:
+def _check_rule(check: CheckSpec, value: Column, dtype: str) -> tuple[str, Column]:
     if check.in_range is not None:
         low, high = check.in_range["min"], check.in_range["max"]
         return f"in_range({low}, {high})", ~value.between(F.lit(low), F.lit(high))
     if check.isin is not None:
-        return f"isin({list(check.isin)})", ~value.isin(list(check.isin))
+        # Listed values are read as values of the column; one that cannot be is never met.
+        known = F.filter(
+            F.array(*[F.lit(v if v is None else str(v)).try_cast(dtype) for v in check.isin]), lambda x: x.isNotNull()
+        )
+        found = F.coalesce(F.array_contains(known, value), F.lit(False)) if check.isin else F.lit(False)
+        return f"isin({list(check.isin)})", value.isNotNull() & ~found
     # A pattern must match from the start of the text, not to its end.
     return f"str_matches({check.regex!r})", ~value.rlike(rf"\A(?:{check.regex})")
 
@@ -158,7 +163,7 @@ def _rules(df: DataFrame, spec: SchemaSpec) -> list[_Rule]:
         if not column.nullable:
             rules.append(_Rule(name, "not_nullable", raw.isNull(), case))
         for check in column.checks:
-            label, broken = _check_rule(check, value)
+            label, broken = _check_rule(check, value, DTYPES[column.dtype])
             rules.append(_Rule(name, label, broken, case))
     return rules
 

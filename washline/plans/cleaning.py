@@ -15,6 +15,7 @@ Only small rows of statistics reach the driver. The cleaned table itself stays l
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
@@ -88,6 +89,12 @@ class CleaningRun:
     table: DataFrame
     summary: dict[str, object]
     log: StepLog
+    scope: staging.StageScope
+    staged: list[str]
+
+    def release(self) -> None:
+        """Delete what the run staged; the lazy table stops working."""
+        self.scope.release(self.table.sparkSession, [p for p in self.staged if p in self.scope.paths()])
 
 
 def readable_duration(seconds: float) -> str:
@@ -167,8 +174,8 @@ def _profile(rows: DataFrame, text_present: Mapping[str, int] | None) -> _Profil
     columns = _value_columns(rows)
     columns.update({c: quoted(c).cast("double") for c in boolean_columns(rows)})
     texts = text_columns(rows)
-    if text_present is None:
-        columns.update({c: F.when(quoted(c).isNotNull(), F.lit(1.0)) for c in texts})
+    uncounted = [c for c in texts if text_present is None or c not in text_present]
+    columns.update({c: F.when(quoted(c).isNotNull(), F.lit(1.0)) for c in uncounted})
     columns[_COPIES] = quoted(_COPIES).cast("double")
     found = moments(rows, columns)
     counts = found.pop(_COPIES)
@@ -181,26 +188,50 @@ def _profile(rows: DataFrame, text_present: Mapping[str, int] | None) -> _Profil
     return _Profile(counts.n, int(counts.total or 0), present, found)
 
 
+@dataclass
+class _Values:
+    """Limits and fills; ``*_here`` are those that change the table they were fitted on."""
+
+    ranges: dict[str, outliers.Bounds]
+    caps: dict[str, outliers.Bounds]
+    fills: dict[str, missing.Fill]
+    ranges_here: list[str]
+    caps_here: list[str]
+    fills_here: list[str]
+
+
+def _whole_bounds(bounds: outliers.Bounds) -> outliers.Bounds:
+    """The widest whole-number bounds inside these, so that a whole-number column stays one."""
+    low, high = math.ceil(bounds.low), math.floor(bounds.high)
+    return replace(bounds, low=float(low), high=float(high)) if low <= high else bounds
+
+
 def _fit_values(
-    rows: DataFrame, profile: _Profile, config: CleaningConfig
-) -> tuple[dict, dict, DataFrame, _Profile, dict]:
-    """Ranges, caps, the remaining rows with their profile, and the fill of every gap."""
+    rows: DataFrame, profile: _Profile, config: CleaningConfig, complete: bool
+) -> tuple[_Values, DataFrame, _Profile]:
+    """Limits, fills, and the remaining rows with their profile.
+
+    ``complete`` also learns limits and fills of columns that need none here, for other rows.
+    They never change the type of a column.
+    """
     numbers = [c for c in numeric_columns(rows) if c != _COPIES]
     ranges: dict[str, outliers.Bounds] = {}
+    ranges_here: list[str] = []
     if config.outliers == "remove":
         measured = {c: profile.moments[c] for c in numbers}
-        ranges = outliers.fit_ranges(
+        ranges, ranges_here = outliers.fit_all_ranges(
             rows.select(*numbers),
             auto_detect=config.auto_outlier_detect,
             accuracy=config.quantile_accuracy,
             known=measured,
         )
-        if ranges:
-            rows = outliers.apply_ranges(rows, ranges)
+        if ranges_here:
+            rows = outliers.apply_ranges(rows, {c: ranges[c] for c in ranges_here})
             profile = _profile(rows, None)
 
     capping = config.outliers == "cap"
     gaps = set(profile.gaps())
+    filled = list(profile.present) if complete else profile.gaps()
     values = _value_columns(rows)
     wanted: dict[str, tuple[float, ...]] = {}
     for c in values:
@@ -210,23 +241,28 @@ def _fit_values(
         )
         # The skew that decides over the median is known only after the cap, so a column
         # with gaps asks for its median now. A cap never moves the middle values.
-        wanted[c] = ((0.25, 0.75) if quartiles else ()) + ((0.5,) if c in gaps else ())
+        wanted[c] = ((0.25, 0.75) if quartiles else ()) + ((0.5,) if c in filled else ())
     points = quantiles(
         rows, wanted, columns=values, known=profile.moments, accuracy=config.quantile_accuracy
     )
 
+    dtypes = {f.name: f.dataType for f in rows.schema.fields}
     caps: dict[str, outliers.Bounds] = {}
+    caps_here: list[str] = []
     if capping:
         for c in numbers:
             stats = profile.moments[c]
             bounds = outliers.bounds_of(stats, points.get(c), config.auto_outlier_detect)
             if outliers.has_outliers(stats, bounds):
                 caps[c] = bounds
+                caps_here.append(c)
+            elif bounds is not None and complete:
+                whole = isinstance(dtypes[c], T.IntegralType)
+                caps[c] = _whole_bounds(bounds) if whole else bounds
 
     after_cap = dict(profile.moments)
-    changed = [c for c in caps if c in gaps]
+    changed = [c for c in caps_here if c in filled]
     if changed:
-        dtypes = {f.name: f.dataType for f in rows.schema.fields}
         capped = {
             c: as_double(outliers.cap_expression(quoted(c), dtypes[c], caps[c])) for c in changed
         }
@@ -234,24 +270,43 @@ def _fit_values(
 
     kinds = {f.name: missing.kind_of(f.dataType) for f in rows.schema.fields}
     fills: dict[str, missing.Fill] = {}
-    for c in profile.gaps():
+    for c in filled:
         kind, median = kinds[c], points.get(c, {}).get(0.5)
         if not profile.present[c]:
             fills[c] = missing.empty_fill(kind)
         elif kind == "number":
-            fills[c] = missing.Fill(kind, missing.choose_number(after_cap[c], median))
+            value = missing.choose_number(after_cap[c], median)
+            # A column without gaps keeps its type.
+            whole = c not in gaps and isinstance(dtypes[c], T.IntegralType) and c not in caps_here
+            fills[c] = missing.Fill("whole", round(value)) if whole else missing.Fill(kind, value)
         elif kind == "datetime":
             fills[c] = missing.Fill(kind, int(median))
         elif kind == "boolean":
             fills[c] = missing.Fill(kind, profile.moments[c].mean > 0.5)
-    texts = [c for c in profile.gaps() if kinds[c] == "text" and c not in fills]
+    texts = [c for c in filled if kinds[c] == "text" and c not in fills]
     fills.update({c: missing.Fill("text", v) for c, v in modes(rows, texts).items()})
-    return ranges, caps, rows, profile, fills
+    here = [c for c in fills if c in gaps]
+    return _Values(ranges, caps, fills, ranges_here, caps_here, here), rows, profile
+
+
+def run_cleaning(
+    df: DataFrame, config: CleaningConfig | None = None, *, complete: bool = True
+) -> CleaningRun:
+    """Fit on ``df`` and clean it. Staged tables live until the run is released.
 
+    The model serves other rows too. ``complete=False`` spares the statistics that only other
+    rows would need; the model then serves this table alone.
+    """
+    scope = staging.current_scope()
+    if scope is staging.default_scope():
+        scope = staging.StageScope()
+    with staging.use_scope(scope):
+        return _run_cleaning(df, config or CleaningConfig(), complete, scope)
 
-def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> CleaningRun:
-    """Fit on ``df`` and clean it. Staged tables live until ``staging.release``."""
-    config = config or CleaningConfig()
+
+def _run_cleaning(
+    df: DataFrame, config: CleaningConfig, complete: bool, scope: staging.StageScope
+) -> CleaningRun:
     if config.outliers not in outliers.METHODS:
         raise InvalidInputError(
             f"unknown outlier method {config.outliers!r}; choose from {outliers.METHODS}"
@@ -284,7 +339,7 @@ def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> Cleanin
         model = replace(model, mapping=mapping)
 
     with log.timed("remove_duplicates"):
-        outlived = len(staging.staged_paths())
+        outlived = len(scope.paths())
         rows = staging.stage(count_copies(model.positional(df)))
     log.milliseconds["normalize_columns"] = 0.0
 
@@ -293,6 +348,8 @@ def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> Cleanin
         survey = _survey(rows, model)
         if model.clean_text:
             model = replace(model, nfkc=tuple(c for c in texts if survey[c].non_ascii))
+        # Other rows may have such characters anywhere.
+        nfkc_all = tuple(texts) if model.clean_text else ()
     with log.timed("standardize_formats"):
         parsed = _parse_text(rows, survey, model)
         stats = parsed.stats
@@ -302,21 +359,29 @@ def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> Cleanin
         rows = model.with_types(model.with_clean_text(rows), parsed.values)
         if model.targets:
             # Parsing is worth doing once: the passes below read plain numbers.
-            earlier = staging.staged_paths()[outlived:]
+            earlier = scope.paths()[outlived:]
             rows = staging.stage(rows)
-            staging.release(df.sparkSession, earlier)
+            scope.release(df.sparkSession, earlier)
         profile = _profile(rows, {c: s.present for c, s in stats.items()})
     if profile.rows == 0:
         raise InvalidInputError("Input dataframe is empty.")
     before_values = profile
 
     with log.timed("handle_outliers"):
-        ranges, caps, kept, profile, fills = _fit_values(rows, profile, config)
-        model = replace(model, ranges=ranges, caps=caps, fills=fills)
+        fitted, _, profile = _fit_values(rows, profile, config, complete)
+        here = replace(
+            model,
+            ranges={c: fitted.ranges[c] for c in fitted.ranges_here},
+            caps={c: fitted.caps[c] for c in fitted.caps_here},
+            fills={c: fitted.fills[c] for c in fitted.fills_here},
+        )
+        model = here
+        if complete:
+            model = replace(here, nfkc=nfkc_all, ranges=fitted.ranges, caps=fitted.caps, fills=fitted.fills)
     with log.timed("fill_missing"):
         table = model.named(model.with_values(rows))
 
-    filled = sum(profile.rows - profile.present[c] for c in fills)
+    filled = sum(profile.rows - profile.present[c] for c in here.fills)
     removed = before_values.rows - profile.rows
     standardized = len([c for c in typed_columns(rows) if c != _COPIES])
     unread = sum(
@@ -343,7 +408,7 @@ def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> Cleanin
         profile.rows,
         skipped=not config.outliers,
         outliers_handled=removed,
-        columns_limited=len(ranges) + len(caps),
+        columns_limited=len(here.ranges) + len(here.caps),
     )
     log.add("fill_missing", profile.rows, profile.rows, missing_filled=filled)
     for step, skipped in (
@@ -369,7 +434,8 @@ def run_cleaning(df: DataFrame, config: CleaningConfig | None = None) -> Cleanin
             "total_ms": elapsed * 1000.0,
             "steps": {step: log.milliseconds[step] for step in STEPS},
         }
-    return CleaningRun(model, table, summary, log)
+    staged = scope.paths()[outlived:]
+    return CleaningRun(model, table, summary, log, scope, staged)
 
 
 def clean_data(
@@ -384,7 +450,10 @@ def clean_data(
     profile: bool = False,
     **options: object,
 ) -> tuple[DataFrame, dict[str, object]]:
-    """Clean a table: returns the (lazy) cleaned table and the summary."""
+    """Clean a table: returns the (lazy) cleaned table and the summary.
+
+    ``table.release()`` deletes the staged rows the table reads, once it is written.
+    """
     run = run_cleaning(
         df,
         CleaningConfig(
@@ -397,7 +466,9 @@ def clean_data(
             profile=profile,
             **options,
         ),
+        complete=False,
     )
+    run.table.release = run.release  # type: ignore[method-assign]
     if verbose:
         preview_rows(run.table).show(truncate=False)
     return run.table, run.summary

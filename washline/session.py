@@ -14,15 +14,21 @@ SETTINGS: Mapping[str, str] = {
 
 
 _TASK_BYTES = 256 * 1024 * 1024
+_MOST_TASK_BYTES = 2 * 1024 * 1024 * 1024
+_MOST_PARTITIONS = 50_000
 
 
 def cluster_settings(input_bytes: int) -> dict[str, str]:
     """Settings for a table of this size: enough shuffle partitions for tasks to fit in memory.
 
+    Partitions are of 256 MB up to 2,000 of them, then grow to 2 GB, and are at most 50,000:
+    map status on the driver grows with partitions times tasks.
+
     Adaptive execution merges partitions that turn out small, but never splits large ones,
     so the number must be right for the largest shuffle: the whole rows of a table.
     """
-    partitions = max(200, -(-input_bytes // _TASK_BYTES))
+    fine, coarse = -(-input_bytes // _TASK_BYTES), -(-input_bytes // _MOST_TASK_BYTES)
+    partitions = min(_MOST_PARTITIONS, max(200, min(fine, max(2_000, coarse))))
     return {**SETTINGS, "spark.sql.shuffle.partitions": str(partitions)}
 
 

@@ -22,7 +22,7 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _DECIMAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))\s*$"
 _BOOLEAN = r"^(?:True|TRUE|true|False|FALSE|false)$"
 
@@ -56,13 +56,43 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return unique_names(named, joiner=".")
 
 
+def _same_headers(spark: SparkSession, path: str) -> None:
+    """Refuse files of one table whose first lines differ: cells are read by position.
+
+    One light pass over the lines, and only if there are several files.
+    """
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        return
+    place = F.monotonically_increasing_id()
+    first = (
+        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .where((F.col("block") == 0) & (F.trim("value") != ""))
+        .withColumn("place", place)
+        .groupBy("file")
+        .agg(F.min_by("value", "place").alias("header"))
+    )
+    found = first.groupBy(F.regexp_replace("header", "^\ufeff", "").alias("header")).agg(F.min("file").alias("file"))
+    seen: dict[tuple[str, ...], str] = {}
+    for row in found.limit(20).collect():
+        seen.setdefault(tuple(next(csv.reader([row.header]))), row.file)
+    if len(seen) > 1:
+        (a, x), (b, y) = sorted(seen.items(), key=lambda item: item[1])[:2]
+        raise DataLoadError(f"files of {path} have different headers: {list(a)} in {x}, {list(b)} in {y}")
+
+
 def na_to_null(c: Column) -> Column:
     return F.when(~c.isin(*NA_TOKENS), c)
 
 
-def _inferred(present: int, integers: int, decimals: int, booleans: int) -> str:
+def _inferred(
+    present: int, whole: int, integers: int, wide: int, decimals: int, booleans: int
+) -> str:
+    """Whole numbers keep every digit: as 64 bits, as 38 digits, or as text."""
+    if present and whole == present:
+        return "bigint" if integers == present else "decimal(38,0)" if wide == present else "string"
     if present == 0 or decimals == present:
-        return "bigint" if present and integers == present else "double"
+        return "double"
     return "boolean" if booleans == present else "string"
 
 
@@ -74,13 +104,15 @@ def _infer(raw: DataFrame, width: int, path: str) -> list[str]:
         aggregates += [
             F.count(c),
             F.count_if(c.rlike(_INTEGER)),
+            F.count_if(c.rlike(_INTEGER) & F.trim(c).try_cast("bigint").isNotNull()),
+            F.count_if(c.rlike(_INTEGER) & F.trim(c).try_cast("decimal(38,0)").isNotNull()),
             F.count_if(c.rlike(_DECIMAL)),
             F.count_if(c.rlike(_BOOLEAN)),
         ]
     row = raw.agg(*(a.alias(f"a{k}") for k, a in enumerate(aggregates))).first()
     if row[0]:
         raise DataLoadError(f"rows longer than the header in {path}")
-    return [_inferred(*row[4 * i + 1 : 4 * i + 5]) for i in range(width)]
+    return [_inferred(*row[6 * i + 1 : 6 * i + 7]) for i in range(width)]
 
 
 def read_csv(
@@ -92,6 +124,7 @@ def read_csv(
     task per file. Rows shorter than the header are padded.
     """
     names = _header(spark, path)
+    _same_headers(spark, path)
     width = len(names)
     # One column more than the header shows rows that are too long.
     schema = T.StructType(

@@ -3,14 +3,20 @@
 A staged table cuts lineage the way ``DataFrame.checkpoint`` does, but the next
 passes read only the columns they need. It lives under ``spark.checkpoint.dir``,
 so losing executors never loses it.
+
+Every staged table belongs to a scope. ``stage_scope`` opens one for the block (and the
+thread) it is in; a cleaning run has its own, which its result hands out. Scopes know
+only their own tables, so runs side by side never delete each other's.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,7 +24,6 @@ from pyspark.sql import types as T
 from washline.errors import CleanIOError
 
 _SETTING = "spark.checkpoint.dir"
-_created: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -32,40 +37,85 @@ def staging_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+class StageScope:
+    """Owner of staged tables."""
+
+    def __init__(self) -> None:
+        self._paths: list[str] = []
+        self._lock = threading.Lock()
+
+    def paths(self) -> list[str]:
+        """Paths of the tables not yet released, oldest first."""
+        with self._lock:
+            return list(self._paths)
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{staging_root(spark).rstrip('/')}/washline/{uuid.uuid4().hex}"
+        # Positional names keep blank, duplicate and case-colliding names out of the files.
+        names = [f"f{i}" for i in range(len(df.columns))]
+        with self._lock:
+            self._paths.append(path)
+        df.toDF(*names).write.parquet(path)
+        schema = T.StructType(
+            [T.StructField(n, f.dataType, True) for n, f in zip(names, df.schema.fields)]
+        )
+        return spark.read.schema(schema).parquet(path).toDF(*df.columns)
+
+    def release(self, spark: SparkSession, paths: list[str] | None = None) -> None:
+        """Delete tables (all of them by default). Frames built on them stop working."""
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths() if paths is None else paths:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            with self._lock:
+                if path in self._paths:
+                    self._paths.remove(path)
+
+
+_default = StageScope()
+_current: ContextVar[StageScope | None] = ContextVar("washline_stage_scope", default=None)
+
+
+def default_scope() -> StageScope:
+    return _default
+
+
+def current_scope() -> StageScope:
+    return _current.get() or _default
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the staging folder and return a scan of the written files."""
-    spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/washline/{uuid.uuid4().hex}"
-    # Positional names keep blank, duplicate and case-colliding names out of the files.
-    names = [f"f{i}" for i in range(len(df.columns))]
-    df.toDF(*names).write.parquet(path)
-    _created.append(path)
-    schema = T.StructType(
-        [T.StructField(n, f.dataType, True) for n, f in zip(names, df.schema.fields)]
-    )
-    return spark.read.schema(schema).parquet(path).toDF(*df.columns)
+    return current_scope().stage(df)
 
 
 def staged_paths() -> list[str]:
-    """Paths of the tables staged and not yet released, oldest first."""
-    return list(_created)
+    """Paths staged in the scope of the caller and not yet released, oldest first."""
+    return current_scope().paths()
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete staged tables (all of them by default). Frames built on them stop working."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in staged_paths() if paths is None else paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-        _created.remove(path)
+    """Delete staged tables of the caller's scope (all of them by default)."""
+    current_scope().release(spark, paths)
 
 
 @contextmanager
-def stage_scope(spark: SparkSession) -> Iterator[None]:
-    """Delete on exit whatever was staged inside the block."""
-    before = set(staged_paths())
+def use_scope(scope: StageScope) -> Iterator[StageScope]:
+    """Stage into ``scope`` inside the block."""
+    token = _current.set(scope)
     try:
-        yield
+        yield scope
     finally:
-        release(spark, [p for p in staged_paths() if p not in before])
+        _current.reset(token)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[StageScope]:
+    """Delete on exit whatever was staged inside the block, by this thread."""
+    with use_scope(StageScope()) as scope:
+        try:
+            yield scope
+        finally:
+            scope.release(spark)
