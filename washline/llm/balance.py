@@ -81,7 +81,7 @@ def solve(cells: DataFrame, targets: DataFrame, most: float, tolerance: float =
     ``cells`` has queue, size and n. The scale makes the tilt of a source's average token 1.
     """
     scale = cells.groupBy("queue").agg(
-        (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale")
+        F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("scale")
     )
     state = stage(
         targets.join(scale, "queue")
@@ -105,7 +105,7 @@ def solve(cells: DataFrame, targets: DataFrame, most: float, tolerance: float =
         met = state.join(sums, "queue").withColumns(
             {"low": low, "high": high, "gap": F.abs(F.col("taken") - F.col("target")) / F.greatest("target", F.lit(1.0))}
         )
-        newton = F.col("lambda") - (F.col("taken") - F.col("target")) / F.nullif("slope", F.lit(0.0))
+        newton = F.col("lambda") - F.try_divide(F.col("taken") - F.col("target"), F.col("slope"))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         settled = (F.col("gap") <= tolerance) | (F.col("target") >= F.col("source_size") * most) | (F.col("target") <= 0)
         state = stage(
@@ -144,7 +144,7 @@ def _copies(cells: DataFrame, most: int, passes: int = 6) -> DataFrame:
     for _ in range(passes):
         cells = cells.withColumn("lack", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(queue))
         room = F.when(F.col("lack") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
-        fits = F.least(F.floor(F.abs("lack") / F.col("size")).cast("long"), room)
+        fits = F.least(F.floor(F.abs("lack") / F.greatest("size", F.lit(1))).cast("long"), room)
         cells = cells.withColumn("fits", F.when(F.col("size") > 0, fits).otherwise(F.lit(0)))
         choice = F.max(F.when(F.col("fits") > 0, F.struct("size", "part"))).over(queue)
         cells = cells.withColumn("choice", choice).withColumn(

@@ -104,7 +104,11 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, 17] = _per_row(upper + lower + wide == 0, first) / n
     out[:, 18] = _per_row((last == _STOP) | (last == _SYMBOL), first) / n
     out[:, 19] = _per_row(length <= 3, first) / n
-    out[:, 20] = _per_row((kind[1:] == _LOWER) & (kind[:-1] == _LOWER), np.maximum(offsets - 1, 0)) / size if len(data) > 1 else 0
+    letters = kind == _LOWER
+    follows = np.zeros(len(data), bool)
+    follows[1:] = letters[1:] & letters[:-1]
+    follows[offsets[:-1][offsets[:-1] < len(data)]] = False
+    out[:, 20] = _per_row(follows, offsets) / size
     out[count == 0] = 0
     return out
 
