@@ -63,6 +63,8 @@ def digest_state(spark: SparkSession, path: str, id_col: str, text_col: str, dig
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        # Many small stores would reserve more disk than they fill.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }.items():
         session.conf.set(key, value)
     # A pattern takes a single file as well as a folder.
