@@ -144,3 +144,12 @@ def test_no_pass_shuffles_rows_or_sorts_them(numbers):
         stacked(df, {"few": F.col("few")}).groupBy("col").agg(F.avg("v"))._jdf.queryExecution().toString()
     )
     assert plan.count("Exchange") == 1 and "Sort" not in plan.split("== Physical Plan ==")[1]
+
+
+@pytest.mark.parametrize("small_rows", [0, 1_000_000])
+def test_grouped_quantile_of_a_missing_key(spark, small_rows):
+    """A missing key is a key: narrowed like any other, with its mean."""
+    rows = [(None if i % 2 else "a", float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = {r.k: (r.quantile, r.mean) for r in grouped_quantile(df, ["k"], "v", 0.5, small_rows=small_rows).collect()}
+    assert found == {"a": (199.0, 199.0), None: (200.0, 200.0)}

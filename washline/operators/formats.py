@@ -162,7 +162,7 @@ def parse_text(
         F.max("digits"),
         total(F.col("whole")),
         total(F.col("wide").isNotNull()),
-        total(F.col("wide").isNotNull() & (F.abs("wide") > _EXACT)),
+        total(F.col("whole") & (F.col("wide").isNull() | (F.abs("wide") > _EXACT))),
         F.sum(F.octet_length("text") + 48).alias("size"),
     )
     stats = {c: TextStats() for c in columns}

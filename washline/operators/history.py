@@ -36,10 +36,11 @@ def latency(
 ) -> DataFrame:
     """Average and percentile of the duration per window."""
     rows = df.select(_window_start(ts, width), quoted(duration).alias("duration"))
-    average = rows.groupBy("window_start").agg(F.avg("duration").alias("avg_duration"))
-    tail = grouped_quantile(rows, ["window_start"], "duration", p)
-    return average.join(
-        tail.withColumnRenamed("quantile", f"p{round(p * 100)}_duration"), "window_start"
+    found = grouped_quantile(rows, ["window_start"], "duration", p)
+    return found.select(
+        "window_start",
+        F.col("mean").alias("avg_duration"),
+        F.col("quantile").alias(f"p{round(p * 100)}_duration"),
     )
 
 

@@ -56,8 +56,12 @@ class Moments:
 
 
 def sample_skewness(c: Column) -> Column:
-    """Adjusted Fisher-Pearson skewness: NULL below three values, 0 for a constant."""
+    """Adjusted Fisher-Pearson skewness: NULL below three values, 0 for a constant.
+
+    Values within 1e-30 of zero count as zero: the third power of their spread has no double.
+    """
     n = F.count(c).cast("double")
+    c = F.when(F.abs(c) < 1e-30, F.lit(0.0)).otherwise(c)
     adjusted = F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)
     return F.when(n >= 3, F.coalesce(adjusted, F.lit(0.0)))
 
@@ -292,21 +296,30 @@ def quantiles(
 def grouped_quantile(
     df: DataFrame, keys: Sequence[str], value: str, p: float, *, small_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """Exact quantile of ``value`` per key: columns ``keys`` and ``quantile``.
+    """Exact quantile and mean of ``value`` per key: columns ``keys``, ``quantile`` and ``mean``.
 
     Keys with few rows use Spark's ``percentile``. Keys beyond ``small_rows`` are narrowed
-    interval by interval, so no task ever holds the values of a large key.
+    interval by interval, so no task ever holds the values of a large key. A missing key is
+    a key like any other. The source is read once: keys and values are staged.
     """
-    rows = df.select(*keys, as_double(quoted(value)).alias("v")).where(F.col("v").isNotNull())
-    sizes = stage(rows.groupBy(*keys).agg(F.count("v").alias("size")))
+    # Inside, the keys are one struct: structs of missing values are equal, so joins meet them.
+    source = stage(df.select(*keys, as_double(quoted(value)).alias("v")).where(F.col("v").isNotNull()))
+    rows = source.select(F.struct(*keys).alias("key"), "v")
+    found = _quantile_by_key(rows, p, small_rows)
+    return found.select(*(F.col("key").getField(k).alias(k) for k in keys), "quantile", "mean")
+
+
+def _quantile_by_key(rows: DataFrame, p: float, small_rows: int) -> DataFrame:
+    keys = ["key"]
+    sizes = stage(rows.groupBy(*keys).agg(F.count("v").alias("size"), F.avg("v").alias("mean")))
     if sizes.where(F.col("size") > small_rows).isEmpty():
-        return rows.groupBy(*keys).agg(F.percentile("v", p).alias("quantile"))
+        return rows.groupBy(*keys).agg(F.percentile("v", p).alias("quantile"), F.avg("v").alias("mean"))
 
     large = sizes.where(F.col("size") > small_rows)
     few = (
         rows.join(large.select(*keys), list(keys), "left_anti")
         .groupBy(*keys)
-        .agg(F.percentile("v", p).alias("quantile"))
+        .agg(F.percentile("v", p).alias("quantile"), F.avg("v").alias("mean"))
     )
     position = (F.col("size") - 1) * F.lit(float(p))
     lower = F.floor(position)
@@ -322,7 +335,10 @@ def grouped_quantile(
     many = (
         found.join(ranked, list(keys))
         .groupBy(*keys)
-        .agg(F.when(weight == 0, low).otherwise(low + (high - low) * weight).alias("quantile"))
+        .agg(
+            F.when(weight == 0, low).otherwise(low + (high - low) * weight).alias("quantile"),
+            F.first("mean").alias("mean"),
+        )
     )
     return few.unionByName(many)
 

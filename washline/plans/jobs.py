@@ -29,7 +29,7 @@ def clean_file(
     format_of(output_path)
     table = read_data(spark, input_path, **read_options)
     with staging.stage_scope(spark):
-        run = run_cleaning(table, config)
+        run = run_cleaning(table, config, complete=False)
         write_data(run.table, output_path, single_file=single_file)
     known = {f.name for f in fields(CleaningResult)}
     return CleaningResult(**{k: v for k, v in run.summary.items() if k in known})

@@ -341,7 +341,7 @@ _CLEAN_CTES = (
 )
 def clean_table(spark: SparkSession, sf: str) -> DataFrame:
     """All six steps: duplicates, names, text, formats, caps, fills."""
-    return rounded(run_cleaning(_untidy_orders(spark, sf)).table)
+    return rounded(run_cleaning(_untidy_orders(spark, sf), complete=False).table)
 
 
 @query(
@@ -352,7 +352,7 @@ def clean_table(spark: SparkSession, sf: str) -> DataFrame:
     f" FROM ({_ORDERS_BASE})"
 )
 def clean_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return summary_frame(spark, run_cleaning(_untidy_orders(spark, sf)).summary).drop("duration")
+    return summary_frame(spark, run_cleaning(_untidy_orders(spark, sf), complete=False).summary).drop("duration")
 
 
 def _steps_sql() -> str:
@@ -379,7 +379,7 @@ def _steps_sql() -> str:
 @query(_steps_sql())
 def clean_steps(spark: SparkSession, sf: str) -> DataFrame:
     """The step log of a run without outlier handling, one counter per step."""
-    log = run_cleaning(_untidy_orders(spark, sf), CleaningConfig(outliers=None)).log
+    log = run_cleaning(_untidy_orders(spark, sf), CleaningConfig(outliers=None), complete=False).log
     shown = [
         "duplicates_removed", "columns_after", "text_columns", "columns_standardized",
         "outliers_handled", "missing_filled",
@@ -420,7 +420,7 @@ _NUMBERS = [
 @query(_STAGES_SQL)
 def clean_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     """Duplicates, caps and fills over the largest table."""
-    return rounded(run_cleaning(untidy_lineitem(spark, sf).select(*_NUMBERS)).table)
+    return rounded(run_cleaning(untidy_lineitem(spark, sf).select(*_NUMBERS), complete=False).table)
 
 
 _REMAINING = ["l_quantity", "l_extendedprice", "l_tax"]
@@ -437,7 +437,7 @@ _REMAINING = ["l_quantity", "l_extendedprice", "l_tax"]
 def clean_lineitem_remove(spark: SparkSession, sf: str) -> DataFrame:
     """Rows with outliers go, and the fills come from the rows that remain."""
     rows = untidy_lineitem(spark, sf).select(*_NUMBERS, "l_returnflag")
-    run = run_cleaning(rows, CleaningConfig(outliers="remove", clean_text=False))
+    run = run_cleaning(rows, CleaningConfig(outliers="remove", clean_text=False), complete=False)
     return rounded(run.table)
 
 
@@ -492,7 +492,7 @@ def grouped_quantile_narrowed(spark: SparkSession, sf: str) -> DataFrame:
     from washline.operators.statistics import grouped_quantile
 
     return rounded(
-        grouped_quantile(_runs(spark, sf), ["event_type"], "value", 0.95, small_rows=0)
+        grouped_quantile(_runs(spark, sf), ["event_type"], "value", 0.95, small_rows=0).drop("mean")
     )
 
 

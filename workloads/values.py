@@ -75,7 +75,7 @@ def _gated(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("CASE WHEN o_orderkey % 10 < 1 THEN 'unknown' ELSE cast(o_custkey + 0.5 AS string) END").alias("nearly"),
         F.expr("CASE WHEN o_orderkey % 20 < 3 THEN '?' ELSE date_format(o_orderdate, 'd MMM yyyy') END").alias("order_date"),
         F.expr("CASE WHEN o_orderkey % 20 < 3 THEN '?' ELSE date_format(o_orderdate, 'd MMM yyyy') END").alias("day_text"),
-        F.expr("cast(o_custkey + 100000 AS string)").alias("whole"),
+        F.expr("cast(o_custkey + 10000000 AS string)").alias("whole"),
     )
 
 
@@ -85,7 +85,7 @@ def _gated(spark: SparkSession, sf: str) -> DataFrame:
     " CASE WHEN o_orderkey % 10 < 1 THEN NULL ELSE o_custkey + CAST(0.5 AS DOUBLE) END AS nearly,"
     " CASE WHEN o_orderkey % 20 < 3 THEN NULL ELSE o_orderdate END AS order_date,"
     " CASE WHEN o_orderkey % 20 < 3 THEN '?' ELSE strftime(o_orderdate, '%-d %b %Y') END"
-    " AS day_text, o_custkey + 100000 AS whole FROM orders"
+    " AS day_text, o_custkey + 10000000 AS whole FROM orders"
 )
 def standardize_gate(spark: SparkSession, sf: str) -> DataFrame:
     """30 % junk keeps text, 10 % does not; 15 % is fine only for a column named like a date."""
