@@ -187,8 +187,12 @@ def near_duplicates(
     links = nodes.join(shared, ["tree", "prefix"]).select(F.col("set").alias("a"), "b")
     groups = components(links)
     sized = groups.join(sets.select(F.col("set").alias("node"), "size", "n_docs", "least.key"), "node")
-    blocks = sized.groupBy("root").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    # Staged, so that the joins below are plain and a large group among their rows can be split.
+    blocks = stage(
+        sized.groupBy("root").agg(
+            F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        ),
+        "blocks",
     )
     active = stage(
         sized.join(blocks, "root").select(
@@ -242,7 +246,9 @@ def near_duplicates(
     classed = sets.select("set", "least", "n_docs").join(roots.toDF("set", "root"), "set", "left").withColumn(
         "root", F.coalesce("root", "set")
     )
-    of_class = classed.groupBy("root").agg(F.min("least").alias("least"), F.sum("n_docs").alias("class_size"))
+    of_class = stage(
+        classed.groupBy("root").agg(F.min("least").alias("least"), F.sum("n_docs").alias("class_size")), "class-sizes"
+    )
     known = (
         classed.select("set", "root", "n_docs")
         .join(of_class, "root")
