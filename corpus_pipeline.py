@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from washline.llm import boosting
 from washline.llm.balance import cycled_targets, mix_sources
-from washline.llm.common import located, shared_path
+from washline.llm.common import free_name, located, shared_path
 from washline.llm.forest import near_duplicates
 from washline.llm.packing import pack
 from washline.llm.queries import in_fold, tokenizer_path
@@ -17,6 +17,12 @@ from washline.llm.stream_dedup import exact_duplicates
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, place: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``docs`` whose place is not the only column of ``gone``."""
+    lost = gone.toDF(free_name(docs, "_gone"))
+    return docs.join(lost, F.col(place) == F.col(lost.columns[0]), "left_anti").select(*columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.7 or more; empty ones are scored too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -27,26 +33,28 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: that with most characters, then the smallest doc_id."""
     path = shared_path(spark, "arrived")
     docs.write.parquet(path)
-    gone = exact_duplicates(spark, path).where(~F.col("kept")).select(F.concat("file", F.lit("#"), F.col("row").cast("string")).alias("_gone"))
-    rows = located(spark.read.parquet(path))
-    return rows.join(gone, F.col("_place") == F.col("_gone"), "left_anti").select(*docs.columns)
+    found = exact_duplicates(spark, path).where(~F.col("kept"))
+    place = free_name(docs, "_place")
+    gone = found.select(F.concat("file", F.lit("#"), F.col("row").cast("string")))
+    return _without(located(spark.read.parquet(path), place), place, gone, docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the first in the table."""
-    rows = located(docs)
-    classes = near_duplicates(rows, id_col="_place", shingle=5, threshold=0.8)
-    gone = classes.where("_place <> class_id").select(F.col("_place").alias("_gone"))
-    return rows.join(gone, F.col("_place") == F.col("_gone"), "left_anti").select(*docs.columns)
+    place = free_name(docs, "_place")
+    rows = located(docs, place)
+    classes = near_duplicates(rows, id_col=place, shingle=5, threshold=0.8)
+    return _without(rows, place, classes.where(F.col(place) != F.col("class_id")).select(place), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; sources weigh 5, 2, 1 and share 150 percent."""
-    rows = located(docs)
-    taken = mix_sources(rows, cycled_targets((5, 2, 1), share=1.5, most=2), most=2, id_col="_place")
-    taken = taken.where("copies > 0").select(F.col("_place").alias("_taken"), F.col("copies").alias("_copies"))
-    joined = rows.join(taken, F.col("_place") == F.col("_taken"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    place, at, times, copy = (free_name(docs, n) for n in ("_place", "_taken", "_times", "_copy"))
+    rows = located(docs, place)
+    mix = mix_sources(rows, cycled_targets((5, 2, 1), share=1.5, most=2), most=2, id_col=place)
+    taken = mix.where("copies > 0").select(F.col(place).alias(at), F.col("copies").alias(times))
+    joined = rows.join(taken, F.col(place) == F.col(at))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,15 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def located(docs: DataFrame, name: str = "_place") -> DataFrame:
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def located(docs: DataFrame, name: str) -> DataFrame:
     """Add the place of each row in its files; a frame that does not come from files is staged first."""
     try:
         docs.select("_metadata.row_index")
