@@ -39,14 +39,12 @@ def numbers(spark):
 
 @pytest.mark.parametrize(
     "route",
-    [None, {}, {"small_rows": 0}, {"small_rows": 0, "small_values": 0}],
+    [{}, {"small_rows": 0}, {"small_rows": 7}, {"small_rows": 60}],
 )
-def test_quantiles_match_numpy(numbers, route, monkeypatch):
-    """Every route is exact: one buffer, a sketch finer than a rank, narrowed intervals."""
-    if route is not None:
-        monkeypatch.setattr(statistics, "_TINY_ROWS", 0)
+def test_quantiles_match_numpy(numbers, route):
+    """Exact in one buffer, narrowed to single values, and narrowed to what a buffer holds."""
     df, data = numbers
-    found = quantiles(df, {c: POINTS for c in data}, **(route or {}))
+    found = quantiles(df, {c: POINTS for c in data}, **route)
     for c, cells in data.items():
         present = [x for x in cells if x is not None]
         for p in POINTS:
@@ -55,7 +53,7 @@ def test_quantiles_match_numpy(numbers, route, monkeypatch):
 
 def test_infinite_values_have_their_rank(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("inf"), float("-inf"))], "x double")
-    found = quantiles(df, {"x": (0.0, 0.5, 1.0)}, small_rows=0, small_values=0)["x"]
+    found = quantiles(df, {"x": (0.0, 0.5, 1.0)}, small_rows=0)["x"]
     assert found == {0.0: float("-inf"), 0.5: 2.0, 1.0: float("inf")}
 
 
@@ -64,7 +62,7 @@ def test_infinite_values_have_their_rank(spark):
 def test_narrowing_finds_any_order_statistic(spark, cells):
     df = spark.createDataFrame([(x,) for x in cells], "x double")
     ranks = [i / (len(cells) - 1) for i in range(len(cells))] if len(cells) > 1 else [0.0]
-    found = quantiles(df, {"x": (ranks[0], ranks[-1], ranks[len(ranks) // 2])}, small_rows=0, small_values=0)["x"]
+    found = quantiles(df, {"x": (ranks[0], ranks[-1], ranks[len(ranks) // 2])}, small_rows=0)["x"]
     ordered = sorted(cells)
     assert found[ranks[0]] == ordered[0] and found[ranks[-1]] == ordered[-1]
 
@@ -131,7 +129,7 @@ def test_narrowing_broadcasts_its_few_intervals(spark, numbers, monkeypatch):
         return result
 
     monkeypatch.setattr(statistics, "_collected", watched)
-    quantiles(df, {"uniform": (0.5,)}, small_rows=0, small_values=0)
+    quantiles(df, {"uniform": (0.5,)}, small_rows=0)
     assert 1 <= len(plans) <= 7
 
 

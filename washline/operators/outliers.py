@@ -15,6 +15,7 @@ from washline.functions.columns import as_double, missing_as_null, numeric_colum
 from washline.functions.names import quoted
 from washline.operators.columns import replace_columns
 from washline.operators.statistics import Moments, moments, quantiles
+from washline.staging import stage
 
 # Fixed values.
 METHODS = ("cap", "remove", None)
@@ -164,6 +165,7 @@ def fit_all_ranges(
     ranges: dict[str, Bounds] = {}
     removing: list[str] = []
     rows = df
+    staged = False
     while waiting:
         bounds, stats = fit_bounds(
             rows, waiting, auto_detect=auto_detect, accuracy=accuracy, known=known
@@ -177,6 +179,9 @@ def fit_all_ranges(
         removing.append(first)
         rows = apply_ranges(rows, {first: bounds[first]})
         waiting = waiting[len(settled) :]
+        if waiting and not staged:
+            # The rounds that follow read numbers only, not the source.
+            rows, staged = stage(rows.select(*(quoted(c) for c in waiting))), True
     return ranges, removing
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,14 @@ from washline.functions.columns import as_double, missing_as_null, numeric_colum
 from washline.functions.names import quoted
 from washline.operators.columns import sample_rows
 from washline.operators.missing import present_counts
-from washline.operators.statistics import distinct_estimates, moments, quantiles, stacked
+from washline.operators.statistics import (
+    Moments,
+    column_facts,
+    distinct_estimates,
+    moments,
+    quantiles,
+    stacked,
+)
 
 # Fixed value: cardinalities above this are not reported.
 SMALL_CARDINALITY = 50
@@ -32,12 +40,39 @@ def table_schema(df: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class _Facts:
+    """What one pass over the table tells about all columns."""
+
+    rows: int
+    present: dict[str, int]
+    estimates: dict[str, int]
+    moments: dict[str, Moments]
+
+
+def _facts(df: DataFrame) -> _Facts:
+    rows = missing_as_null(df)
+    plain = {f.name for f in rows.schema.fields if not isinstance(f.dataType, _NESTED)}
+    # A hash stands for the value: the sketch only needs equal values to look equal.
+    hashes = {
+        c: F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c)) if c in plain else F.lit(1).cast("long"))
+        for c in rows.columns
+    }
+    numbers = {c: as_double(quoted(c)) for c in numeric_columns(df)}
+    return _Facts(*column_facts(rows, hashes, numbers))
+
+
+def _percentages(facts: _Facts) -> dict[str, float]:
+    n = facts.rows
+    return {c: 100.0 * (n - k) / n if n else float("nan") for c, k in facts.present.items()}
+
+
 def missing_percentages(df: DataFrame) -> dict[str, float]:
     rows, present = present_counts(df)
     return {c: 100.0 * (rows - n) / rows if rows else float("nan") for c, n in present.items()}
 
 
-def small_cardinalities(df: DataFrame) -> dict[str, int]:
+def small_cardinalities(df: DataFrame, estimates: Mapping[str, int] | None = None) -> dict[str, int]:
     """Different non-missing values of every column that has at most 50 of them.
 
     A sketch screens all columns in one pass; only the few-valued ones are counted exactly,
@@ -47,9 +82,10 @@ def small_cardinalities(df: DataFrame) -> dict[str, int]:
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, _NESTED)]
     if not names:
         return {}
-    # A hash stands for the value: the sketch only needs equal values to look equal.
-    hashed = {c: F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c))) for c in names}
-    estimates = distinct_estimates(df, hashed)
+    if estimates is None:
+        # A hash stands for the value: the sketch only needs equal values to look equal.
+        hashed = {c: F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c))) for c in names}
+        estimates = distinct_estimates(df, hashed)
     few = [c for c in names if estimates[c] <= _SCREEN]
     if not few:
         return {}
@@ -65,11 +101,13 @@ def _identity(c: Column, dtype: T.DataType) -> Column:
     return c + F.lit(0.0) if isinstance(dtype, (T.FloatType, T.DoubleType)) else c
 
 
-def numeric_statistics(df: DataFrame, *, accuracy: int | None = None) -> dict[str, dict]:
+def numeric_statistics(
+    df: DataFrame, *, accuracy: int | None = None, known: Mapping[str, Moments] | None = None
+) -> dict[str, dict]:
     """Mean, deviation, extremes and median of every numeric column."""
     names = numeric_columns(df)
     values = {c: as_double(quoted(c)) for c in names}
-    stats = moments(df, values)
+    stats = moments(df, values) if known is None else known
     medians = quantiles(
         df, {c: (0.5,) for c in names}, columns=values, known=stats, accuracy=accuracy
     )
@@ -108,9 +146,10 @@ def profile_numeric(df: DataFrame, *, accuracy: int | None = None) -> DataFrame:
 
 def profile_table(df: DataFrame, *, accuracy: int | None = None) -> DataFrame:
     """One row per column with everything known about it."""
-    gaps = missing_percentages(df)
-    counts = small_cardinalities(df)
-    stats = numeric_statistics(df, accuracy=accuracy)
+    facts = _facts(df)
+    gaps = _percentages(facts)
+    counts = small_cardinalities(df, facts.estimates)
+    stats = numeric_statistics(df, accuracy=accuracy, known=facts.moments)
     rows = []
     for f in df.schema.fields:
         numbers = tuple(stats[f.name].values()) if f.name in stats else (None,) * 5
@@ -138,13 +177,14 @@ def profile_document(
     order_key: str | None = None,
 ) -> DataFrame:
     """The profile, the run summary and the sample rows as one JSON document."""
+    facts = _facts(df)
     document = {
         "dataset_kind": dataset_kind or "unknown",
         "summary": dict(summary),
         "schema": [{"name": f.name, "dtype": f.dataType.simpleString()} for f in df.schema.fields],
-        "missing_pct": missing_percentages(df),
-        "small_cardinality": small_cardinalities(df),
-        "numeric_stats": numeric_statistics(df),
+        "missing_pct": _percentages(facts),
+        "small_cardinality": small_cardinalities(df, facts.estimates),
+        "numeric_stats": numeric_statistics(df, known=facts.moments),
         "sample_rows": [row.asDict() for row in sample_rows(df, order_key).collect()],  # 50 rows
     }
     text = json.dumps(document, default=str, ensure_ascii=False)

@@ -10,7 +10,8 @@ Spark's own ``percentile``, ``median`` and ``mode`` keep every distinct value of
 one aggregation buffer. That is used here only where counts show the buffer to be small.
 Otherwise a quantile is found by narrowing value intervals: each pass counts rows per
 bucket of the interval that holds the wanted rank (a map-side combined ``groupBy`` of at
-most ``_BUCKETS`` groups per interval) and keeps the one bucket that still holds it.
+most ``_BUCKETS`` groups per interval) and keeps the one bucket that still holds it. Once a
+bucket is as small as a buffer may be, its values are sorted and the rank is picked.
 """
 
 from __future__ import annotations
@@ -27,12 +28,8 @@ from washline.functions.columns import as_double
 from washline.functions.names import quoted
 from washline.staging import stage
 
-# A buffer may hold this many rows, or this many different values.
-SMALL_ROWS = 1_000_000
-SMALL_VALUES = 1_000
-
-# Up to this many rows Spark's percentile is the quicker of the two bounded routes.
-_TINY_ROWS = 20_000
+# A buffer may hold this many rows.
+SMALL_ROWS = 20_000
 
 _BUCKETS = 1024
 _MAGNITUDE_STEPS = 16
@@ -97,6 +94,38 @@ def moments(
     return result
 
 
+def column_facts(
+    df: DataFrame, hashes: Mapping[str, Column], numbers: Mapping[str, Column]
+) -> tuple[int, dict[str, int], dict[str, int], dict[str, Moments]]:
+    """Rows, non-missing counts, estimates of different values and moments, from one pass.
+
+    ``hashes`` are longs that stand for the values of any column, ``numbers`` doubles of the
+    numeric ones. Both are stacked side by side: (column, hash, number).
+    """
+    names = list(hashes)
+    wide = df.select(
+        *(hashes[c].alias(f"h{i}") for i, c in enumerate(names)),
+        *((numbers[c] if c in numbers else F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(names)),
+    )
+    triples = ", ".join(f"{i}, h{i}, v{i}" for i in range(len(names)))
+    v = F.col("v")
+    found = (
+        wide.selectExpr(f"stack({len(names)}, {triples}) as (col, h, v)")
+        .groupBy("col")
+        .agg(
+            F.count(F.lit(1)), F.count("h"), F.approx_count_distinct("h"),
+            F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v), sample_skewness(v), F.sum(v),
+        )
+    )
+    rows, present, estimates, stats = 0, dict.fromkeys(names, 0), dict.fromkeys(names, 0), {}
+    for row in found.collect():  # one row per column
+        name = names[row[0]]
+        rows, present[name], estimates[name] = row[1], row[2], row[3]
+        stats[name] = Moments(*row[4:])
+    empty = Moments(0, None, None, None, None, None, None)
+    return rows, present, estimates, {c: stats.get(c, empty) for c in numbers}
+
+
 def distinct_estimates(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, int]:
     """Approximate number of different values per column."""
     if not columns:
@@ -143,8 +172,9 @@ def _narrow(
     state: DataFrame,
     keys: Sequence[str],
     materialize: Callable[[DataFrame], DataFrame],
+    buffer_rows: int,
 ) -> DataFrame:
-    """Shrink every interval of ``state`` until it holds a single value.
+    """Shrink every interval of ``state`` until it holds a single value, or few enough to sort.
 
     ``values`` has the key columns and ``v``; ``state`` has the same keys and ``ranks``, the
     wanted zero-based ranks within the key. Returns key columns, ``rank`` and ``v``.
@@ -172,25 +202,47 @@ def _narrow(
                 F.col("most").alias("high"),
                 F.transform("hits", lambda r: r - F.col("before")).alias("ranks"),
                 (F.col("base") + F.col("before")).alias("base"),
+                "n",
             )
         )
 
+    def last_pass(rows: DataFrame, intervals: DataFrame) -> DataFrame:
+        """Pick the ranks from the sorted values of intervals that fit into a buffer."""
+        held = rows.groupBy(*keys, "base").agg(F.sort_array(F.collect_list("v")).alias("held"))
+        return (
+            held.join(intervals.select(*keys, "base", "ranks"), [*keys, "base"])
+            .select(*keys, "base", "held", F.explode("ranks").alias("r"))
+            .select(*keys, (F.col("r") + F.col("base")).alias("rank"), F.get("held", F.col("r").cast("int")).alias("v"))
+        )
+
+    def within(intervals: DataFrame) -> DataFrame:
+        # One row per key and open interval: Spark broadcasts it if its measured size
+        # allows, so ``values`` are not shuffled row by row.
+        return values.join(intervals.drop("ranks", "n"), list(keys)).where(inside)
+
     start = state.select(*keys, "ranks", F.lit(0).cast("long").alias("base"))
     rows = values.withColumn("base", F.lit(0).cast("long"))
     state = materialize(one_pass(rows, start, _magnitude_bucket(F.col("v"))))
-    solved = state.where("low = high")
-    pending = state.where("low < high")
-    while not pending.isEmpty():
-        # One row per key and open interval: Spark broadcasts it if its measured size
-        # allows, so ``values`` are not shuffled row by row.
-        rows = values.join(pending.drop("ranks"), list(keys)).where(inside)
+    found = []
+    while True:
+        single = state.where("low = high")
+        found.append(
+            single.select(
+                *keys, F.explode(F.transform("ranks", lambda r: r + F.col("base"))).alias("rank"), F.col("low").alias("v")
+            )
+        )
+        small = state.where((F.col("low") < F.col("high")) & (F.col("n") <= buffer_rows))
+        large = state.where((F.col("low") < F.col("high")) & (F.col("n") > buffer_rows))
+        if not small.isEmpty():
+            found.append(materialize(last_pass(within(small), small)))
+        if large.isEmpty():
+            break
         bucket = _even_bucket(F.col("v"), F.col("low"), F.col("high"))
-        state = materialize(one_pass(rows, pending, bucket))
-        solved = solved.unionByName(state.where("low = high"))
-        pending = state.where("low < high")
-    return solved.select(
-        *keys, F.explode(F.transform("ranks", lambda r: r + F.col("base"))).alias("rank"), F.col("low").alias("v")
-    )
+        state = materialize(one_pass(within(large), large, bucket))
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def _local(spark: SparkSession, columns: Mapping[str, pa.Array]) -> DataFrame:
@@ -211,12 +263,12 @@ def quantiles(
     columns: Mapping[str, Column] | None = None,
     known: Mapping[str, Moments] | None = None,
     small_rows: int = SMALL_ROWS,
-    small_values: int = SMALL_VALUES,
     accuracy: int | None = None,
 ) -> dict[str, dict[float, float]]:
     """Quantiles ``{column: {p: value}}`` with linear interpolation, exact by default.
 
     ``known`` spares the counting pass. ``accuracy`` switches to ``percentile_approx``.
+    ``small_rows`` is what a buffer may hold: shorter columns are sorted in one.
     """
     columns = dict(columns or {name: as_double(quoted(name)) for name in wanted})
     if known is None:
@@ -236,15 +288,8 @@ def quantiles(
         return {n: {p: approximate[n][p] for p in wanted[n]} for n in names}
 
     parts = {(n, p): _rank_parts(known[n].n, p) for n in names for p in wanted[n]}
-    # Three exact routes: a buffer of the values, a sketch finer than a rank, or narrowing.
-    large = {n: columns[n] for n in names if known[n].n > small_rows}
-    estimates = distinct_estimates(df, large) if small_values else {}
-    few, some, many = [], [], []
-    for n in names:
-        if n in large:
-            (few if estimates.get(n, math.inf) <= small_values else many).append(n)
-        else:
-            (few if known[n].n <= _TINY_ROWS else some).append(n)
+    few = [n for n in names if known[n].n <= small_rows]
+    many = [n for n in names if known[n].n > small_rows]
 
     result: dict[str, dict[float, float]] = {}
     if few:
@@ -259,21 +304,7 @@ def quantiles(
             result[few[row.col]] = {p: at[p] for p in wanted[few[row.col]]}
 
     value: dict[tuple[str, int], float] = {}
-    ranks = {n: sorted({r for p in wanted[n] for r in parts[n, p][:2]}) for n in [*some, *many]}
-    if some:
-        # The stated error of a rank is rows / accuracy. Below one half it leaves only the
-        # exact rank; the middle of the rank's step keeps rounding away from its edges.
-        middle = {(n, r): (r + 0.5) / known[n].n for n in some for r in ranks[n]}
-        points = sorted(set(middle.values()))
-        accuracy = 2 * max(known[n].n for n in some) + 1
-        found = (
-            stacked(df, {n: columns[n] for n in some})
-            .groupBy("col")
-            .agg(F.percentile_approx("v", points, accuracy).alias("q"))
-        )
-        for row in found.collect():  # one row per column
-            at = dict(zip(points, row.q))
-            value.update({(n, r): at[p] for (n, r), p in middle.items() if n == some[row.col]})
+    ranks = {n: sorted({r for p in wanted[n] for r in parts[n, p][:2]}) for n in many}
     if many:
         state = _local(
             df.sparkSession,
@@ -282,9 +313,9 @@ def quantiles(
                 "ranks": pa.array([ranks[n] for n in many], pa.list_(pa.int64())),
             },
         )
-        found = _narrow(stacked(df, {n: columns[n] for n in many}), state, ["col"], _collected)
+        found = _narrow(stacked(df, {n: columns[n] for n in many}), state, ["col"], _collected, small_rows)
         value.update({(many[r.col], r.rank): r.v for r in found.collect()})
-    for n in [*some, *many]:
+    for n in many:
         result[n] = {
             p: _blend(value[n, lo], value[n, hi], weight)
             for p in wanted[n]
@@ -328,7 +359,7 @@ def _quantile_by_key(rows: DataFrame, p: float, small_rows: int) -> DataFrame:
     )
     state = ranked.select(*keys, F.array_distinct(F.array("lower", "upper")).alias("ranks"))
     rows_of_large = rows.join(large.select(*keys), list(keys), "left_semi")
-    found = _narrow(rows_of_large, state, list(keys), stage)
+    found = _narrow(rows_of_large, state, list(keys), stage, small_rows)
     at = lambda rank: F.max(F.when(F.col("rank") == F.col(rank), F.col("v")))
     low, high = at("lower"), at("upper")
     weight = F.max(position) - F.max("lower")

@@ -168,7 +168,7 @@ def quantiles_narrowed(spark: SparkSession, sf: str) -> DataFrame:
     """Exact quantiles by narrowing intervals, the route of columns too large for a buffer."""
     points = (0.01, 0.25, 0.5, 0.75, 0.999)
     found = quantiles(
-        untidy_lineitem(spark, sf), {c: points for c in _NUMBERS}, small_rows=0, small_values=0
+        untidy_lineitem(spark, sf), {c: points for c in _NUMBERS}, small_rows=0
     )
     rows = [(c, p, v) for c, at in found.items() for p, v in at.items()]
     return rounded(spark.createDataFrame(rows, "column string, p double, value double"))
