@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from washline.llm import substrings
 from washline.llm.forest import labels, near_duplicates, prefix_length
 from washline.llm.stream_dedup import exact_duplicates
 from washline.llm.substrings import remove_repeated
@@ -95,8 +96,10 @@ def brute_removed(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("width", [3, 50])
-def test_repeated_passages_against_brute_force(documents, awkward, width):
+@pytest.mark.parametrize(("width", "hot"), [(3, 48), (50, 48), (50, 2)])
+def test_repeated_passages_against_brute_force(documents, awkward, monkeypatch, width, hot):
+    """Also when every repeated anchor counts as hot and its windows are dealt one by one."""
+    monkeypatch.setattr(substrings, "HOT", hot)
     passage = " ".join(f"p{i}" for i in range(55))
     rows = [(k, f"own{k} x{k} {passage} end{k}") for k in (9, 4, 7, 2)]
     rows += [(20, f"{passage} {passage}"), (21, " ".join(passage.split()[:49])), (3, "a b a b a b a b")]

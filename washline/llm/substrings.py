@@ -7,11 +7,13 @@ share theirs, so a document has few anchors.
 1. Each task counts its documents' anchors (once for each document) in count-min rows. The
    sketches are merged by segments; a cell of at least two documents is a set bit. A
    window's count is never above that of its anchor, nor that above its cells, so a
-   repeated window is never lost.
+   repeated window is never lost. A second bit marks cells of very many documents.
 2. A second pass takes only windows whose anchor has all its bits set. Within a task every
    occurrence but the one in the smallest document is marked at once; the remaining ones go to
    the task of their anchor, which groups them exactly and marks those with a smaller
    document elsewhere. So a passage in a third of all documents sends one row from each task.
+   Windows of an anchor of very many documents are dealt by their own hash instead: near
+   copies share anchors, but differ in windows.
 3. A last pass removes the words that marked windows cover.
 
 Windows are told apart by anchor and a second hash, both of 64 bits.
@@ -33,6 +35,8 @@ from washline.llm.textarrays import U64, mix, window_hashes, window_rows, word_h
 #: Words of an anchor, count-min rows, and cells of a row as a power of two (bits that every task holds: ROWS << BITS).
 ANCHOR, ROWS, BITS = 10, 2, 25
 _SEGMENT = 20
+#: Documents from which an anchor is dealt by windows, and into how many parts.
+HOT, HOT_PARTS = 48, 64
 _LAST = np.iinfo(np.int64).max
 
 
@@ -64,7 +68,7 @@ def _cell(anchor: np.ndarray, row: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """``ROWS`` bitmaps of the cells that at least two documents hit; of fixed size."""
+    """Bitmaps [kind, row] of the cells that at least two, and that ``HOT`` documents hit; of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
@@ -94,7 +98,7 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
             for s in np.unique(segment):
                 mine = segment == s
                 inside = (cells[mine] & ((1 << _SEGMENT) - 1)).astype(np.uint32)
-                inside |= (n[mine] > 1).astype(np.uint32) << np.uint32(31)  # more than one matters, not how many
+                inside |= np.minimum(n[mine], HOT).astype(np.uint32) << np.uint32(_SEGMENT)  # more than HOT tells nothing more
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(r << (BITS - _SEGMENT)) + int(s)], pa.int64()), pa.array([inside.tobytes()], pa.binary())],
                     names=["segment", "cells"],
@@ -105,14 +109,15 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
         for batch in batches:
             for s, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
                 cells = np.frombuffer(cells.as_buffer(), np.uint32)
-                at = cells & np.uint32((1 << 31) - 1)
+                at = cells & np.uint32((1 << _SEGMENT) - 1)
                 total = counts.setdefault(s, np.zeros(1 << _SEGMENT, np.uint8))
-                total[at] = np.minimum(total[at] + 1 + (cells >> np.uint32(31)).astype(np.uint8), 2)
+                total[at] = np.minimum(total[at] + (cells >> np.uint32(_SEGMENT)).astype(np.uint8), HOT)
         for s, total in counts.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int64()), pa.array([np.packbits(total > 1, bitorder="little").tobytes()], pa.binary())],
-                names=["segment", "bits"],
-            )
+            for kind, least in enumerate((2, HOT)):
+                bits = np.packbits(total >= least, bitorder="little").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind * segments + s], pa.int64()), pa.array([bits], pa.binary())], names=["segment", "bits"]
+                )
 
     segments = ROWS << (BITS - _SEGMENT)
     merged = (
@@ -121,10 +126,18 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
         )
     )
     size = (1 << _SEGMENT) // 8
-    out = np.zeros((ROWS << BITS) // 8, np.uint8)
+    out = np.zeros(2 * (ROWS << BITS) // 8, np.uint8)
     for row in merged.toLocalIterator():
         out[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(ROWS, -1)
+    return out.reshape(2, ROWS, -1)
+
+
+def _in_all(bitmaps: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Whether the cells of the anchors are set in all rows."""
+    found = np.ones(len(anchors), bool)
+    for r in range(ROWS):
+        found[found] = bit_set(bitmaps[r], _cell(anchors[found], r))
+    return found
 
 
 def _spans(positions: np.ndarray, width: int) -> np.ndarray:
@@ -158,9 +171,7 @@ def marked_windows(docs: DataFrame, width: int, repeated: np.ndarray) -> DataFra
             ids = batch.column(0).fill_null(_LAST).to_numpy()
             for i, j, data, offsets in batch_chunks(batch, "text"):
                 row, position, anchor, window, _ = anchored_windows(data, offsets, width)
-                maybe = np.ones(len(anchor), bool)
-                for r in range(ROWS):
-                    maybe[maybe] = bit_set(shared.value[r], _cell(anchor[maybe], r))
+                maybe = _in_all(shared.value[0], anchor)
                 row = row[maybe] + i
                 held.append((ids[row], keys[row], position[maybe].astype(np.int32), anchor[maybe], window[maybe]))
                 size += len(row)
@@ -178,14 +189,16 @@ def marked_windows(docs: DataFrame, width: int, repeated: np.ndarray) -> DataFra
         settled = order[known]
         if len(settled):
             yield spans_table(ids[settled], keys[settled], position[settled])
-        # Open: runs of windows of one document with one anchor.
+        # Open: runs of windows of one document with one anchor, and for hot anchors one part of the hashes.
         mask = np.zeros(len(ids), bool)
         mask[order[~known]] = True
         ids, keys, position, anchor, window = (x[mask] for x in (ids, keys, position, anchor, window))
-        order = np.lexsort((position, anchor, keys, ids))
-        ids, keys, position, anchor, window = (x[order] for x in (ids, keys, position, anchor, window))
+        part = np.where(_in_all(shared.value[1], anchor), window % U64(HOT_PARTS), U64(0))
+        order = np.lexsort((position, part, anchor, keys, ids))
+        ids, keys, position, anchor, window, part = (x[order] for x in (ids, keys, position, anchor, window, part))
+        deal = mix(anchor + part)
         new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (anchor[1:] != anchor[:-1])
+        new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
         at = np.flatnonzero(new)
         bounds = np.append(at, len(ids)).astype(np.int32)
         for lo in range(0, len(at), 20_000):
@@ -196,6 +209,7 @@ def marked_windows(docs: DataFrame, width: int, repeated: np.ndarray) -> DataFra
                     pa.array(ids[at[lo:hi]]), pa.array(keys[at[lo:hi]]), pa.array(anchor[at[lo:hi]].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(bounds[lo : hi + 1] - a), pa.array(position[a:b])),
                     pa.ListArray.from_arrays(pa.array(bounds[lo : hi + 1] - a), pa.array(window[a:b].view(np.int64))),
+                    pa.array(deal[at[lo:hi]].view(np.int64)),
                 ],
                 schema=_OPEN,
             )
@@ -212,6 +226,7 @@ def marked_windows(docs: DataFrame, width: int, repeated: np.ndarray) -> DataFra
             [
                 pa.array(ids[at]), pa.array(keys[at]), pa.array(np.zeros(n, np.int64)),
                 pa.array([x.astype(np.int32) for x in spans], pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())),
+                pa.array(keys[at]),
             ],
             schema=_OPEN,
         )
@@ -239,14 +254,16 @@ def marked_windows(docs: DataFrame, width: int, repeated: np.ndarray) -> DataFra
             found = spans_table(ids[marked], keys[marked], position[marked])
             yield pa.RecordBatch.from_arrays([found.column(k) for k in (0, 1, 3)], schema=_MARKED)
 
-    opened = docs.mapInArrow(first_pass, "id long, key long, anchor long, at array<int>, windows array<long>")
-    where = F.when(F.col("windows").isNull(), F.col("key")).otherwise(F.col("anchor"))
+    opened = docs.mapInArrow(first_pass, "id long, key long, anchor long, at array<int>, windows array<long>, deal long")
     parts = max(partitions, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return opened.repartition(parts, where).mapInArrow(second_pass, "id long, key long, spans array<int>")
+    return opened.repartition(parts, "deal").mapInArrow(second_pass, "id long, key long, spans array<int>")
 
 
 _OPEN = pa.schema(
-    [("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("at", pa.list_(pa.int32())), ("windows", pa.list_(pa.int64()))]
+    [
+        ("id", pa.int64()), ("key", pa.int64()), ("anchor", pa.int64()), ("at", pa.list_(pa.int32())),
+        ("windows", pa.list_(pa.int64())), ("deal", pa.int64()),
+    ]
 )
 _MARKED = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
