@@ -22,6 +22,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select(
         "node", F.least("node", "b").alias("root")
     ), "roots")
+    before = None
     for _ in range(max_rounds):
         near = (
             both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b")
@@ -35,9 +36,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         offers = met.select("node", "root").union(met.select(F.col("old").alias("node"), "root"))
         hooked = stage(offers.groupBy("node").agg(F.min("root").alias("root")), "roots")
         jumped = hooked.alias("x").join(hooked.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("x.root") == F.col("n2"))
-        new = stage(jumped.select("node", "r2"), "roots").toDF("node", "root")
-        changed = new.join(roots.toDF("node", "was"), "node").where("root <> was").limit(1).count()
-        roots = new
-        if not changed:
+        roots = stage(jumped.select("node", "r2"), "roots").toDF("node", "root")
+        # Two 64-bit sums over all (node, root) tell whether any root changed, without a join.
+        mark = F.xxhash64("node", "root")
+        after = tuple(roots.agg(F.bit_xor(mark), F.sum(F.xxhash64(mark).cast("decimal(38,0)"))).first())
+        if after == before:
             return roots
+        before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
