@@ -104,12 +104,20 @@ def _rendered(messages: Column, perspective: Column, system: tuple[str, ...]) ->
             F.concat(_plain(m["text"]), F.lit(END)).alias("body"),
         )
 
+    def bound(value: Column, body) -> Column:
+        """``body`` of ``value``, computed once: the list of one element binds it."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def assembled(shown_messages: Column) -> Column:
-        lengths = F.transform(shown_messages, lambda m: F.length(m["head"]) + F.length(m["body"]) + 1)
-        # Where each message begins: at most max_turns sums.
-        begins = F.transform(
-            lengths, lambda x, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b)
+        # Where each message begins, and where the last ends.
+        begins = F.aggregate(
+            shown_messages,
+            F.array(F.lit(0)),
+            lambda at, m: F.concat(at, F.array(F.element_at(at, -1) + F.length(m["head"]) + F.length(m["body"]) + 1)),
         )
+        return bound(begins, lambda at: with_spans(shown_messages, at))
+
+    def with_spans(shown_messages: Column, begins: Column) -> Column:
         spans = F.filter(
             F.transform(
                 shown_messages,
@@ -124,7 +132,6 @@ def _rendered(messages: Column, perspective: Column, system: tuple[str, ...]) ->
             lambda s: s.isNotNull(),
         )
         text = F.array_join(F.transform(shown_messages, lambda m: F.concat(m["head"], m["body"], F.lit("\n"))), "")
-        return F.struct(F.size(spans).cast("long").alias("n_own"), text.alias("text"), spans.alias("spans"))
+        return bound(spans, lambda s: F.struct(F.size(s).cast("long").alias("n_own"), text.alias("text"), s.alias("spans")))
 
-    # Computed once: the list of one element binds the value.
-    return F.element_at(F.transform(F.array(F.transform(messages, shown)), assembled), 1)
+    return bound(F.transform(messages, shown), assembled)
