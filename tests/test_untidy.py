@@ -11,6 +11,7 @@ from washline.errors import DataLoadError
 from washline.functions.parsing import parse_datetime
 from washline.operators import missing, outliers
 from washline.operators.columns import normalize_categorical_text
+from washline.operators.dedup import remove_duplicates
 from washline.operators.formats import standardize_formats
 from washline.operators.validate import validation_report
 from washline.plans.cleaning import clean_data, fit, run_cleaning
@@ -138,3 +139,20 @@ def test_listed_values_of_mixed_types(spark):
 def test_cluster_settings_are_bounded():
     parts = {n: int(cluster_settings(n)["spark.sql.shuffle.partitions"]) for n in (1, 10**11, 10**13, 10**14, 10**16)}
     assert parts[1] == 200 and parts[10**11] == 373 and parts[10**13] == 4657 and parts[10**14] == 46567 and parts[10**16] == 50_000
+
+
+def test_reports_tell_rows_apart_by_their_maps(spark):
+    rows = [(1, 1, {"a": 1}), (1, 1, {"a": 2}), (1, 2, {"a": 1}), (2, 1, None), (2, 1, None)]
+    df = spark.createDataFrame(rows, "k int, o int, m map<string,int>")
+    kept, removed = remove_duplicates(df, ["k"], order_key="o", return_report=True)
+    assert kept.count() == 2 and removed.count() == 3
+    everything = sorted(str(r) for part in (kept, removed) for r in part.collect())
+    assert everything == sorted(str(r) for r in df.collect())
+
+
+def test_variants_pass_through(spark):
+    df = spark.sql("SELECT id % 2 AS k, parse_json('{\"a\": ' || (id % 2) || '}') AS v FROM range(6)")
+    cleaned, summary = clean_data(df)
+    assert summary["duplicates_removed"] == 4 and dict(cleaned.dtypes)["v"] == "variant"
+    assert sorted(r.v.toJson() for r in cleaned.collect()) == ['{"a":0}', '{"a":1}']
+    cleaned.release()

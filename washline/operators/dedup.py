@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from washline.functions.columns import has_map, missing_as_null, text_columns
 from washline.functions.names import quoted
@@ -25,8 +26,27 @@ def _cols(names: Sequence[str]) -> list[Column]:
 
 
 def count_copies(df: DataFrame, copies: str = _COPIES) -> DataFrame:
-    """Distinct rows with their number of copies. NULL equals NULL, -0.0 equals 0.0."""
-    return missing_as_null(df).groupBy(*_cols(df.columns)).agg(F.count(F.lit(1)).alias(copies))
+    """Distinct rows with their number of copies. NULL equals NULL, -0.0 equals 0.0.
+
+    Variants, which Spark cannot group, are equal if their JSON text is.
+    """
+    rows = missing_as_null(df)
+    variants = {f.name for f in rows.schema.fields if isinstance(f.dataType, T.VariantType)}
+    plain = rows.select(*(F.to_json(quoted(c)).alias(c) if c in variants else quoted(c) for c in rows.columns))
+    counted = plain.groupBy(*_cols(df.columns)).agg(F.count(F.lit(1)).alias(copies))
+    if not variants:
+        return counted
+    return counted.select(
+        *(F.parse_json(quoted(c)).alias(c) if c in variants else quoted(c) for c in df.columns), copies
+    )
+
+
+def _comparable(df: DataFrame) -> list[Column]:
+    """Every column in a form that can be hashed and compared: maps and variants as JSON."""
+    return [
+        F.to_json(quoted(f.name)) if has_map(f.dataType) or isinstance(f.dataType, T.VariantType) else quoted(f.name)
+        for f in df.schema.fields
+    ]
 
 
 def _folded(df: DataFrame) -> DataFrame:
@@ -71,7 +91,7 @@ def _repeat(df: DataFrame, times: str, columns: list[str]) -> DataFrame:
     chunks = df.withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / _CHUNK)))
     )
-    spread = chunks.repartition(F.xxhash64(*_cols(columns)), F.col("__chunk"))
+    spread = chunks.repartition(F.xxhash64(*_comparable(df.select(*_cols(columns)))), F.col("__chunk"))
     share = F.least(F.lit(_CHUNK), F.col(times) - F.col("__chunk") * _CHUNK).cast("int")
     return spread.select(
         *_cols(columns), F.explode(F.array_repeat(F.lit(1), share)).alias("__copy")
@@ -124,15 +144,13 @@ def remove_duplicates(
     # Rows are joined on the whole row, so a hot key spreads over all its different rows.
     counted = count_copies(rows)
     kept = _row_of(_kept(counted, list(subset), keep, order), columns)
-    identity = [f for f in rows.schema.fields if not has_map(f.dataType)]
-    a, b = counted.alias("a"), kept.withColumn("__kept", F.lit(1)).alias("b")
-    same = None
-    for f in identity:
-        test = F.col(f"a.`{f.name}`").eqNullSafe(F.col(f"b.`{f.name}`"))
-        same = test if same is None else same & test
-    marked = a.join(b, same, "left").select(
-        *(F.col(f"a.`{c}`").alias(c) for c in columns),
-        (F.col(f"a.{_COPIES}") - F.coalesce(F.col("b.__kept"), F.lit(0))).alias("__times"),
+    left = counted.select("*", *(x.alias(f"__a{i}") for i, x in enumerate(_comparable(rows))))
+    right = kept.select(F.lit(1).alias("__kept"), *(x.alias(f"__b{i}") for i, x in enumerate(_comparable(kept))))
+    same = F.lit(True)
+    for i in range(len(columns)):
+        same = same & F.col(f"__a{i}").eqNullSafe(F.col(f"__b{i}"))
+    marked = left.join(right, same, "left").select(
+        *_cols(columns), (F.col(_COPIES) - F.coalesce(F.col("__kept"), F.lit(0))).alias("__times")
     )
     return kept, _repeat(marked.where("__times > 0"), "__times", columns)
 
