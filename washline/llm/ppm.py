@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from washline.llm.common import CHUNK_BYTES, batch_chunks, stage
 
 UNDETERMINED = "und"
+#: Trees of all languages are held by every task; more languages raise an error.
+MAX_LANGUAGES = 1_000
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -154,7 +156,10 @@ def fit(
         .groupBy("lang", "k", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    found = counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    sizes = {r["lang"]: r["n"] for r in found}
     langs = tuple(sorted(sizes))
     least = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(max(1, -(-sizes[lang] // nodes))))])
     # At most `nodes` rows for each language and order.
