@@ -2,9 +2,10 @@
 
 For every participant of a conversation the dialogue is rendered once with that speaker as
 the assistant and the others as named users. The loss mask covers what the assistant says
-and the mark that ends it. Long conversations are rendered in parts of consecutive turns, so
-no row and no task grows with the length of a conversation: turns are numbered by a range
-partitioning of all turns, in which a conversation may span any number of tasks.
+and the mark that ends it. Conversations of up to a part's length are gathered by one shuffle.
+Longer ones are rendered in parts of consecutive turns, so no row and no task grows with the
+length of a conversation: their turns are numbered by a range partitioning, in which a
+conversation may span any number of tasks.
 """
 
 from __future__ import annotations
@@ -71,21 +72,47 @@ def rotate(
         F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+    counts = rows.groupBy("conv").agg(F.count("*").alias("n")).where(F.col("n") > max_turns)
+    long = stage(counts.select("conv"), "long")
+    turn = F.struct("late", "turn", "speaker", "text")
+    gathered = (
+        rows.join(long, "conv", "left_anti")
+        .groupBy("conv")
+        .agg(F.first("id").alias("id"), F.sort_array(F.collect_list(turn)).alias("messages"))
+    )
+    people = F.array_distinct(F.filter(F.transform("messages", lambda m: m["speaker"]), lambda s: ~s.isin(*system)))
+    short = gathered.select(
+        "id", F.explode(people).alias("perspective"), F.lit(0).cast("long").alias("part"),
+        F.size("messages").cast("long").alias("n_turns"), "messages",
+    )
+    both = short.unionByName(_long_parts(rows.join(long, "conv", "left_semi"), system, max_turns))
+    return both.select(
+        F.col("id").alias(conv_col),
+        "perspective",
+        "part",
+        "n_turns",
+        _rendered(F.col("messages"), F.col("perspective"), system).alias("rendered"),
+    ).select(conv_col, "perspective", "part", "n_turns", "rendered.n_own", "rendered.text", "rendered.spans")
+
+
+def _long_parts(rows: DataFrame, system: tuple[str, ...], max_turns: int) -> DataFrame:
+    """(id, perspective, part, n_turns, messages) of conversations that make several parts."""
     ranked = stage(numbered(rows, ["conv"], ["late", "turn", "speaker", "text"]), "turns")
     part = F.floor(F.col("rank") / max_turns)
     messages = ranked.groupBy("conv", part.alias("part")).agg(
-        F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("rank", "speaker", "text"))).alias("messages")
+        F.first("id").alias("id"),
+        F.sort_array(F.collect_list(F.struct("rank", "late", "turn", "speaker", "text"))).alias("messages"),
     )
     parts = ranked.groupBy("conv", part.alias("part")).agg(F.count("*").alias("n_turns"))
     people = ranked.where(~F.col("speaker").isin(*system)).select("conv", F.col("speaker").alias("perspective")).distinct()
     wanted = people.join(parts, "conv")
     return wanted.join(messages, ["conv", "part"]).select(
-        F.col("id").alias(conv_col),
+        "id",
         "perspective",
         "part",
         "n_turns",
-        _rendered(F.col("messages"), F.col("perspective"), system).alias("rendered"),
-    ).select(conv_col, "perspective", "part", "n_turns", "rendered.n_own", "rendered.text", "rendered.spans")
+        F.transform("messages", lambda m: F.struct(m["late"], m["turn"], m["speaker"], m["text"])).alias("messages"),
+    )
 
 
 def _rendered(messages: Column, perspective: Column, system: tuple[str, ...]) -> Column:
