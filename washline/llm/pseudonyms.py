@@ -5,6 +5,10 @@ of that kind and format: a Feistel network over whole numbers, walked on until t
 is in the same class again. So a card number stays a valid card number, a date a date; equal
 values get equal pseudonyms in all documents, different ones different pseudonyms, and whoever has the
 key can restore them. Punctuation, country codes and mail domains stay.
+
+In a run of digit groups every card number on group boundaries is looked for: usual groupings
+(4-4-4-4, 4-6-5, 4-6-4, unbroken) first, then the longest, going on behind it. A value that touches other
+digits may get another pseudonym than it has alone: one by which the same values are found again.
 """
 
 from __future__ import annotations
@@ -25,16 +29,26 @@ _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(209
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 _MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![A-Za-z0-9-])")
-_NUMBER = re.compile(
-    r"(?<![\w.@/-])(?:"
+_SHAPE = re.compile(
     r"(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\.?\d)"
-    r"|(?P<iso>\d{4}-\d{2}-\d{2})(?![\d-])"
+    r"|(?P<iso>\d{4}-\d{2}-\d{2})(?!\d)"
     r"|(?P<slash>\d{1,2}/\d{1,2}/\d{4})(?![\d/])"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
-    r"|(?P<phone>(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!-?\d)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![ -]?\d)"
-    r")"
+    r"|(?P<dotted>\d{1,2}\.\d{1,2}\.\d{4})(?!\.?\d)"
+    r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?!\d)"
+    r"|(?P<phone>(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)"
 )
+#: Where a value can begin: no value is shorter.
+_START = re.compile(r"(?:[+(]|(?<!\d))\d(?=[\d() ./-]{6})")
+_FREE = re.compile(r"(?<![\w.@/-])")
+_CARD_FREE = re.compile(r"(?<![\w@])(?<!\d\.)(?<!\D/)")
+_GROUPS = re.compile(r"\d+(?:[ -]\d+)*")
+#: Numbers with a country code (behind 00 only with a separator, as ids begin so too), and with the 0 before an area code.
+_ABROAD = re.compile(r"(?:\+|00(?=[1-9]\d{0,2}[ ./-]))\d+(?:(?:[ ./-]|[ ]?\(|\)[ ]?)\d+)*")
+_AREA = re.compile(r"(?!\d\d[-.]\d\d[-.]\d{4}\b)0[1-9]\d{0,3}(?:[ ./-]\d{2,8})+(?!\d)")
+_ONE_DIGIT, _TWO_DIGITS = ("1", "7"), re.compile(r"2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+_CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
+#: Characters behind its begin that decide whether a value begins there.
+_REACH = 128
 
 
 class Permutation:
@@ -86,80 +100,121 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(left) if c.isdigit() else c for c in shape)
 
 
-def _card(p: Permutation, text: str, back: bool) -> str | None:
+Fits = Callable[[str], bool]
+
+
+def _card(p: Permutation, text: str, back: bool, fits: Fits) -> str:
     digits = re.sub(r"\D", "", text)
-    if not luhn(digits) or digits[0] == "0":
-        return None
     body = digits[1:-1]
-    moved = p.move(int(body), 10 ** len(body), b"card%d" % len(digits) + digits[0].encode(), back=back)
-    return _refill(text, _with_check(digits[0] + str(moved).zfill(len(body))))
+    show = lambda n: _refill(text, _with_check(digits[0] + str(n).zfill(len(body))))
+    size, tweak = 10 ** len(body), b"card%d" % len(digits) + digits[0].encode()
+    return show(p.move(int(body), size, tweak, lambda n: fits(show(n)), back))
 
 
-def _phone(p: Permutation, text: str, back: bool) -> str | None:
+def _phone(p: Permutation, text: str, back: bool, fits: Fits) -> str:
     digits = re.sub(r"\D", "", text)
     head, body = digits[:-10], digits[-10:]
     valid = lambda s: s[0] in "23456789" and s[3] in "23456789"
     kind = valid(body)
-    moved = p.move(int(body), 10**10, b"phone" + head.encode(), lambda n: valid(str(n).zfill(10)) == kind, back)
-    return _refill(text, head + str(moved).zfill(10))
+    show = lambda n: _refill(text, head + str(n).zfill(10))
+    same = lambda n: valid(str(n).zfill(10)) == kind and fits(show(n))
+    return show(p.move(int(body), 10**10, b"phone" + head.encode(), same, back))
+
+
+def _country(digits: str) -> int:
+    return 1 if digits[0] in _ONE_DIGIT else 2 if _TWO_DIGITS.match(digits) else 3
+
+
+def _phone_abroad(p: Permutation, text: str, back: bool, fits: Fits) -> str:
+    """Country code, a 0 before the area code and its first digit's being 0 stay."""
+    digits = re.sub(r"\D", "", text)
+    zeros = 0 if text[0] == "+" else len(digits) - len(digits.lstrip("0"))
+    at = zeros if zeros == 1 else zeros + _country(digits[zeros:])
+    at += zeros != 1 and "(0)" in text and digits[at] == "0"
+    head, body = digits[:at], digits[at:]
+    code = digits[zeros:at]
+    if len(body) == 10 and zeros != 1:
+        valid = lambda s: s[0] in "23456789" and s[3] in "23456789"
+        tweak = b"phone" + code.encode()
+    else:
+        valid = lambda s: s[0] == "0"
+        tweak = b"phone%s/%d" % (code.encode() or b"0", len(body))
+    kind = valid(body)
+    show = lambda n: _refill(text, head + str(n).zfill(len(body)))
+    same = lambda n: valid(str(n).zfill(len(body))) == kind and fits(show(n))
+    return show(p.move(int(body), 10 ** len(body), tweak, same, back))
 
 
-def _ip(p: Permutation, text: str, back: bool) -> str | None:
+def _is_ip(text: str) -> bool:
     try:
-        value = int(ipaddress.IPv4Address(text))
+        return bool(ipaddress.IPv4Address(text))
     except ValueError:
-        return None
+        return False
+
+
+def _ip(p: Permutation, text: str, back: bool, fits: Fits) -> str:
+    value = int(ipaddress.IPv4Address(text))
     kind = ipaddress.IPv4Address(value).is_global
-    return str(ipaddress.IPv4Address(p.move(value, 1 << 32, b"ip", lambda n: ipaddress.IPv4Address(n).is_global == kind, back)))
+    same = lambda n: ipaddress.IPv4Address(n).is_global == kind and fits(str(ipaddress.IPv4Address(n)))
+    return str(ipaddress.IPv4Address(p.move(value, 1 << 32, b"ip", same, back)))
 
 
-def _ssn(p: Permutation, text: str, back: bool) -> str | None:
-    def valid(n: int) -> bool:
-        s = str(n).zfill(9)
-        return s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
+def _is_ssn(text: str) -> bool:
+    s = text.replace("-", "")
+    return s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
 
-    value = int(text.replace("-", ""))
-    if not valid(value):
-        return None
-    return _refill(text, str(p.move(value, 10**9, b"ssn", valid, back)).zfill(9))
+
+def _ssn(p: Permutation, text: str, back: bool, fits: Fits) -> str:
+    show = lambda n: _refill(text, str(n).zfill(9))
+    same = lambda n: _is_ssn(str(n).zfill(9)) and fits(show(n))
+    return show(p.move(int(text.replace("-", "")), 10**9, b"ssn", same, back))
 
 
-def _date(p: Permutation, text: str, back: bool) -> str | None:
+def _read_date(text: str) -> tuple[datetime.date, bool] | None:
+    """The day, and whether day and month stand in the order that is not usual with the separator."""
     try:
         if "-" in text:
             day, swapped = datetime.date.fromisoformat(text), False
+        elif "." in text:
+            a, b, year = map(int, text.split("."))
+            swapped = b > 12
+            day = datetime.date(year, a, b) if swapped else datetime.date(year, b, a)
         else:
             a, b, year = map(int, text.split("/"))
             swapped = a > 12
             day = datetime.date(year, b, a) if swapped else datetime.date(year, a, b)
     except ValueError:
         return None
-    if not _FIRST_DAY <= day.toordinal() <= _LAST_DAY:
-        return None
-    # Formats that do not show every day are permuted among those they show.
-    wide = [len(x) for x in text.split("/")]
+    return (day, swapped) if _FIRST_DAY <= day.toordinal() <= _LAST_DAY else None
+
 
-    def fits(n: int) -> bool:
+def _date(p: Permutation, text: str, back: bool, fits: Fits) -> str:
+    day, swapped = _read_date(text)
+    if "-" in text:
+        sep, fields, tweak = "-", [], b"date"
+    else:
+        sep = "." if "." in text else "/"
+        fields = text.split(sep)
+        tweak = b"date" + str([len(x) for x in fields]).encode() + bytes([swapped]) + bytes(x[0] == "0" for x in fields)
+        tweak += b"." * (sep == ".")
+
+    def show(n: int) -> str:
         d = datetime.date.fromordinal(_FIRST_DAY + n)
-        if "-" in text:
-            return True
+        if sep == "-":
+            return d.isoformat()
+        parts = (d.day, d.month) if swapped == (sep == "/") else (d.month, d.day)
+        return sep.join([*(str(x).zfill(len(w)) for x, w in zip(parts, fields)), str(d.year)])
+
+    def same(n: int) -> bool:
+        # Formats that do not show every day are permuted among those they show: a two-digit field
+        # with a leading zero shows days below ten, one without does not.
+        d, shown = datetime.date.fromordinal(_FIRST_DAY + n), show(n)
         if swapped and d.day <= 12:
             return False
-        parts = (d.day, d.month) if swapped else (d.month, d.day)
-        return all(w == 2 and (str_padded(x, text, k)) or w == 1 and x < 10 for k, (w, x) in enumerate(zip(wide, parts)))
-
-    def str_padded(x: int, shape: str, k: int) -> bool:
-        # A two-digit field with a leading zero shows days below ten, one without does not.
-        return (x < 10) == (shape.split("/")[k][0] == "0")
+        alike = all(len(x) == len(w) and (x[0] == "0") == (w[0] == "0") for x, w in zip(shown.split(sep), fields))
+        return alike and fits(shown)
 
-    tweak = b"date" if "-" in text else b"date" + str(wide).encode() + bytes([swapped]) + bytes(x[0] == "0" for x in text.split("/"))
-    d = datetime.date.fromordinal(
-        _FIRST_DAY + p.move(day.toordinal() - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, tweak, fits, back)
-    )
-    if "-" in text:
-        return d.isoformat()
-    parts = (d.day, d.month) if swapped else (d.month, d.day)
-    return "/".join([*(str(x).zfill(w) for x, w in zip(parts, wide)), str(d.year)])
+    return show(p.move(day.toordinal() - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, tweak, same, back))
 
 
 def _mail(p: Permutation, text: str, back: bool) -> str | None:
@@ -178,28 +233,142 @@ def _mail(p: Permutation, text: str, back: bool) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
-_BY_GROUP = {"ip": ("ip", _ip), "iso": ("date", _date), "slash": ("date", _date), "ssn": ("ssn", _ssn), "phone": ("phone", _phone), "card": ("card", _card)}
+_DATE = ("date", _date, _read_date)
+_BY_GROUP = {
+    "ip": ("ip", _ip, _is_ip), "iso": _DATE, "slash": _DATE, "dotted": _DATE, "ssn": ("ssn", _ssn, _is_ssn),
+    "phone": ("phone", _phone, bool), "abroad": ("phone", _phone_abroad, bool), "card": ("card", _card, bool),
+}
 
 
-def replace_values(text: str, permutation: Permutation, counts: dict[str, int], back: bool = False) -> str:
-    """The text with its values replaced; ``counts`` gets their number by kind."""
+def _cards(text: str, at: int) -> Iterator[tuple[int, bool]]:
+    """Ends of the card numbers that begin here, longest first, and whether their groups are usual."""
+    if not _CARD_FREE.match(text, at) or not (run := _GROUPS.match(text, at, at + 40)):
+        return
+    ends = [m.end() for m in re.finditer(r"\d+", run[0])]
+    for k in range(len(ends), 0, -1):
+        digits = re.sub(r"\D", "", run[0][: ends[k - 1]])
+        if 13 <= len(digits) <= 19 and digits[0] != "0" and luhn(digits):
+            yield at + ends[k - 1], k == 1 or [len(x) for x in re.split("[ -]", run[0][: ends[k - 1]])] in _CARD_GROUPS
 
-    def number(match: re.Match) -> str:
-        kind, change = _BY_GROUP[match.lastgroup]
-        found = change(permutation, match[0], back)
-        if found is None:
-            return match[0]
-        counts[kind] += 1
+
+def _usual_card(text: str, at: int) -> int | None:
+    return next((end for end, usual in _cards(text, at) if usual), None)
+
+
+def _shaped(text: str, at: int, last: int) -> tuple[int, str] | None:
+    """End and group of the value that its separators show; ``last`` is the end of the value before."""
+    joined = at == last + 1 and text[last] in "-/"
+    if not (joined or _FREE.match(text, at)) or not (m := _SHAPE.match(text, at)):
+        return None
+    follows = r"-" if m.lastgroup in ("iso", "ssn") else r"-\d" if m.lastgroup == "phone" else r"(?!)"
+    if re.match(follows, text[m.end() : m.end() + 2]) and not _usual_card(text, m.end() + 1):
+        return None
+    return (m.end(), m.lastgroup) if _BY_GROUP[m.lastgroup][2](m[0]) else None
+
+
+def _gives_way(text: str, at: int, end: int) -> bool:
+    """Whether a card number of usual groups begins inside, or a value that goes on behind the end."""
+    for m in _START.finditer(text, at + 1, end + _REACH // 2):
+        if m.start() >= end:
+            break
+        if _usual_card(text, m.start()) or (found := _shaped(text, m.start(), -2)) and found[0] > end:
+            return True
+    return False
+
+
+def _abroad(text: str, at: int, last: int) -> int | None:
+    """End of the telephone number with a country or area code: 8 to 15 digits, up to 11 or more if they go on."""
+    joined = at == last + 1 and text[last] in "-/"
+    if not (joined or _FREE.match(text, at)):
+        return None
+    if m := _ABROAD.match(text, at, at + 48):
+        zeros = 0 if text[at] == "+" else 2
+        best = None
+        for g in re.finditer(r"\d+", m[0]):
+            digits = re.sub(r"\D", "", m[0][: g.end()])[zeros:]
+            if len(digits) > 15 or digits[0] == "0" or at + g.end() == at + 48:
+                break
+            wanted = 11 if digits[0] == "1" else 8
+            if len(digits) >= wanted and not _gives_way(text, at, at + g.end()):
+                best = at + g.end()
+            if len(digits) >= 11:
+                break
+        return best
+    m = _AREA.match(text, at, at + 48)
+    if m and 9 <= len(re.sub(r"\D", "", m[0])) <= 12 and not _gives_way(text, at, m.end()):
+        return m.end()
+    return None
+
+
+def _value_at(text: str, at: int, last: int) -> tuple[int, str] | None:
+    if found := _shaped(text, at, last):
         return found
+    if text[at] in "+0" and (end := _abroad(text, at, last)):
+        return end, "abroad"
+    if end := _usual_card(text, at):
+        return end, "card"
+    end = next((end for end, _ in _cards(text, at) if not _gives_way(text, at, end)), None)
+    return (end, "card") if end else None
+
+
+def _scan(text: str, at: int = 0, last: int = -2, stop: float = float("inf")) -> list[tuple[int, int, str]]:
+    """(begin, end, group) of the values that begin up to ``stop``, first come first served."""
+    spans = []
+    while (m := _START.search(text, at)) and m.start() <= stop:
+        found = _value_at(text, m.start(), last)
+        if found:
+            spans.append((m.start(), *found))
+            at = last = found[0]
+        else:
+            at = m.start() + 1
+    return spans
 
-    def mail(match: re.Match) -> str:
-        found = _mail(permutation, match[0], back)
-        counts["email"] += found is not None
-        return found or match[0]
 
-    if "@" in text:
-        text = _MAIL.sub(mail, text)
-    return _NUMBER.sub(number, text)
+def _numbers(text: str, permutation: Permutation, counts: dict[str, int], back: bool) -> str:
+    """Each value is moved on until the values in front of it and itself are found as before.
+
+    They then are found in the new text too; to restore them the last comes first, so that each has
+    the surroundings it was moved in.
+    """
+    spans = _scan(text)
+    if not spans:
+        return text
+    chars, shift = list(text), 0
+    for k in reversed(range(len(spans))) if back else range(len(spans)):
+        begin, end, group = spans[k]
+        begin, end = begin + shift, end + shift
+        first, j = max(0, begin - _REACH), k
+        while j and spans[j - 1][1] > first:
+            j -= 1
+            first = min(first, spans[j][0])
+        edge = max(0, first - 2)
+        left, right = "".join(chars[edge:begin]), "".join(chars[end : end + _REACH])
+        ahead = [(b - edge, e - edge, g) for b, e, g in spans[j:k]]
+        last = spans[j - 1][1] - edge if j else -2
+
+        def fits(new: str) -> bool:
+            found = _scan(left + new + right, first - edge, last if last >= 0 else -2, len(left))  # noqa: B023
+            return found == [*ahead, (len(left), len(left) + len(new), group)]  # noqa: B023
+
+        kind, change, _ = _BY_GROUP[group]
+        new = change(permutation, "".join(chars[begin:end]), back, fits)
+        counts[kind] += 1
+        chars[begin:end] = new
+        spans[k] = (begin, begin + len(new), group)
+        if not back:
+            shift += len(new) - (end - begin)
+    return "".join(chars)
+
+
+def replace_values(text: str, permutation: Permutation, counts: dict[str, int], back: bool = False) -> str:
+    """The text with its values replaced; ``counts`` gets their number by kind."""
+    out, at = [], 0
+    for m in _MAIL.finditer(text) if "@" in text else ():
+        found = _mail(permutation, m[0], back)
+        counts["email"] += found is not None
+        out += [_numbers(text[at : m.start()], permutation, counts, back), found or m[0]]
+        at = m.end()
+    return "".join([*out, _numbers(text[at:], permutation, counts, back)])
 
 
 def pseudonymise(
