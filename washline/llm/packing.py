@@ -41,12 +41,13 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def piece_bounds(data: np.ndarray, offsets: np.ndarray, literals: tuple[tuple[bytes, bool], ...] = ()) -> np.ndarray:
     """Byte positions where the text may be cut without changing its ids.
 
     The pre-tokenizer never joins a non-space with a space after it, nor an ASCII letter with
     an ASCII character after it that is no letter. Characters with a lead byte that also begins
-    Unicode spaces are never cut behind.
+    Unicode spaces are never cut behind. ``literals`` of added tokens are never cut, nor cut off from
+    what is beside them if the token looks there (the flag).
     """
     n = len(data)
     if n == 0:
@@ -60,18 +61,33 @@ def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut |= _LETTER[before] & (after < 0x80) & ~_LETTER[after]
     mask = np.zeros(n + 1, bool)
     mask[1:n] = cut
+    raw = data.tobytes() if literals else b""
+    for literal, beside in literals:
+        at = raw.find(literal)
+        while at >= 0:
+            mask[at + (not beside) : at + len(literal) + beside] = False
+            at = raw.find(literal, at + 1)
     mask[offsets] = True
     return np.flatnonzero(mask)
 
 
 class Encoder:
-    """Ids of many texts at once; equal pieces of text are looked up, new ones go to the tokenizer."""
+    """Ids of many texts at once; equal pieces of text are looked up, new ones go to the tokenizer.
 
-    def __init__(self, path: str):
+    With ``special`` the literal of a special token gets the token's id, as the tokenizer does by
+    default; without it is text like any other.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.literals = tuple(
+            (t.content.encode(), t.lstrip or t.rstrip or t.single_word)
+            for t in self.tokenizer.get_added_tokens_decoder().values()
+            if t.content and (special or not t.special)
+        )
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.uint32 if self.wide else np.uint16
         self.known: dict[bytes, bytes] = {}
@@ -79,7 +95,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and the bounds of the rows in it."""
-        cuts = piece_bounds(data, offsets)
+        cuts = piece_bounds(data, offsets, self.literals)
         if len(cuts) < 2:
             return np.empty(0, self.dtype), np.zeros(len(offsets), np.int64)
         pieces = pa.Array.from_buffers(
@@ -119,7 +135,7 @@ def encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, special=True)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -248,7 +264,8 @@ def pack(
     ``weights`` are the proportions of the sources in a window; by default each source's share of
     all ids, so that all queues end together. A null text is empty and gives its end id alone; a
     null source is a queue of its own (the last); repeated rows are packed each. Without rows, no
-    pieces. ``keep_ids`` adds the ids of the piece as an array.
+    pieces. Ids are those the tokenizer gives the whole text by default: the literal of an added token
+    is that token. ``keep_ids`` adds the ids of the piece as an array.
     """
     spark = docs.sparkSession
     rows = tokenize(docs, tokenizer, end_id, id_col, text_col, source_col)
