@@ -246,9 +246,14 @@ def train(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
         F.broadcast(wanted), F.col("_id") == F.col("_label_id")
     )
-    rows = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(max_rows)
-    taught = document_statistics(rows, "_label", "_text").toArrow()
-    y = taught.column("id").to_numpy().astype(np.float64)
+    # Texts become statistics in all tasks; only those short rows are ordered and limited.
+    place = F.struct(
+        F.col("_label").alias("label"), F.xxhash64("_id").alias("first"), F.col("_id").alias("then"), F.xxhash64("_text").alias("last")
+    )
+    short = document_statistics(rows.select(place.alias("_place"), "_text"), "_place", "_text")
+    short = short.orderBy("id.first", "id.then", "id.last").limit(max_rows)
+    taught = short.select(F.col("id.label").alias("label"), "statistics").toArrow()
+    y = taught.column("label").to_numpy().astype(np.float64)
     flat = taught.column("statistics").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     x = flat.reshape(len(y), len(STATISTICS))
     order = np.lexsort((*x.T, y))  # tasks may answer in any order
