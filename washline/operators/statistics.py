@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +33,8 @@ SMALL_ROWS = 20_000
 
 _BUCKETS = 1024
 _MAGNITUDE_STEPS = 16
+#: Below this largest magnitude, what sample_skewness takes for zero is no rounding error.
+_SMALL_PEAK = 1e-14
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,7 @@ def sample_skewness(c: Column) -> Column:
     """Adjusted Fisher-Pearson skewness: NULL below three values, 0 for a constant.
 
     Values within 1e-30 of zero count as zero: the third power of their spread has no double.
+    ``_with_small_skews`` measures columns again that have no larger ones beside them.
     """
     n = F.count(c).cast("double")
     c = F.when(F.abs(c) < 1e-30, F.lit(0.0)).otherwise(c)
@@ -75,10 +78,23 @@ def stacked(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return wide.selectExpr(f"stack({len(names)}, {pairs}) as (col, v)").where("v is not null")
 
 
+def _with_small_skews(
+    df: DataFrame, columns: Mapping[str, Column], found: dict[str, Moments]
+) -> dict[str, Moments]:
+    """``found``, with the skewness of columns of tiny numbers taken from their shares of the largest magnitude."""
+    peaks = {c: max(abs(m.low), abs(m.high)) for c, m in found.items() if m.n > 2 and m.varies}
+    small = {c: columns[c] / F.lit(peak) for c, peak in peaks.items() if peak < _SMALL_PEAK}
+    if not small:
+        return found
+    names, v = list(small), F.col("v")
+    rows = stacked(df, small).groupBy("col").agg(sample_skewness(v)).collect()  # one row per column
+    return found | {names[i]: replace(found[names[i]], skew=skew) for i, skew in rows}
+
+
 def moments(
     df: DataFrame, columns: Mapping[str, Column] | Sequence[str]
 ) -> dict[str, Moments]:
-    """Moments of all ``columns`` from a single pass."""
+    """Moments of all ``columns`` from a single pass, and another over columns of tiny numbers."""
     if not isinstance(columns, Mapping):
         columns = {name: as_double(quoted(name)) for name in columns}
     if not columns:
@@ -91,13 +107,13 @@ def moments(
     result = {name: Moments(0, None, None, None, None, None, None) for name in names}
     for row in found.collect():  # one row per column
         result[names[row[0]]] = Moments(*row[1:])
-    return result
+    return _with_small_skews(df, columns, result)
 
 
 def column_facts(
     df: DataFrame, hashes: Mapping[str, Column], numbers: Mapping[str, Column]
 ) -> tuple[int, dict[str, int], dict[str, int], dict[str, Moments]]:
-    """Rows, non-missing counts, estimates of different values and moments, from one pass.
+    """Rows, non-missing counts, estimates of different values and moments, from one pass (see ``moments``).
 
     ``hashes`` are longs that stand for the values of any column, ``numbers`` doubles of the
     numeric ones. Both are stacked side by side: (column, hash, number).
@@ -123,7 +139,8 @@ def column_facts(
         rows, present[name], estimates[name] = row[1], row[2], row[3]
         stats[name] = Moments(*row[4:])
     empty = Moments(0, None, None, None, None, None, None)
-    return rows, present, estimates, {c: stats.get(c, empty) for c in numbers}
+    stats = {c: stats.get(c, empty) for c in numbers}
+    return rows, present, estimates, _with_small_skews(df, numbers, stats)
 
 
 def distinct_estimates(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, int]:
