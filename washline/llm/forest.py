@@ -3,10 +3,11 @@
 1. Each document becomes the set of its shingle hashes; documents with equal sets are copies
    and go on as one.
 2. A signature of ``trees * depth`` minhashes, a byte each, makes one 64-bit label for each
-   tree. Sorted labels are a prefix trie; sets that share a prefix are in one node of it.
-3. Prefixes are shortened from the full depth until a pair at the threshold meets in some
-   tree with the target recall. Nodes link their members to the node's smallest member only,
-   and the components of those links are the groups that need verification.
+   tree. Labels are cut to one fixed prefix, the same for all trees and sets, and grouped by it:
+   this is banding, not the tries and adaptive descent of a forest.
+3. The prefix is the longest with which a pair at the threshold meets in some tree with the
+   target recall, computed before any row is seen. Nodes link their members to the node's
+   smallest member only, and the components of those links are the groups that need verification.
 4. Groups are cut into blocks. Each pair of blocks is verified exactly in one task by
    incidence products over shingles: it yields a count of links for each set and spanning links,
    never the pairs. Components of the spanning links are the classes.
