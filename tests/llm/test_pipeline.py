@@ -23,7 +23,7 @@ def shingles(text):
 
 def test_registered():
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "exact deduplication", "near duplicates", "source mixing", "packing"]
-    assert {k for k in QUERIES if k.startswith("op")} == {k for k in QUERIES if k != "pipeline"} and len(QUERIES) == 11
+    assert {k for k in QUERIES if k.startswith("op")} == {k for k in QUERIES if k != "pipeline"} and len(QUERIES) == 14
     assert set(ORACLES) <= set(QUERIES) and cp.ORACLE_SQL is None
 
 

@@ -157,6 +157,16 @@ def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), key="synthetic tables")
 
 
+@query
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards of near equal bytes."""
+    from washline.llm.kdtree import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents"), shards=8).withColumns(
+        {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    )
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from every document table, in all orders, step by step."""
