@@ -55,8 +55,8 @@ def ranked(rows: DataFrame, value: str) -> DataFrame:
     return numbered(different, [], ["late", "value"]).select("value", "rank")
 
 
-def _points(rows: DataFrame, n_values: int, limit: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with their piece, and the staged points (text, piece, weight, c0, c1, ..., tie).
+def _points(rows: DataFrame, n_values: int, limit: float, leaves: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their piece, and the staged points (text, piece, weight, c0, c1, ..., tie, first, leaves), all in the root.
 
     A text's coordinates are those of its row with the smallest id. Heavy texts are at most as many as
     the limit goes into all bytes.
@@ -88,7 +88,8 @@ def _points(rows: DataFrame, n_values: int, limit: float) -> tuple[DataFrame, Da
         points = points.join(order, F.col(v).eqNullSafe(F.col(f"_{v}"))).drop(v, f"_{v}")
     size = F.floor(64 * F.log2("size")).cast("long")
     tie = F.shiftrightunsigned(F.xxhash64(*_TEXT, "piece"), 64 - _TIE_BITS)
-    return placed, stage(points.withColumns({f"c{n_values}": size, "tie": tie}), "points")
+    root = {"first": F.lit(0), "leaves": F.lit(leaves)}
+    return placed, stage(points.withColumns({f"c{n_values}": size, "tie": tie, **root}), "points")
 
 
 def _chosen(dim: Column, columns: list[Column]) -> Column:
@@ -192,10 +193,9 @@ def kd_shards(
     rows = sized_rows(docs, id_col, text_col, columns)
     total = rows.agg(F.sum("size")).first()[0] or 0
     leaves = max(1, round(total / target_bytes)) if target_bytes else shards
-    placed, points = _points(rows, len(columns), max(1.0, group_share * total / leaves))
+    placed, points = _points(rows, len(columns), max(1.0, group_share * total / leaves), leaves)
     n_dims = len(columns) + 1
     spans = points.agg(*[(F.max(f"c{k}") - F.min(f"c{k}")) for k in range(n_dims)]).first()
-    points = points.withColumns({"first": F.lit(0), "leaves": F.lit(leaves)})
     for _ in range((leaves - 1).bit_length()):
         points = split_nodes(points, n_dims, [s or 0 for s in spans], cut_share * total / leaves)
     found = placed.drop("split").join(points.select(*_TEXT, "piece", F.col("first").alias("shard")), [*_TEXT, "piece"])
