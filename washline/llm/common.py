@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,47 @@ def shared_path(spark, name: str) -> str:
     return f"{staging_root(spark).rstrip('/')}/washline-llm/{name}-{uuid.uuid4().hex}"
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("washline_llm_scope", default=None)
+
+
+def _delete(spark, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging_scope(spark) -> Iterator[None]:
+    """Delete on exit what operators staged inside the block; write their result before it ends."""
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        for path in _scope.get():
+            _delete(spark, path)
+        _scope.reset(token)
+
+
+def shared_folder(spark, name: str) -> str:
+    """A new path in the shared folder that belongs to the surrounding scope, if there is one."""
+    path = shared_path(spark, name)
+    if _scope.get() is not None:
+        _scope.get().append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it; cuts the lineage."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more, such as the state of the round before."""
+    _delete(staged.sparkSession, staged.staged_path)
 
 
 def free_name(docs: DataFrame, name: str) -> str:

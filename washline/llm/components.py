@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from washline.llm.common import stage
+from washline.llm.common import discard, stage
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,11 +36,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         offers = met.select("node", "root").union(met.select(F.col("old").alias("node"), "root"))
         hooked = stage(offers.groupBy("node").agg(F.min("root").alias("root")), "roots")
         jumped = hooked.alias("x").join(hooked.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("x.root") == F.col("n2"))
-        roots = stage(jumped.select("node", "r2"), "roots").toDF("node", "root")
+        old, roots = roots, stage(jumped.select("node", F.col("r2").alias("root")), "roots")
+        discard(old)
+        discard(hooked)
         # Two 64-bit sums over all (node, root) tell whether any root changed, without a join.
         mark = F.xxhash64("node", "root")
         after = tuple(roots.agg(F.bit_xor(mark), F.sum(F.xxhash64(mark).cast("decimal(38,0)"))).first())
         if after == before:
+            discard(both)
             return roots
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
