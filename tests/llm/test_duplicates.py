@@ -1,10 +1,15 @@
 import hashlib
+import random
 import re
+from collections import defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
-from washline.llm import substrings
-from washline.llm.forest import labels, near_duplicates, prefix_length
+from washline.llm import components as components_module
+from washline.llm import forest, substrings
+from washline.llm.forest import common_counts, labels, least_similarity, near_duplicates, prefix_length, prefix_lengths
 from washline.llm.stream_dedup import exact_duplicates
 from washline.llm.substrings import remove_repeated
 
@@ -48,7 +53,9 @@ def got_classes(df):
     return sorted(map(tuple, rows), key=str)
 
 
-def test_near_duplicates_against_all_pairs(documents):
+@pytest.mark.parametrize("block", [64, 2048])
+def test_near_duplicates_against_all_pairs(documents, monkeypatch, block):
+    monkeypatch.setattr(forest, "BLOCK_SETS", block)
     base = [f"b{i}" for i in range(60)]
     rows = []
     for k in range(170):  # more near copies than a block holds
@@ -70,8 +77,77 @@ def test_prefixes_are_shortened_to_the_recall():
     assert prefix_length(0.8, 20, 8, 0.999) == 5
     assert prefix_length(0.95, 20, 8, 0.99) == 8
     assert prefix_length(0.1, 2, 8, 0.999) == 1
-    import numpy as np
+    t = Fraction(4, 5)
+    for size in range(1, 30):  # by trying all pairs of sizes
+        all_ = [Fraction(i, size + n - i) for n in range(1, 60) for i in range(1, min(n, size) + 1) if not i == n == size]
+        assert least_similarity(size, t) == min((x for x in all_ if x >= t), default=None)
+    lengths = prefix_lengths(t, 20, 8, 0.999)
+    assert lengths[2] == [] and lengths[5][-1] == 6 and lengths[63] == [5]  # 3, 6 and 64 shingles
+    for a in range(1, 65):  # two sets that can be linked have a prefix in common at which they meet often enough
+        for b in range(1, 65):
+            reach = [Fraction(i, a + b - i) for i in range(1, min(a, b) + 1) if not i == a == b and 5 * i >= 4 * (a + b - i)]
+            if reach:
+                met = set(lengths[a - 1]) & set(lengths[b - 1])
+                assert 1 - (1 - float(min(reach)) ** min(met)) ** 20 >= 0.999
+
+
+@pytest.mark.parametrize(("n", "span"), [(1, 5), (40, 30), (90, 4000), (300, 90)])
+def test_common_counts_against_sets(monkeypatch, n, span):
+    monkeypatch.setattr(forest, "_PAIRS", 50)
+    pick = random.Random(n)
+    left, right = ([sorted({pick.randrange(span) for _ in range(pick.randrange(1, 40))}) for _ in range(k)] for k in (n, n // 2 + 1))
+    arrays = [[np.array(x, np.uint64) for x in side] for side in (left, right)]
+    found = common_counts(*arrays)
+    assert found.tolist() == [[len(set(a) & set(b)) for b in right] for a in left]
+
+
+def near_copies(n, words=60):
+    rows = []
+    for k in range(n):
+        w = [f"b{i}" for i in range(words)]
+        w[k % words] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_rows_grow_with_a_group_not_with_its_square(spark, documents, monkeypatch):
+    """Twice as many near copies of one text make at most about twice as many rows in every staged table."""
+    monkeypatch.setattr(forest, "BLOCK_SETS", 256)
+
+    def staged(n):
+        counts = defaultdict(int)
+        real = forest.stage
+
+        def counted(df, name="table"):
+            out = real(df, name)
+            counts[name] = max(counts[name], out.count())
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(forest, "stage", counted)
+            m.setattr(components_module, "stage", counted)
+            assert near_duplicates(documents(near_copies(n))).count() == n
+        return counts
+
+    small, large = staged(120), staged(240)
+    assert all(large[k] <= 2.2 * small[k] + 5 for k in small), (small, large)
+
+
+def test_recall_at_the_threshold(documents):
+    """Pairs with a similarity of 0.8 to 0.9 among unrelated ones: at least 0.9 of them are met; all by the formula but 0.0004."""
+    rows, wanted = [], []
+    for k in range(300):
+        w = [f"{k}w{i}" for i in range(94)]  # 90 shingles
+        rows.append((2 * k, " ".join(w)))
+        rows.append((2 * k + 1, " ".join(w + [f"{k}x{i}" for i in range(10 + k % 13)])))  # 0.8 to 0.9
+        wanted.append(2 * k)
+    found = {r.doc_id: r.class_id for r in near_duplicates(documents(rows)).collect()}
+    met = sum(found[i] == found[i + 1] for i in wanted)
+    assert met >= 0.99 * len(wanted)
+    assert len(set(found.values())) >= len(wanted)
+
 
+def test_labels_of_equal_sets():
     values = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     found = labels(np.concatenate([values, values]), np.array([0, 199, 199, 398]), 3, 8)
     assert (found[0] == found[2]).all()

@@ -2,15 +2,17 @@
 
 1. Each document becomes the set of its shingle hashes; documents with equal sets are copies
    and go on as one.
-2. A signature of ``trees * depth`` minhashes, a byte each, makes one 64-bit label for each
-   tree. Labels are cut to one fixed prefix, the same for all trees and sets, and grouped by it:
-   this is banding, not the tries and adaptive descent of a forest.
-3. The prefix is the longest with which a pair at the threshold meets in some tree with the
-   target recall, computed before any row is seen. Nodes link their members to the node's
-   smallest member only, and the components of those links are the groups that need verification.
-4. Groups are cut into blocks. Each pair of blocks is verified exactly in one task by
-   incidence products over shingles: it yields a count of links for each set and spanning links,
-   never the pairs. Components of the spanning links are the classes.
+2. A signature of ``trees * depth`` minhashes, a byte each, makes one label of ``depth`` bytes for
+   each tree. The labels of a tree form a prefix trie: a node is a prefix and the sets below it.
+3. Every set matches at the full depth first and shortens its prefix until its own target recall is reached:
+   a set of few shingles can only have partners of certain similarities (six shingles: 5/6 or more, three:
+   none but copies), so it leaves the tries at a longer prefix than the threshold alone would ask for. Two
+   sets meet at the longer of their two prefixes. Nodes link their members to the smallest only, and the
+   components of those links are the groups that need verification.
+4. Groups are cut into blocks of up to 2,048 sets. Each pair of blocks is verified exactly in one task
+   by incidence products over shingles (rare shingles by their pairs, frequent ones by matrices). It
+   yields one row for each linked set: how many links it has there, and the smallest set that it hangs
+   together with. Components of those rows are the classes.
 
 Shingles are compared as 64-bit hashes of the words.
 """
@@ -18,6 +20,7 @@ Shingles are compared as 64-bit hashes of the words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -32,17 +35,50 @@ from washline.llm.textarrays import U64, mix, shingle_sets
 #: Bits of the map that drops documents without any candidate before their shingles are shuffled.
 FILTER_BITS = 26
 #: Sets in a block of a group, and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 128, 200_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Sets of more shingles than this leave the tries where the threshold asks for.
+FEW_SHINGLES = 64
+#: A shingle is frequent if it is in more than one of this many pairs of sets.
+FREQUENT = 200
+#: Pairs of sets, or columns of a matrix, in one vectorised step.
+_PAIRS, _WIDTH = 1 << 22, 2048
 
 
-def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix with which a pair at the threshold meets in some tree with this probability."""
+def prefix_length(similarity: float, trees: int, depth: int, recall: float) -> int:
+    """The longest prefix with which a pair of this similarity meets in some tree with this probability."""
     length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
+    while length > 1 and 1 - (1 - similarity**length) ** trees < recall:
         length -= 1
     return length
 
 
+def least_similarity(size: int, threshold: Fraction) -> Fraction | None:
+    """The smallest coefficient from the threshold on that a set of ``size`` has with a different set, if any."""
+    found = []
+    for common in range(1, size + 1):
+        union = int(common / threshold)  # the largest that still reaches the threshold
+        if union >= size and (common, union) != (size, size):
+            found.append(Fraction(common, union))
+    return min(found, default=None)
+
+
+def prefix_lengths(threshold: Fraction, trees: int, depth: int, recall: float) -> list[list[int]]:
+    """For each number of shingles up to ``FEW_SHINGLES``: the prefixes at which such a set is in the tries.
+
+    The last is where its own recall is reached; longer ones meet partners that leave the tries there.
+    """
+    own = []
+    for size in range(1, int(FEW_SHINGLES / threshold) + 1):
+        least = least_similarity(size, threshold) if size <= FEW_SHINGLES else threshold
+        own.append(prefix_length(float(least), trees, depth, recall) if least else 0)
+    out = []
+    for size in range(1, FEW_SHINGLES + 1):
+        low, high = -int(-(size * threshold) // 1), int(size / threshold)
+        partners = {max(own[size - 1], own[n - 1]) for n in range(max(1, low), high + 1) if own[n - 1]}
+        out.append(sorted(partners | {own[size - 1]}, reverse=True) if own[size - 1] else [])
+    return out
+
+
 def labels(values: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """``trees`` labels for each nonempty set; a label has a byte of each of ``depth`` minhashes."""
     rows = len(bounds) - 1
@@ -91,59 +127,93 @@ def signatures(docs: DataFrame, shingle: int, trees: int, depth: int) -> DataFra
     return docs.mapInArrow(run, f"id {kind}, key long, set binary, size long, labels array<long>")
 
 
-def verify(group: pd.DataFrame, first: int, second: int, threshold: float) -> pd.DataFrame:
-    """Links among the sets of two blocks (or inside one): counts for each set and a spanning link."""
-    sets = [np.frombuffer(x, U64) for x in group["shingles"]]
-    block = group["block"].to_numpy()
-    size = np.array([len(x) for x in sets], np.float64)
-    left = np.flatnonzero(block == first)
-    right = np.flatnonzero(block == second)
-    member = np.repeat(np.arange(len(sets)), size.astype(np.int64))
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    values, member = values[order], member[order]
-    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
-    n = np.diff(edge)
-    shared = np.repeat(n > 1, n)
-    column = np.repeat(np.cumsum(n > 1) - 1, n)[shared]
-    member = member[shared]
-    common = np.zeros((len(left), len(right)))
-    place = np.zeros((2, len(sets)), np.int64)
-    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
-    width, in_left, in_right = 4096, block[member] == first, block[member] == second
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``; sets are sorted and without repeats."""
+    entries = []
+    for sets in (left, right):
+        member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        entries.append((values[order], member[order]))
+    names = [np.unique(v, return_index=True, return_counts=True) for v, _ in entries]
+    _, at_left, at_right = np.intersect1d(names[0][0], names[1][0], assume_unique=True, return_indices=True)
+    first = [names[0][1][at_left], names[1][1][at_right]]
+    count = [names[0][2][at_left], names[1][2][at_right]]
+    pairs = count[0] * count[1]
+    shape = (len(left), len(right))
+    common = np.zeros(shape[0] * shape[1], np.int64)
+    frequent = pairs * FREQUENT > len(common)
+    rare = np.flatnonzero(~frequent)
+    upto = np.concatenate([[0], np.cumsum(pairs[rare])])
+    lo = 0
+    while lo < len(rare):  # every pair that shares a rare value
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _PAIRS, side="right")) - 1)
+        own = rare[lo:hi]
+        value = np.repeat(own, pairs[own])
+        within = np.arange(upto[hi] - upto[lo]) - np.repeat(upto[lo:hi] - upto[lo], pairs[own])
+        a = entries[0][1][first[0][value] + within // count[1][value]]
+        b = entries[1][1][first[1][value] + within % count[1][value]]
+        common += np.bincount(a * shape[1] + b, minlength=len(common))
+        lo = hi
+    common = common.reshape(shape)
+    often = np.flatnonzero(frequent)
+    for lo in range(0, len(often), _WIDTH):
+        own = often[lo : lo + _WIDTH]
         parts = []
-        for side, count, inside in ((0, len(left), in_left), (1, len(right), in_right)):
-            m = np.zeros((count, width), np.float32)
-            chosen = np.arange(a, b)[inside[a:b]]
-            m[place[side, member[chosen]], column[chosen] - lo] = 1
+        for side, rows in enumerate(shape):
+            m = np.zeros((rows, len(own)), np.float32)
+            n = count[side][own]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            m[entries[side][1][np.repeat(first[side][own], n) + within], np.repeat(np.arange(len(own)), n)] = 1
             parts.append(m)
-        common += parts[0] @ parts[1].T
-    union = size[left][:, None] + size[right][None, :] - common
-    # By whole numbers where the threshold is a ratio of small ones: no rounding at the edge.
-    linked = common >= threshold * union - 1e-9
+        common += (parts[0] @ parts[1].T).astype(np.int64)
+    return common
+
+
+def spanning(linked: np.ndarray, names: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest name that each linked row and column of a matrix of links hangs together with."""
+    root = tuple(x.copy() for x in names)
+    open_rows, open_columns = linked.any(1), linked.any(0)
+    for r in range(len(linked)):
+        if not open_rows[r]:
+            continue
+        rows, columns = np.array([r]), np.zeros(0, np.int64)
+        found = [[], []]
+        while len(rows):
+            open_rows[rows] = False
+            found[0].append(rows)
+            columns = np.flatnonzero(linked[rows].any(0) & open_columns)
+            open_columns[columns] = False
+            found[1].append(columns)
+            rows = np.flatnonzero(linked[:, columns].any(1) & open_rows)
+        mine = [np.concatenate(x) for x in found]
+        least = min(names[0][mine[0]].min(), names[1][mine[1]].min())
+        root[0][mine[0]], root[1][mine[1]] = least, least
+    return root
+
+
+def verify(group: pd.DataFrame, first: int, second: int, threshold: Fraction) -> pd.DataFrame:
+    """Links among the sets of two blocks (or inside one): one row for each linked set."""
+    block = group["block"].to_numpy()
+    sides = [np.flatnonzero(block == first), np.flatnonzero(block == second)]
+    sets = [[np.frombuffer(group["shingles"].iat[i], U64) for i in side] for side in sides]
+    common = common_counts(*sets)
+    size = [np.array([len(x) for x in side], np.int64) for side in sets]
+    union = size[0][:, None] + size[1][None, :] - common
+    linked = common * threshold.denominator >= union * threshold.numerator
     if first == second:
         np.fill_diagonal(linked, False)
     docs = group["n_docs"].to_numpy()
-    texts, copies = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-    texts[left] = linked.sum(1)
-    copies[left] = linked @ docs[right]
-    root = np.arange(len(sets))
+    root = spanning(linked, tuple(sides))
+    # Inside one block the links of a set are those of its row; between two, rows and columns are different sets.
+    out = [(sides[0], root[0] if first != second else np.minimum(*root), linked.sum(1), linked @ docs[sides[1]])]
     if first != second:
-        texts[right] = linked.sum(0)
-        copies[right] = docs[left] @ linked
-    graph = np.zeros((len(sets), len(sets)), bool)
-    graph[np.ix_(left, right)] = linked
-    graph |= graph.T | np.eye(len(sets), dtype=bool)
-    while True:
-        smallest = np.where(graph, root[None, :], len(sets)).min(1)
-        smallest = smallest[smallest]
-        if (smallest == root).all():
-            break
-        root = smallest
+        out.append((sides[1], root[1], linked.sum(0), docs[sides[0]] @ linked))
+    at, least, texts, copies = (np.concatenate(x) for x in zip(*out))
+    hit = texts > 0
+    names = group["set"].to_numpy()
     return pd.DataFrame(
-        {"set": group["set"], "root": group["set"].to_numpy()[root], "n_text_links": texts, "n_links": copies}
+        {"set": names[at[hit]], "root": names[least[hit]], "n_text_links": texts[hit], "n_links": copies[hit]}
     )
 
 
@@ -180,12 +250,21 @@ def near_duplicates(
         ),
         "sets",
     )
-    drop = 8 * (depth - prefix_length(threshold, trees, depth, recall))
-    nodes = sets.select("set", F.posexplode("labels").alias("tree", "label")).select(
-        "set", "tree", F.shiftrightunsigned("label", drop).alias("prefix")
+    share = Fraction(str(threshold))
+    few = F.lit(";".join(",".join(map(str, x)) for x in prefix_lengths(share, trees, depth, recall)))
+    lengths = F.when(
+        F.col("size") <= FEW_SHINGLES,
+        F.filter(F.split(F.element_at(F.split(few, ";"), F.least("size", F.lit(FEW_SHINGLES)).cast("int")), ","), lambda x: x != ""),
+    ).otherwise(F.array(F.lit(str(prefix_length(threshold, trees, depth, recall)))))
+    node = ["length", "tree", "prefix"]
+    nodes = (
+        sets.select("set", "labels", F.explode(lengths.cast("array<int>")).alias("length"))
+        .select("set", "length", F.posexplode("labels").alias("tree", "label"))
+        .withColumn("prefix", F.expr(f"shiftrightunsigned(label, 8 * ({depth} - length))"))
+        .drop("label")
     )
-    shared = nodes.groupBy("tree", "prefix").agg(F.min("set").alias("b"), F.count("*").alias("n")).where("n > 1")
-    links = nodes.join(shared, ["tree", "prefix"]).select(F.col("set").alias("a"), "b")
+    shared = nodes.groupBy(node).agg(F.min("set").alias("b"), F.count("*").alias("n")).where("n > 1")
+    links = nodes.join(shared, node).select(F.col("set").alias("a"), "b")
     groups = components(links)
     sized = groups.join(sets.select(F.col("set").alias("node"), "size", "n_docs", "least.key"), "node")
     # Staged, so that the joins below are plain and a large group among their rows can be split.
@@ -234,7 +313,7 @@ def near_duplicates(
 
     def check(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("set").sort_values("set", ignore_index=True)
-        return verify(group, int(key[1]), int(key[2]), threshold)
+        return verify(group, int(key[1]), int(key[2]), share)
 
     verified = stage(
         paired.groupBy("root", "first", "second").applyInPandas(
