@@ -23,7 +23,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from washline.llm.common import WORD, shared_path, stage
+from washline.llm.common import WORD, shared_folder, stage
 
 #: Filters of the audit as conditions of failure over the measures of ``measured``.
 FILTERS: Mapping[str, str] = {
@@ -82,7 +82,7 @@ def failing(rows: DataFrame, filters: Mapping[str, str]) -> DataFrame:
             if c != "is_copy":
                 raise ValueError("is_copy stands alone in a filter")
             table = table.unionByName(later_copies(rows).withColumn("filter", F.lit(k)))
-    path = shared_path(rows.sparkSession, "failing")
+    path = shared_folder(rows.sparkSession, "failing")
     table.write.partitionBy("filter").parquet(path)
     return rows.sparkSession.read.schema("row long, filter int").parquet(path)
 

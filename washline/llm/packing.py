@@ -8,8 +8,8 @@ the queue lengths alone. Tasks therefore compute the state at any boundary direc
 of receiving it from the task before: deficits carry across windows and partitions exactly,
 and no pass over the windows is sequential. When a queue runs dry, the others share on.
 
-Ids are computed once and staged. The only shuffles are those of one row for each task and
-source.
+Ids are computed once and staged. Only one row for each task and source is shuffled; these rows
+are broadcast if they are few enough, and the ids stay where they are.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from washline.llm.common import row_ranges, shared_path, text_buffer
+from washline.llm.common import row_ranges, shared_folder, stage, text_buffer
 
 #: Different pieces of text whose ids a worker remembers: so many met lately, and as many met before them.
 REMEMBERED = 300_000
@@ -174,11 +174,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")
     )
-    path = shared_path(docs.sparkSession, "ids")
+    path = shared_folder(docs.sparkSession, "ids")
     rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Rows (one for each task and source) up to which the counts before a task are broadcast: some 20 MB.
+AHEAD_ROWS = 250_000
+
+
 class RoundRobin:
     """Ids that each queue has given when window ``w`` begins.
 
@@ -282,6 +286,9 @@ def pack(
     ahead = by_task.select(
         F.col("task").alias("_task"), F.col("source").alias("_source"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")
     )
+    ahead = stage(ahead, "ahead")
+    if ahead.count() <= AHEAD_ROWS:  # beyond that a plain join, whose skewed keys Spark splits
+        ahead = F.broadcast(ahead)
     placed = rows.join(ahead, (F.col("task") == F.col("_task")) & F.col("source").eqNullSafe(F.col("_source"))).select(
         "id", "source", "n", (F.col("begin") + F.col("ahead")).alias("begin"), "ids"
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.llm.common import bit_set, bitmap_of, shared_path, stage
+from washline.llm.common import bit_set, bitmap_of, shared_folder, stage
 
 #: Bits of the map that drops texts without a hit before they are shuffled.
 FILTER_BITS = 26
@@ -75,7 +75,7 @@ def digest_state(spark: SparkSession, path: str, id_col: str, text_col: str, dig
         .groupBy("digest")
         .agg(F.min(_first_of()).alias("keep"), F.count("*").alias("n"))
     )
-    checkpoint = shared_path(spark, "dedup-state")
+    checkpoint = shared_folder(spark, "dedup-state")
     run = (
         state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
