@@ -83,6 +83,34 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert total == {i: each[i] * n for i, n in copies.items()}
 
 
+def test_two_runs_agree(spark, tmp_path):
+    """The near-duplicate and mixing stages on two writes of one table, its rows in other files and another order."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = []
+    for n in (1, 3):
+        path = str(tmp_path / f"{n}-0")
+        docs.orderBy(F.xxhash64("doc_id", F.lit(n))).repartition(n).write.parquet(path)
+        for k in (2, 3):
+            out = cp.STAGES[k][1](spark, spark.read.parquet(path), SF)
+            path = str(tmp_path / f"{n}-{k}")
+            out.write.parquet(path)
+        found.append(plain(spark.read.parquet(path)))
+    assert found[0] == found[1] and max(found[0].values()) == 2
+
+
+def test_run_deletes_what_stages_leave(spark, monkeypatch):
+    """After a run only the output of each stage is left."""
+    import os
+
+    from washline.llm.common import shared_path
+
+    folder = os.path.dirname(shared_path(spark, "x")).removeprefix("file:")
+    there = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = there()
+    assert cp.run(spark, SF).count() > 0
+    assert sorted(x.rsplit("-", 1)[0] for x in there() - before) == sorted(n.replace(" ", "-") for n, _ in cp.STAGES)
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_of_awkward_rows(spark, awkward, k):
     out = cp.STAGES[k][1](spark, awkward, SF)
