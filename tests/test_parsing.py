@@ -98,11 +98,30 @@ def test_gate(label, stats, target):
     assert choose_target(label, stats) == target
 
 
-@pytest.mark.parametrize(("few_share", "lookup_bytes"), [(-1, 0), (1.1, 0), (1.1, 1_000_000)])
-def test_standardize(spark, values, monkeypatch, few_share, lookup_bytes):
+_PLAIN = [
+    f"{a}{x}{b}{y}{c}{clock}"
+    for a in ("1677", "1678", "1700", "1999", "2024", "2199", "2262", "2263", "9", "13", "31", "0", "00")
+    for b in ("2", "02", "12", "13", "30")
+    for c in ("1", "31", "29", "2024", "1900", "1677", "69", "68")
+    for x, y in (("-", "-"), ("/", "/"), (".", "."), ("-", "/"))
+    for clock in ("", " 10:30", " 1:02:03.5", " 24:00:00")
+] + ["20240229", "20230229", "16770101", "22000101", "19991301", " 2024-01-05 ", "2024-1-5  10:30", "2024/01/05 10:61", "١٢/٣/2024"]
+
+
+def test_plain_shapes_go_the_short_way_with_the_same_results(spark):
+    df = spark.createDataFrame([(t,) for t in _PLAIN], "t string")
+    for bare in (True, False):
+        both = df.select("t", parse_datetime("t", bare_digits=bare).alias("a"), parse_datetime("t", bare_digits=bare, plain_shapes=False).alias("b"))
+        assert [tuple(r) for r in both.where("NOT a <=> b").collect()] == []
+        assert both.where("a IS NOT NULL").count() > 500
+
+
+@pytest.mark.parametrize(("estimate", "lookup_bytes"), [(0, 0), (1e9, 0), (1e9, 1_000_000)])
+def test_standardize(spark, values, monkeypatch, estimate, lookup_bytes):
     """All routes agree: cell by cell, counted by value, and looked up by value."""
-    monkeypatch.setattr(formats, "FEW_SHARE", few_share)
     monkeypatch.setattr(formats, "LOOKUP_BYTES", lookup_bytes)
+    # Without room for lookups, values are still grouped if the estimate is far too low.
+    monkeypatch.setattr(formats.TextSurvey, "value_bytes", property(lambda s: 0.0 if estimate else 1.0))
     rows = [
         (i, f"${i},000.50", "2024-01-%02d" % (i % 9 + 1) if i else "junk", str(i), f"id {i}", None)
         for i in range(20)

@@ -111,11 +111,19 @@ _SPACED = r"""
          THEN regexp_replace(t, r'{_TIME_BEFORE_YEAR}', '$1 $2 $4 $3')
          ELSE t END""".replace("{_TIME_BEFORE_YEAR}", _TIME_BEFORE_YEAR)
 
-# Date text rewritten by the rule of its shape.
-_YEAR_MONTH_DAY = f"""
+# Date text rewritten by the rule of its shape. What it begins with leaves few rules to try:
+# a year, a quarter, a day, else a month or a weekday, behind which anything but a year may stand.
+_YEAR_FIRST = tuple(r for r in _WORD_RULES if r[0].startswith(r"^(\d{4})"))
+_QUARTER_FIRST = tuple(r for r in _WORD_RULES if r[0].startswith("^([1-4])q"))
+_DAY_FIRST = tuple(r for r in _WORD_RULES if r[0].startswith(f"^{_WEEKDAY}{_NTH}"))
+_NAME_FIRST = tuple(r for r in _WORD_RULES if r not in _YEAR_FIRST + _QUARTER_FIRST)
+_YEAR_MONTH_DAY = rf"""
     CASE WHEN day RLIKE r'^[-/. 0-9]+$'
          THEN {_rewritten("translate(day, '/. ', '---')", _DIGIT_RULES)}
-         ELSE {_rewritten("day", _WORD_RULES)} END"""
+         WHEN day RLIKE r'^\d{{4}}' THEN {_rewritten("day", _YEAR_FIRST)}
+         WHEN day RLIKE r'^[1-4]q' THEN {_rewritten("day", _QUARTER_FIRST)}
+         WHEN day RLIKE r'^\d' THEN {_rewritten("day", _DAY_FIRST)}
+         ELSE {_rewritten("day", _NAME_FIRST)} END"""
 
 # Two-digit years follow the POSIX rule: 69-99 are 1969-1999, 00-68 are 2000-2068.
 _FULL_YEAR = """
@@ -177,12 +185,44 @@ _FROM_TEXT = _let(
 )
 
 
-def parse_datetime(column: str, *, bare_digits: bool = True) -> Column:
+# Shapes of digits and separators only, with years far from the limits, each with the rule that reads
+# it; ``c`` is the trimmed cell. They are most of what tables hold, and as their rules bind nothing,
+# they stay in generated code.
+_NEAR_YEAR = r"(?:1[7-9]|2[01])\d\d"
+_PLAIN_YEAR_FIRST = rf"^{_NEAR_YEAR}[-/.]\d{{1,2}}[-/.]\d{{1,2}}$"
+_PLAIN_YEAR_LAST = rf"^\d{{1,2}}[-/.]\d{{1,2}}[-/.]{_NEAR_YEAR}$"
+_PLAIN_STAMP = rf"^{_NEAR_YEAR}[-/.]\d{{1,2}}[-/.]\d{{1,2}} \d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?$"
+_PLAIN_DIGITS = rf"^{_NEAR_YEAR}\d{{4}}$"
+
+
+def _plain_rules(c: str, bare_digits: bool) -> list[tuple[str, str]]:
+    dashed = f"translate({c}, '/.', '--')"
+    year, first, second = (f"split_part({dashed}, '-', {k})" for k in (3, 1, 2))
+    rules = [
+        (f"{c} RLIKE r'{_PLAIN_YEAR_FIRST}'", f"try_cast(try_cast({dashed} AS date) AS timestamp_ntz)"),
+        (
+            f"{c} RLIKE r'{_PLAIN_YEAR_LAST}'",
+            f"""try_cast(coalesce(try_cast(concat({year}, '-', {first}, '-', {second}) AS date),
+                          try_cast(concat({year}, '-', {second}, '-', {first}) AS date)) AS timestamp_ntz)""",
+        ),
+        (
+            f"{c} RLIKE r'{_PLAIN_STAMP}'",
+            f"try_cast(concat(translate(split_part({c}, ' ', 1), '/.', '--'), ' ', split_part({c}, ' ', 2)) AS timestamp_ntz)",
+        ),
+    ]
+    if bare_digits:
+        ymd = f"concat(substr({c}, 1, 4), '-', substr({c}, 5, 2), '-', substr({c}, 7, 2))"
+        rules.append((f"{c} RLIKE r'{_PLAIN_DIGITS}'", f"try_cast(try_cast({ymd} AS date) AS timestamp_ntz)"))
+    return rules
+
+
+def parse_datetime(column: str, *, bare_digits: bool = True, plain_shapes: bool = True) -> Column:
     """Timestamp (no zone) read from a text column in any of the accepted shapes, else NULL.
 
     Numeric dates are read month first, day first where the month would exceed 12. An
     offset is applied, so results are UTC. ``bare_digits=False`` refuses digits only
-    (``2024``, ``20240105``, ``20240105103000``).
+    (``2024``, ``20240105``, ``20240105103000``). ``plain_shapes=False`` sends shapes of digits and
+    separators the way of all others, with the same results.
     """
     mixed = "" if bare_digits else r"AND NOT c RLIKE r'^\d+(?:[tT]\d+)?$'"
     # One cheap look settles most cells: an accepted cell starts like a date.
@@ -199,7 +239,11 @@ def parse_datetime(column: str, *, bare_digits: bool = True) -> Column:
     in_range = f"""
         CASE WHEN stamp BETWEEN timestamp_ntz'{EARLIEST}' AND timestamp_ntz'{LATEST}'
              THEN stamp END"""
-    return F.expr(_let("stamp", parsed, in_range))
+    long = _let("stamp", parsed, in_range)
+    if not plain_shapes:
+        return F.expr(long)
+    rules = _plain_rules(f"trim({quoted_name(column)})", bare_digits)
+    return F.expr(f"CASE {' '.join(f'WHEN {shape} THEN {rule}' for shape, rule in rules)} ELSE {long} END")
 
 
 # --------------------------------------------------------------------- numbers

@@ -21,11 +21,12 @@ DATETIME_SHARE = 0.9
 NUMBER_SHARE = 0.8
 
 
-# Columns with at most this share of different values are parsed value by value, not cell by
-# cell, and looked up as long as the readable values of all such columns together fit into
-# broadcasts of this size.
-FEW_SHARE = 0.1
+# Columns are parsed value by value, not cell by cell, and then looked up, if their readable values
+# all together fit into broadcasts of this size. Whether they may is told by an estimate of the number of
+# values; whether they do, by their measured size. The result is the same either way.
 LOOKUP_BYTES = 16 * 1024 * 1024
+# Bytes of a value's lookup besides its text.
+_VALUE_BYTES = 48
 
 # Whole numbers beyond this are not exact as doubles.
 _EXACT = 1 << 53
@@ -40,6 +41,12 @@ class TextSurvey:
     may_parse: bool = False
     non_ascii: int = 0
     distinct: int = 0
+    mean_bytes: float = 0.0
+
+    @property
+    def value_bytes(self) -> float:
+        """Estimated size of a lookup of all different values."""
+        return self.distinct * (self.mean_bytes + _VALUE_BYTES)
 
 
 @dataclass(frozen=True)
@@ -84,6 +91,7 @@ def survey_text(
             F.coalesce(F.max(parsing.may_parse(v)), F.lit(False)),
             F.count_if(has_non_ascii(v)),
             F.approx_count_distinct(v),
+            F.coalesce(F.avg(F.octet_length(v)), F.lit(0.0)),
         )
     )
     survey = {c: TextSurvey() for c in columns}
@@ -111,13 +119,17 @@ def parse_text(
     """Readable cells per text column, for all columns and both parsers together.
 
     Columns are stacked into (column number, cell) rows: the parsers appear once in the
-    plan however many columns there are. In columns with few different values each value is
-    parsed once and kept, so that converting the column is a lookup.
+    plan however many columns there are. In columns whose different values fit into a lookup each
+    value is parsed once and kept, so that no cell is parsed when the column is converted.
     """
     columns = list(columns)
     if not columns:
         return ParsedText({}, {})
-    few = [c for c in columns if survey[c].distinct <= FEW_SHARE * survey[c].rows]
+    few, left = [], 1.5 * LOOKUP_BYTES  # an estimate may be off, and some values are not readable
+    for c in sorted(columns, key=lambda c: survey[c].value_bytes):
+        if survey[c].value_bytes <= left:
+            left -= survey[c].value_bytes
+            few.append(c)
     many = [c for c in columns if c not in few]
 
     def parsed(cells: DataFrame) -> DataFrame:
@@ -163,7 +175,7 @@ def parse_text(
         total(F.col("whole")),
         total(F.col("wide").isNotNull()),
         total(F.col("whole") & (F.col("wide").isNull() | (F.abs("wide") > _EXACT))),
-        F.sum(F.octet_length("text") + 48).alias("size"),
+        F.sum(F.octet_length("text") + _VALUE_BYTES).alias("size"),
     )
     stats = {c: TextStats() for c in columns}
     lookups, room = {}, LOOKUP_BYTES
