@@ -64,12 +64,12 @@ def later_copies(rows: DataFrame) -> DataFrame:
     """The rows whose text a row with a smaller id has; a null id is larger than all others.
 
     Smallest ids are combined before the shuffle. Only texts that occur twice are joined back, and
-    a text of very many rows is the skewed side of a plain inner join, which Spark splits.
+    a text of very many rows is the larger side of a plain inner join, which Spark may split.
     """
     least = rows.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     joined = rows.select("row", "id", "digest").join(least, F.col("digest") == F.col("d"))
     later = joined.where("least < id OR (id IS NULL AND least IS NOT NULL)")
-    return stage(later.select("row"), "copies")  # a query of its own: inside a union Spark splits no skewed join
+    return stage(later.select("row"), "copies")
 
 
 def failing(rows: DataFrame, filters: Mapping[str, str]) -> DataFrame:
