@@ -10,7 +10,7 @@ from washline.llm.pseudonyms import KINDS, Permutation, luhn, pseudonymise, repl
 TURNS = "conv_id long, turn long, role string, text string"
 
 
-def brute_rotation(rows, max_turns):
+def brute_rotation(rows, max_turns, overlap):
     """Rendered dialogues by plain loops over sorted turns."""
     out = {}
     plain = lambda t: (t or "").replace("<|", "< |").replace("|>", "| >")
@@ -18,35 +18,63 @@ def brute_rotation(rows, max_turns):
         turns = sorted(
             (r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] or "unknown", r[3] or "")
         )
-        for who in {r[2] or "unknown" for r in turns} - {"system"}:
-            for at in range(0, len(turns), max_turns):
+        for at in range(0, len(turns), max_turns):
+            own = turns[at : at + max_turns]
+            shown = [i for i in range(at) if i >= at - overlap or (i < max_turns and turns[i][2] == "system")]
+            for who in {r[2] or "unknown" for r in own} - {"system"}:
                 text, spans = "", []
-                for r in turns[at : at + max_turns]:
-                    s = r[2] or "unknown"
+                for i in [*shown, *range(at, at + len(own))]:
+                    s = turns[i][2] or "unknown"
                     role = "assistant" if s == who else s if s == "system" else "user name=" + re.sub(r"[^\w.-]+", "_", s)
                     text += f"<|im_start|>{role}\n"
-                    body = plain(r[3]) + "<|im_end|>"
-                    if s == who:
+                    body = plain(turns[i][3]) + "<|im_end|>"
+                    if s == who and i >= at:
                         spans.append((len(text), len(text) + len(body)))
                     text += body + "\n"
-                out[conv, who, at // max_turns] = (len(turns[at : at + max_turns]), len(spans), text, spans)
+                out[conv, who, at // max_turns] = (len(own), len(shown), len(spans), text, spans)
     return out
 
 
-@pytest.mark.parametrize("max_turns", [2, 256])
-def test_rotation(spark, max_turns):
-    rows = [
-        (1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b.", "yo"), (1, 3, "ann", None),
-        (1, 3, "ann", "tie"), (1, 3, "ann", "tie"), (1, None, "cy\n<|im_start|>", "late"), (2, 0, None, "who"),
-        (3, 0, "system", "alone"), (None, 5, "ann", "no id"), (None, 4, "bob", "none"), (4, 0, "ann", "😀 é"),
-    ]
-    df = spark.createDataFrame(rows, TURNS).withColumn("rank", F.lit(1)).withColumn("conv", F.lit("x"))
-    found = pv.rotate(df.repartition(3), max_turns=max_turns)
+ROTATED = [
+    (1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b.", "yo"), (1, 3, "ann", None),
+    (1, 3, "ann", "tie"), (1, 3, "ann", "tie"), (1, None, "cy\n<|im_start|>", "late"), (2, 0, None, "who"),
+    (3, 0, "system", "alone"), (None, 5, "ann", "no id"), (None, 4, "bob", "none"), (4, 0, "ann", "😀 é"),
+    (5, 0, "ann", "a"), (5, 1, "system", "second"), (5, 2, "bob", "w" * 300_000), (5, 3, "system", "third"),
+    (5, 4, "ann", ""), (5, 5, "bob", "b"), (5, 6, "system", "last"),
+]
+
+
+@pytest.mark.parametrize(("max_turns", "overlap"), [(1, 0), (2, 0), (2, 1), (2, 2), (3, 2), (256, 32)])
+def test_rotation(spark, max_turns, overlap):
+    df = spark.createDataFrame(ROTATED, TURNS).withColumn("rank", F.lit(1)).withColumn("conv", F.lit("x"))
+    found = pv.rotate(df.repartition(3), max_turns=max_turns, overlap=overlap)
     got = {
-        (r.conv_id, r.perspective, r.part): (r.n_turns, r.n_own, r.text, [(s.start, s.end) for s in r.spans])
+        (r.conv_id, r.perspective, r.part): (r.n_turns, r.n_context, r.n_own, r.text, [(s.start, s.end) for s in r.spans])
         for r in found.collect()
     }
-    assert got == brute_rotation(rows, max_turns)
+    assert got == brute_rotation(ROTATED, max_turns, overlap)
+
+
+def test_rotation_on_awkward_rows(spark, awkward):
+    found = pv.rotate(awkward, "source", "doc_id", "lang", max_turns=4, overlap=1).collect()
+    rows = [(r.source, r.doc_id, r.lang, r.text) for r in awkward.collect()]
+    got = {(r.source, r.perspective, r.part): (r.n_turns, r.n_context, r.n_own, r.text, [tuple(s) for s in r.spans]) for r in found}
+    assert got == brute_rotation(rows, 4, 1)
+
+
+def test_every_part_opens_with_the_system_messages_and_the_turns_before(spark):
+    rows = [(7, 0, "system", "rules"), *((7, i, "ab"[i % 2], f"t{i}") for i in range(1, 301))]
+    parts = {(r.perspective, r.part): r for r in pv.rotate(spark.createDataFrame(rows, TURNS)).collect()}
+    second = parts["a", 1]
+    assert (second.n_turns, second.n_context, second.n_own) == (45, 33, 23)
+    assert second.text.startswith("<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nt224<|im_end|>")
+    assert second.text[second.spans[0].start :].startswith("t256<|im_end|>")
+
+
+@pytest.mark.parametrize(("max_turns", "overlap"), [(0, 0), (4, 5), (4, -1)])
+def test_lengths_of_parts_are_checked(spark, max_turns, overlap):
+    with pytest.raises(ValueError, match="max_turns"):
+        pv.rotate(spark.createDataFrame([], TURNS), max_turns=max_turns, overlap=overlap)
 
 
 def test_the_mask_is_what_the_assistant_says(spark):

@@ -130,18 +130,27 @@ ORACLES["op1_perspective_rotation"] = """
 WITH m AS (
   SELECT conv_id, coalesce(role, 'unknown') AS s,
          replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') || '<|im_end|>' AS body,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS rank
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS rank,
+         (count(*) OVER (PARTITION BY conv_id) - 1) // 256 AS last
   FROM conversations),
-p AS (SELECT DISTINCT conv_id, s AS perspective FROM m WHERE s <> 'system'),
+a AS (
+  SELECT conv_id, s, body, rank, rank // 256 AS part, FALSE AS context FROM m
+  UNION ALL
+  SELECT conv_id, s, body, rank, unnest(range(1, last + 1)), TRUE FROM m WHERE s = 'system' AND rank < 256
+  UNION ALL
+  SELECT conv_id, s, body, rank, rank // 256 + 1, TRUE FROM m
+  WHERE rank % 256 >= 224 AND rank // 256 < last AND NOT (s = 'system' AND rank < 256)),
+p AS (SELECT DISTINCT conv_id, part, s AS perspective FROM a WHERE s <> 'system' AND NOT context),
 v AS (
-  SELECT m.conv_id, perspective, rank // 256 AS part, rank, s = perspective AS own, body,
+  SELECT a.conv_id, perspective, a.part, rank, context, s = perspective AND NOT context AS own, body,
          '<|im_start|>' || CASE WHEN s = perspective THEN 'assistant' WHEN s = 'system' THEN 'system'
            ELSE 'user name=' || regexp_replace(s, '[^\\p{L}\\p{N}_.-]+', '_', 'g') END || chr(10) AS head
-  FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM a JOIN p ON a.conv_id IS NOT DISTINCT FROM p.conv_id AND a.part = p.part),
 o AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER (
     PARTITION BY conv_id, perspective, part ORDER BY rank) - length(body) - 1 AS start FROM v)
-SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, CAST(count(*) FILTER (NOT context) AS BIGINT) AS n_turns,
+       CAST(count(*) FILTER (context) AS BIGINT) AS n_context,
        CAST(count(*) FILTER (own) AS BIGINT) AS n_own, string_agg(head || body || chr(10), '' ORDER BY rank) AS text,
        coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ',' ORDER BY rank) FILTER (own), '') AS masked
 FROM o GROUP BY conv_id, perspective, part
