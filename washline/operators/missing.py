@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from washline.functions.columns import as_micros, datetime_literal, has_map, missing_as_null
 from washline.functions.names import quoted
 from washline.operators.columns import replace_columns
+from washline.operators.frequent import sketched_modes
 from washline.operators.statistics import Moments, modes, moments, quantiles
 from washline.staging import stage
 
@@ -105,9 +106,12 @@ def fit_booleans(df: DataFrame, columns: Sequence[str]) -> dict[str, Fill]:
     return {c: Fill("boolean", bool(value)) for c, value in zip(columns, row)}
 
 
-def fit_texts(df: DataFrame, columns: Sequence[str]) -> dict[str, Fill]:
-    """The most frequent text, the smallest of equals; ``Unknown`` for an empty column."""
-    found = modes(df, columns)
+def fit_texts(df: DataFrame, columns: Sequence[str], sketch: bool = False) -> dict[str, Fill]:
+    """The most frequent text, the smallest of equals; ``Unknown`` for an empty column.
+
+    ``sketch`` finds the same by two scans that shuffle little, for columns with many different texts.
+    """
+    found = sketched_modes(df, {c: quoted(c) for c in columns}) if sketch and columns else modes(df, columns)
     return {c: Fill("text", found.get(c, UNKNOWN_TEXT)) for c in columns}
 
 

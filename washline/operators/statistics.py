@@ -402,11 +402,20 @@ def modes(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> dict[
     """
     if not isinstance(columns, Mapping):
         columns = {name: quoted(name) for name in columns}
+    return counted_modes(df, columns)
+
+
+def counted_modes(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, object]:
+    """``modes`` by the counts of all different values."""
     if not columns:
         return {}
     names = list(columns)
     counted = stacked(df, columns).groupBy("col", "v").count()
-    best = counted.groupBy("col").agg(
+    return {names[row.col]: row.best.v for row in best_counted(counted).collect()}
+
+
+def best_counted(counted: DataFrame) -> DataFrame:
+    """Per column number ``col`` the most frequent ``v`` (the smallest of equals) of (col, v, count): best.order, best.v."""
+    return counted.groupBy("col").agg(
         F.min(F.struct((-F.col("count")).alias("order"), F.col("v"))).alias("best")
     )
-    return {names[row.col]: row.best.v for row in best.collect()}

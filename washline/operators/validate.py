@@ -15,6 +15,7 @@ from washline.errors import DependencyError, ValidationError
 from washline.functions.columns import missing_as_null
 from washline.functions.names import quoted
 from washline.functions.parsing import parse_datetime
+from washline.operators.listed import Listed, is_long, label, listed_values
 
 # Declared type names and the Spark types they stand for.
 DTYPES = {
@@ -34,10 +35,10 @@ def _only(known: tuple[str, ...], given: Mapping, what: str) -> None:
 
 @dataclass(frozen=True)
 class CheckSpec:
-    """Exactly one of a closed range, a list of allowed values, or a pattern."""
+    """Exactly one of a closed range, a list (or one-column table) of allowed values, or a pattern."""
 
     in_range: Mapping[str, float] | None = None
-    isin: list | None = None
+    isin: list | DataFrame | None = None
     regex: str | None = None
 
     def __post_init__(self) -> None:
@@ -119,8 +120,10 @@ def load_spec(path: str) -> SchemaSpec:
 class _Rule:
     column: str
     check: str
-    violated: Column | None  # None: the table as a whole breaks the rule
+    violated: Column | None  # None: the table as a whole breaks the rule, or ``listed`` decides
     case: Column
+    listed: Listed | None = None
+    value: Column | None = None
 
 
 def _as_spec(spec: SchemaSpec | Mapping) -> SchemaSpec:
@@ -137,7 +140,7 @@ def _check_rule(check: CheckSpec, value: Column, dtype: str) -> tuple[str, Colum
             F.array(*[F.lit(v if v is None else str(v)).try_cast(dtype) for v in check.isin]), lambda x: x.isNotNull()
         )
         found = F.coalesce(F.array_contains(known, value), F.lit(False)) if check.isin else F.lit(False)
-        return f"isin({list(check.isin)})", value.isNotNull() & ~found
+        return label(check.isin), value.isNotNull() & ~found
     # A pattern must match from the start of the text, not to its end.
     return f"str_matches({check.regex!r})", ~value.rlike(rf"\A(?:{check.regex})")
 
@@ -163,13 +166,17 @@ def _rules(df: DataFrame, spec: SchemaSpec) -> list[_Rule]:
         if not column.nullable:
             rules.append(_Rule(name, "not_nullable", raw.isNull(), case))
         for check in column.checks:
-            label, broken = _check_rule(check, value, DTYPES[column.dtype])
-            rules.append(_Rule(name, label, broken, case))
+            if check.isin is not None and is_long(check.isin):
+                listed = listed_values(df.sparkSession, check.isin, DTYPES[column.dtype])
+                rules.append(_Rule(name, label(check.isin), None, case, listed, value))
+                continue
+            text, broken = _check_rule(check, value, DTYPES[column.dtype])
+            rules.append(_Rule(name, text, broken, case))
     return rules
 
 
 def validation_report(df: DataFrame, spec: SchemaSpec | Mapping) -> DataFrame:
-    """Every rule with its number of violations, all counted in one pass.
+    """Every rule with its number of violations, counted in one pass and one more for each long list.
 
     The table is only read. A missing value breaks no rule but ``not_nullable``.
     """
@@ -181,10 +188,13 @@ def validation_report(df: DataFrame, spec: SchemaSpec | Mapping) -> DataFrame:
         if counted
         else ()
     )
-    result = [
-        (i, r.column, r.check, 1 if r.violated is None else next(counts))
-        for i, r in enumerate(rules)
-    ]
+
+    def failed(r: _Rule) -> int:
+        if r.listed is not None:
+            return r.listed.count_unlisted(rows, r.value)
+        return 1 if r.violated is None else next(counts)
+
+    result = [(i, r.column, r.check, failed(r)) for i, r in enumerate(rules)]
     return df.sparkSession.createDataFrame(
         result, "rule int, column string, check string, n_failed bigint"
     )
@@ -205,7 +215,9 @@ def failure_cases(
     rules = _rules(rows, _as_spec(spec))
     schema = "rule int, column string, check string, failure_case string"
     whole = [
-        (i, r.column, r.check, r.column) for i, r in enumerate(rules) if r.violated is None
+        (i, r.column, r.check, r.column)
+        for i, r in enumerate(rules)
+        if r.violated is None and r.listed is None
     ]
     key = quoted(order_key) if order_key else F.lit(None).cast("string")
     hits = [
@@ -231,6 +243,11 @@ def failure_cases(
         cases = cases.unionByName(
             found.where("hit is not null").select("hit.*", "__key")
         )
+    for i, r in enumerate(rules):
+        if r.listed is not None:
+            present = rows.select(r.value.alias("listed"), r.case.alias("failure_case"), key.alias("__key"))
+            names = {"rule": F.lit(i), "column": F.lit(r.column), "check": F.lit(r.check)}
+            cases = cases.unionByName(r.listed.unlisted(present).withColumns(names).drop("listed"))
     if limit is not None:
         cases = cases.orderBy("rule", "__key", "failure_case").limit(limit)
     return cases.drop("__key")
