@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from washline.errors import ValidationError
 from washline.functions.names import quoted
+from washline.staging import stage
 
 #: Longest list that is written into the plan as literals.
 MAX_LITERALS = 200
@@ -64,6 +65,7 @@ def listed_values(
     else:
         texts = pa.array([None if v is None else str(v) for v in values], pa.string())
         given = spark.createDataFrame(pa.table({"listed": texts}))
-    typed = given.select(F.col("listed").try_cast(dtype).alias("listed")).where("listed is not null").distinct()
+    # Staged: the list is measured and joined, and a long one is no part of either plan.
+    typed = stage(given.select(F.col("listed").try_cast(dtype).alias("listed")).where("listed is not null").distinct())
     size = typed.agg(F.sum(F.octet_length(F.col("listed").cast("string")) + 16)).first()[0] or 0
     return Listed(typed, size <= limit)

@@ -484,6 +484,23 @@ def history_latency(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(history.latency(_runs(spark, sf), "ts", "value"))
 
 
+@query(
+    "SELECT date_trunc('day', ts) AS window_start, count(value) AS runs, round(avg(value), 4) AS avg_duration,"
+    " TRUE AS within FROM events GROUP BY 1"
+)
+def history_latency_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of hours merged to days; ``within``: the share of runs below the percentile is 0.95, give or take 0.01."""
+    runs = _runs(spark, sf)
+    days = history.sketched_latency(history.merged_sketches(history.latency_sketches(runs, "ts", "value"), "1 day"))
+    found = runs.select(F.window("ts", "1 day")["start"].alias("window_start"), "value").join(days, "window_start")
+    share = lambda test: F.count_if(test) / F.count("value")
+    below, up_to = share(F.col("value") < F.col("p95_duration")), share(F.col("value") <= F.col("p95_duration"))
+    checked = found.groupBy("window_start", "runs", "avg_duration").agg(
+        ((below <= 0.96) & (up_to >= 0.94)).alias("within")
+    )
+    return rounded(checked)
+
+
 @query(
     "SELECT event_type, round(quantile_cont(value, 0.95), 4) AS quantile FROM events GROUP BY 1"
 )
