@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from washline.functions.names import quoted
 from washline.operators import validate
@@ -56,6 +57,39 @@ def validate_long_list(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validation_report(table(spark, sf, "orders"), {"columns": {"o_orderkey": spec}})
 
 
+_KEPT = """
+    SELECT CAST({i} AS INTEGER) AS rule, '{column}' AS "column", '{check}' AS "check",
+           count(*) FILTER (WHERE {test}) AS n_failed, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_new FROM orders"""
+_KEPT_RULES = [
+    ("o_orderstatus", "dtype(str)", "FALSE"),
+    ("o_orderstatus", "not_nullable", "o_orderstatus IS NULL"),
+    ("o_orderstatus", "isin([''O'', 1])", "o_orderstatus NOT IN ('O', '1')"),
+    ("o_custkey", "dtype(int)", "FALSE"),
+    ("o_custkey", "not_nullable", "o_custkey IS NULL"),
+    ("o_custkey", "in_range(0, 500)", "o_custkey NOT BETWEEN 0 AND 500"),
+]
+
+
+@query(
+    " UNION ALL ".join(
+        _KEPT.format(i=i, column=column, check=check, test=test) for i, (column, check, test) in enumerate(_KEPT_RULES)
+    )
+)
+def validate_keeps_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A report that finds violations, with the rows that the validated table lost or got against a fresh read."""
+    rows = table(spark, sf, "orders")
+    spec = {
+        "columns": {
+            "o_orderstatus": {"dtype": "str", "checks": [{"isin": ["O", 1]}]},
+            "o_custkey": {"dtype": "int", "checks": [{"in_range": {"min": 0, "max": 500}}]},
+        }
+    }
+    report = validate.validation_report(rows, spec)
+    fresh = table(spark, sf, "orders")
+    lost, new = fresh.exceptAll(rows).count(), rows.exceptAll(fresh).count()
+    return report.withColumns({"n_lost": F.lit(lost).cast("long"), "n_new": F.lit(new).cast("long")})
+
+
 def _mode_sql(name: str, column: str) -> str:
     return (
         f"(SELECT '{column}' AS \"column\", CAST({column} AS VARCHAR) AS mode FROM {name} WHERE {column} IS NOT NULL"

@@ -380,6 +380,21 @@ def fill_datetime_auto_forward(spark: SparkSession, sf: str) -> DataFrame:
     return missing.fill_missing_values(rows, datetime_strategy="auto", order_key="event_id")
 
 
+@query(
+    "WITH src AS (SELECT event_id, CASE WHEN event_id % 101 = 3 THEN NULL"
+    " ELSE TIMESTAMP '2024-01-01' + to_milliseconds(CAST(event_id * event_id AS BIGINT)) END AS tick FROM events)"
+    " SELECT event_id, coalesce(tick, (SELECT median(tick) FROM src)) AS tick FROM src"
+)
+def fill_datetime_auto_median(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticks that grow apart and never repeat are neither regular nor frequent, so gaps get the median."""
+    rows = table(spark, sf, "events").selectExpr(
+        "event_id",
+        "CASE WHEN event_id % 101 = 3 THEN NULL ELSE"
+        " timestampadd(MILLISECOND, event_id * event_id, timestamp_ntz'2024-01-01') END AS tick",
+    )
+    return missing.fill_missing_values(rows, datetime_strategy="auto", order_key="event_id")
+
+
 @query(
     "WITH src AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN NULL"
     " ELSE l_returnflag = 'R' END AS returned FROM lineitem) SELECT l_orderkey, l_linenumber,"
