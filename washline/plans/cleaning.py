@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
@@ -114,14 +114,42 @@ def dataset_kind(name: str | None) -> str | None:
     return kinds.get(name.lower().rpartition(".")[2], "unknown")
 
 
-def _output_names(df: DataFrame, config: CleaningConfig) -> list[str]:
+def _output_names(columns: Sequence[str], config: CleaningConfig) -> list[str]:
     if config.normalize_cols:
-        return unique_names(normalize_name(c) for c in df.columns)
+        return unique_names(normalize_name(c) for c in columns)
     # Spark resolves names without case; clashing ones would make the output unusable.
-    return unique_names(df.columns, fold=str.lower)
+    return unique_names(columns, fold=str.lower)
 
 
-def _survey(rows: DataFrame, model: CleaningModel) -> dict[str, formats.TextSurvey]:
+def blank_model(columns: Sequence[str], config: CleaningConfig) -> CleaningModel:
+    """A model that has learned nothing yet: names and the rules that the configuration fixes."""
+    model = CleaningModel(
+        source_names=tuple(columns),
+        output_names=tuple(_output_names(columns, config)),
+        clean_text=config.clean_text,
+        tokens_after_strip=config.tokens_after_strip,
+        bare_digit_dates=config.bare_digit_dates,
+        ignore_currency_code_case=config.ignore_currency_code_case,
+        nfkc=(),
+        mapping={},
+        targets={},
+        ranges={},
+        caps={},
+        fills={},
+    )
+    if not (config.clean_text and config.categorical_mapping):
+        return model
+    internal = internal_names(model)
+    mapping = {internal[c]: dict(v) for c, v in config.categorical_mapping.items() if c in internal}
+    return replace(model, mapping=mapping)
+
+
+def internal_names(model: CleaningModel) -> dict[str, str]:
+    """Output name to internal name (``c0``, ``c1``, ...)."""
+    return {label: f"c{i}" for i, label in enumerate(model.output_names)}
+
+
+def survey_of(rows: DataFrame, model: CleaningModel) -> dict[str, formats.TextSurvey]:
     def present(c: Column) -> Column:
         if not model.clean_text:
             return c
@@ -200,7 +228,7 @@ class _Values:
     fills_here: list[str]
 
 
-def _whole_bounds(bounds: outliers.Bounds) -> outliers.Bounds:
+def whole_bounds(bounds: outliers.Bounds) -> outliers.Bounds:
     """The widest whole-number bounds inside these, so that a whole-number column stays one."""
     low, high = math.ceil(bounds.low), math.floor(bounds.high)
     return replace(bounds, low=float(low), high=float(high)) if low <= high else bounds
@@ -258,7 +286,7 @@ def _fit_values(
                 caps_here.append(c)
             elif bounds is not None and complete:
                 whole = isinstance(dtypes[c], T.IntegralType)
-                caps[c] = _whole_bounds(bounds) if whole else bounds
+                caps[c] = whole_bounds(bounds) if whole else bounds
 
     after_cap = dict(profile.moments)
     changed = [c for c in caps_here if c in filled]
@@ -317,26 +345,8 @@ def _run_cleaning(
     started = time.perf_counter()
     log = StepLog()
     width = len(df.columns)
-    model = CleaningModel(
-        source_names=tuple(df.columns),
-        output_names=tuple(_output_names(df, config)),
-        clean_text=config.clean_text,
-        tokens_after_strip=config.tokens_after_strip,
-        bare_digit_dates=config.bare_digit_dates,
-        ignore_currency_code_case=config.ignore_currency_code_case,
-        nfkc=(),
-        mapping={},
-        targets={},
-        ranges={},
-        caps={},
-        fills={},
-    )
-    internal = {label: f"c{i}" for i, label in enumerate(model.output_names)}
-    if config.clean_text and config.categorical_mapping:
-        mapping = {
-            internal[c]: dict(v) for c, v in config.categorical_mapping.items() if c in internal
-        }
-        model = replace(model, mapping=mapping)
+    model = blank_model(df.columns, config)
+    internal = internal_names(model)
 
     with log.timed("remove_duplicates"):
         outlived = len(scope.paths())
@@ -345,7 +355,7 @@ def _run_cleaning(
 
     with log.timed("clean_text"):
         texts = text_columns(rows)
-        survey = _survey(rows, model)
+        survey = survey_of(rows, model)
         if model.clean_text:
             model = replace(model, nfkc=tuple(c for c in texts if survey[c].non_ascii))
         # Other rows may have such characters anywhere.
