@@ -81,3 +81,14 @@ def test_mixed_values_come_back():
     for _ in range(1500):
         text = "".join(rng.choice(kinds) + rng.choice([" ", " ", "-", ", ", "/", " x "]) for _ in range(rng.randint(1, 9)))
         assert moved(moved(text)[0], back=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["١٢٣-٤٥-٦٧٨٩", "at 1 ١٢٣-٤٥-٦٧٨٩", "२०२४-०१-०५", "٤١١١ ١١١١ ١١١١ ١١١١ a@", "+٤٩ ٣٠ ١٢٣٤٥٦٧"])
+def test_digits_of_other_scripts_stay_in_every_text(text):
+    assert moved(text)[0] == text
+
+
+def test_values_beside_digits_of_other_scripts_come_back():
+    for text in ("١٢ 123-45-6789", "123-45-6789 ١٢", "123-45-6789١", "١ 2024-01-05", "4111 1111 1111 1111 ٣"):
+        found = moved(text)[0]
+        assert found != text and moved(found, back=True)[0] == text

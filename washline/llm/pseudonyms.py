@@ -8,7 +8,8 @@ key can restore them. Punctuation, country codes and mail domains stay.
 
 In a run of digit groups every card number on group boundaries is looked for: usual groupings
 (4-4-4-4, 4-6-5, 4-6-4, unbroken) first, then the longest, going on behind it. A value that touches other
-digits may get another pseudonym than it has alone: one by which the same values are found again.
+digits may get another pseudonym than it has alone: one by which the same values are found again. Digits are 0 to 9;
+numbers in the digits of other scripts are left as they are, in every text.
 """
 
 from __future__ import annotations
@@ -30,21 +31,21 @@ _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 
 _MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![A-Za-z0-9-])")
 _SHAPE = re.compile(
-    r"(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?!\.?\d)"
-    r"|(?P<iso>\d{4}-\d{2}-\d{2})(?!\d)"
-    r"|(?P<slash>\d{1,2}/\d{1,2}/\d{4})(?![\d/])"
-    r"|(?P<dotted>\d{1,2}\.\d{1,2}\.\d{4})(?!\.?\d)"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?!\d)"
-    r"|(?P<phone>(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)"
+    r"(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\.?[0-9])"
+    r"|(?P<iso>[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])"
+    r"|(?P<slash>[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/])"
+    r"|(?P<dotted>[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!\.?[0-9])"
+    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])"
+    r"|(?P<phone>(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])"
 )
 #: Where a value can begin: no value is shorter.
-_START = re.compile(r"(?:[+(]|(?<!\d))\d(?=[\d() ./-]{6})")
+_START = re.compile(r"(?:[+(]|(?<![0-9]))[0-9](?=[0-9() ./-]{6})")
 _FREE = re.compile(r"(?<![\w.@/-])")
-_CARD_FREE = re.compile(r"(?<![\w@])(?<!\d\.)(?<!\D/)")
-_GROUPS = re.compile(r"\d+(?:[ -]\d+)*")
+_CARD_FREE = re.compile(r"(?<![\w@])(?<![0-9]\.)(?<![^0-9]/)")
+_GROUPS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 #: Numbers with a country code (behind 00 only with a separator, as ids begin so too), and with the 0 before an area code.
-_ABROAD = re.compile(r"(?:\+|00(?=[1-9]\d{0,2}[ ./-]))\d+(?:(?:[ ./-]|[ ]?\(|\)[ ]?)\d+)*")
-_AREA = re.compile(r"(?!\d\d[-.]\d\d[-.]\d{4}\b)0[1-9]\d{0,3}(?:[ ./-]\d{2,8})+(?!\d)")
+_ABROAD = re.compile(r"(?:\+|00(?=[1-9][0-9]{0,2}[ ./-]))[0-9]+(?:(?:[ ./-]|[ ]?\(|\)[ ]?)[0-9]+)*")
+_AREA = re.compile(r"(?![0-9][0-9][-.][0-9][0-9][-.][0-9]{4}\b)0[1-9][0-9]{0,3}(?:[ ./-][0-9]{2,8})+(?![0-9])")
 _ONE_DIGIT, _TWO_DIGITS = ("1", "7"), re.compile(r"2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
 _CARD_GROUPS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
 #: Characters behind its begin that decide whether a value begins there.
@@ -97,14 +98,14 @@ def _with_check(digits: str) -> str:
 def _refill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced in order."""
     left = iter(digits)
-    return "".join(next(left) if c.isdigit() else c for c in shape)
+    return "".join(next(left) if c in _DIGITS else c for c in shape)
 
 
 Fits = Callable[[str], bool]
 
 
 def _card(p: Permutation, text: str, back: bool, fits: Fits) -> str:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     body = digits[1:-1]
     show = lambda n: _refill(text, _with_check(digits[0] + str(n).zfill(len(body))))
     size, tweak = 10 ** len(body), b"card%d" % len(digits) + digits[0].encode()
@@ -112,7 +113,7 @@ def _card(p: Permutation, text: str, back: bool, fits: Fits) -> str:
 
 
 def _phone(p: Permutation, text: str, back: bool, fits: Fits) -> str:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     head, body = digits[:-10], digits[-10:]
     valid = lambda s: s[0] in "23456789" and s[3] in "23456789"
     kind = valid(body)
@@ -127,7 +128,7 @@ def _country(digits: str) -> int:
 
 def _phone_abroad(p: Permutation, text: str, back: bool, fits: Fits) -> str:
     """Country code, a 0 before the area code and its first digit's being 0 stay."""
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     zeros = 0 if text[0] == "+" else len(digits) - len(digits.lstrip("0"))
     at = zeros if zeros == 1 else zeros + _country(digits[zeros:])
     at += zeros != 1 and "(0)" in text and digits[at] == "0"
@@ -244,9 +245,9 @@ def _cards(text: str, at: int) -> Iterator[tuple[int, bool]]:
     """Ends of the card numbers that begin here, longest first, and whether their groups are usual."""
     if not _CARD_FREE.match(text, at) or not (run := _GROUPS.match(text, at, at + 40)):
         return
-    ends = [m.end() for m in re.finditer(r"\d+", run[0])]
+    ends = [m.end() for m in re.finditer(r"[0-9]+", run[0])]
     for k in range(len(ends), 0, -1):
-        digits = re.sub(r"\D", "", run[0][: ends[k - 1]])
+        digits = re.sub(r"[^0-9]", "", run[0][: ends[k - 1]])
         if 13 <= len(digits) <= 19 and digits[0] != "0" and luhn(digits):
             yield at + ends[k - 1], k == 1 or [len(x) for x in re.split("[ -]", run[0][: ends[k - 1]])] in _CARD_GROUPS
 
@@ -260,7 +261,7 @@ def _shaped(text: str, at: int, last: int) -> tuple[int, str] | None:
     joined = at == last + 1 and text[last] in "-/"
     if not (joined or _FREE.match(text, at)) or not (m := _SHAPE.match(text, at)):
         return None
-    follows = r"-" if m.lastgroup in ("iso", "ssn") else r"-\d" if m.lastgroup == "phone" else r"(?!)"
+    follows = r"-" if m.lastgroup in ("iso", "ssn") else r"-[0-9]" if m.lastgroup == "phone" else r"(?!)"
     if re.match(follows, text[m.end() : m.end() + 2]) and not _usual_card(text, m.end() + 1):
         return None
     return (m.end(), m.lastgroup) if _BY_GROUP[m.lastgroup][2](m[0]) else None
@@ -284,8 +285,8 @@ def _abroad(text: str, at: int, last: int) -> int | None:
     if m := _ABROAD.match(text, at, at + 48):
         zeros = 0 if text[at] == "+" else 2
         best = None
-        for g in re.finditer(r"\d+", m[0]):
-            digits = re.sub(r"\D", "", m[0][: g.end()])[zeros:]
+        for g in re.finditer(r"[0-9]+", m[0]):
+            digits = re.sub(r"[^0-9]", "", m[0][: g.end()])[zeros:]
             if len(digits) > 15 or digits[0] == "0" or at + g.end() == at + 48:
                 break
             wanted = 11 if digits[0] == "1" else 8
@@ -295,7 +296,7 @@ def _abroad(text: str, at: int, last: int) -> int | None:
                 break
         return best
     m = _AREA.match(text, at, at + 48)
-    if m and 9 <= len(re.sub(r"\D", "", m[0])) <= 12 and not _gives_way(text, at, m.end()):
+    if m and 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 12 and not _gives_way(text, at, m.end()):
         return m.end()
     return None
 
