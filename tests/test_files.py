@@ -132,3 +132,29 @@ def test_nothing_is_written_for_bad_input(spark, write, tmp_path):
     with pytest.raises(DataLoadError):
         clean_file(spark, write(SMALL), str(tmp_path / "out.xlsx"))
     assert not target.exists()
+
+
+def test_bad_records_go_to_quarantine(spark, write, tmp_path):
+    lines = ["a,b", "1,x", "2,y,z", "3", '4,"p,q"', '5,"p, q",', '"6', "7,,,,8", '8,"say ""hi"""', '9 " x', ""]
+    path, side = write("\n".join(lines)), str(tmp_path / "side")
+    df = read_data(spark, path, quarantine=side)
+    assert dict(df.dtypes) == {"a": "string", "b": "string"}
+    good = [("1", "x"), ("3", None), ("4", "p,q"), ("5", "p, q"), ("8", 'say "hi"'), ('9 " x', None)]
+    assert sorted(df.collect()) == good
+    assert sorted(r.a for r in df.select("a").collect()) == ["1", "3", "4", "5", "8", '9 " x'] and df.count() == 6
+    found = {r.record: (r.reason, r.block_start) for r in spark.read.parquet(side).collect()}
+    assert found == {
+        "2,y,z": ("longer than the header", 0),
+        '"6': ("quote not closed", 0),
+        "7,,,,8": ("longer than the header", 0),
+    }
+    with pytest.raises(DataLoadError):  # never over an earlier quarantine
+        read_data(spark, path, quarantine=side)
+
+
+def test_quarantine_of_a_clean_file_is_empty(spark, write, tmp_path):
+    side = str(tmp_path / "side")
+    assert read_data(spark, write("a\n1\n2\n"), quarantine=side).count() == 2
+    assert spark.read.parquet(side).count() == 0
+    with pytest.raises(ValueError, match="multi_line"):
+        read_data(spark, write("a\n1\n"), quarantine=str(tmp_path / "other"), multi_line=True)

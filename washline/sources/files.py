@@ -27,6 +27,8 @@ _DECIMAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]
 _BOOLEAN = r"^(?:True|TRUE|true|False|FALSE|false)$"
 
 _SURPLUS = "__surplus"
+_RECORD = "__record"
+_QUOTED = '(^|,) *"[^"]*+(?:""[^"]*+)*+"'
 
 
 def format_of(path: str, fmt: str | None = None) -> str:
@@ -115,14 +117,51 @@ def _infer(raw: DataFrame, width: int, path: str) -> list[str]:
     return [_inferred(*row[6 * i + 1 : 6 * i + 7]) for i in range(width)]
 
 
+def _without_bad_records(
+    spark: SparkSession, path: str, width: int, options: dict[str, object], quarantine: str
+) -> DataFrame:
+    """Cells of the good records; the others are written to ``quarantine`` as they stand in the files."""
+    cells = [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
+    # Every record of another length than the header comes with its text. Spark must not skip columns here: it would
+    # count the cells of those that it reads.
+    raw = (
+        spark.read.schema(T.StructType([*cells, T.StructField(_RECORD, T.StringType())]))
+        .options(**options, columnNameOfCorruptRecord=_RECORD, columnPruning=False)
+        .csv(path)
+        .select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"))
+    )
+    record = F.col(_RECORD)
+    # Cells are counted in the text: quoted ones without their content, and empty ones at the end do not count.
+    plain = F.regexp_replace(F.regexp_replace(record, _QUOTED, "$1q"), ",+$", "")
+    open_quote = plain.rlike('(?:^|,) *"')
+    # A record that is its own first cell is short. (Spark also refuses plans that read nothing but the record.)
+    longer = ~record.eqNullSafe(F.col("c0")) & (F.length(F.regexp_replace(plain, "[^,]", "")) >= width)
+    reason = F.when(open_quote, "quote not closed").when(longer, "longer than the header")
+    judged = raw.withColumn("reason", F.when(record.isNotNull(), reason))
+    bad = judged.where("reason is not null").select("file", "block_start", "reason", record.alias("record"))
+    bad.write.parquet(quarantine)
+    return judged.where("reason is null").select(*(c.name for c in cells), F.lit(None).cast("string").alias(_SURPLUS))
+
+
 def read_csv(
-    spark: SparkSession, path: str, *, infer: bool = True, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    *,
+    infer: bool = True,
+    multi_line: bool = False,
+    quarantine: str | None = None,
 ) -> DataFrame:
     """CSV with a header. Missing-value tokens become NULL, then types are inferred.
 
     Dates stay text. ``multi_line`` accepts line breaks inside quotes, at the price of one
-    task per file. Rows shorter than the header are padded.
+    task per file. Rows shorter than the header are padded; longer ones are refused.
+
+    ``quarantine`` names a new folder that takes records longer than the header, and shorter ones whose quote is not
+    closed, in place of the refusal: a Parquet table of file, start of its block, reason and record. All others are
+    loaded. It needs another pass over the lines and does not go with ``multi_line``.
     """
+    if quarantine and multi_line:
+        raise ValueError("quarantine goes by lines; it needs multi_line=False")
     names = _header(spark, path)
     _same_headers(spark, path)
     width = len(names)
@@ -131,15 +170,11 @@ def read_csv(
         [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
         + [T.StructField(_SURPLUS, T.StringType())]
     )
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    options = {"header": True, "enforceSchema": True, "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
+    if quarantine:
+        raw = _without_bad_records(spark, path, width, options, quarantine)
+    else:
+        raw = spark.read.schema(schema).options(**options).csv(path)
     cells = raw.select(*(na_to_null(F.col(f"c{i}")).alias(f"c{i}") for i in range(width)), _SURPLUS)
     types = _infer(cells, width, path) if infer else ["string"] * width
     typed = [
@@ -156,8 +191,9 @@ def read_data(
     *,
     infer: bool = True,
     multi_line: bool = False,
+    quarantine: str | None = None,
 ) -> DataFrame:
-    """Load a table by its file suffix (or ``fmt``).
+    """Load a table by its file suffix (or ``fmt``). ``quarantine`` takes bad records of CSV files (see ``read_csv``).
 
     Raises FileNotFoundError for a missing path and DataLoadError for anything unreadable.
     """
@@ -167,7 +203,7 @@ def read_data(
     kind = format_of(path, fmt)
     try:
         if kind == "csv":
-            return read_csv(spark, path, infer=infer, multi_line=multi_line)
+            return read_csv(spark, path, infer=infer, multi_line=multi_line, quarantine=quarantine)
         return spark.read.parquet(path)
     except (PySparkException, Py4JJavaError) as error:
         raise DataLoadError(f"cannot read {path}: {error}") from error
