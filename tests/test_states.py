@@ -160,3 +160,15 @@ def test_a_cap_changes_the_fill(spark):
     model, exact = model_of(fit_state(rows)), washline.fit(rows)
     assert model.caps["c0"].high == pytest.approx(exact.caps["c0"].high, abs=5)  # quartiles off by one value each
     assert model.fills["c0"].value == pytest.approx(exact.fills["c0"].value, abs=1)
+
+
+def test_modes_of_many_different_texts(spark):
+    # 3,000 texts of equal frequency but one, and 20,000 texts of which one has two rows of a hundred.
+    rows = spark.range(30_000).selectExpr(
+        "id",
+        "concat('t', CASE WHEN id = 7 THEN 1234 ELSE id % 3000 END) AS few",
+        "concat('u', CASE WHEN id % 50 = 0 THEN 5 ELSE id % 20000 END) AS many",
+    )
+    thirds = [fit_state(rows.where(f"id % 3 = {i}")) for i in range(3)]
+    found = points(merge_states(reduce(DataFrame.unionByName, thirds)))
+    assert found["few", "text"]["mode"] == "t1234" and found["many", "text"]["mode"] == "u5"
