@@ -1,4 +1,5 @@
 import unicodedata
+from pathlib import Path
 
 import pytest
 from hypothesis import given
@@ -90,6 +91,23 @@ def test_only_non_ascii_columns_use_python(spark):
     assert "Python" not in plan
 
 
+def test_nfkc_holds_few_cells_as_text(spark):
+    """A batch of 60 MB, four bytes a character as Python text, stays bytes but for a piece at a time."""
+    psutil = pytest.importorskip("psutil")
+
+    def workers():
+        return [Path(f"/proc/{p.pid}") for p in psutil.Process().children(recursive=True) if "python" in p.name()]
+
+    for p in workers():
+        (p / "clear_refs").write_text("5")  # peaks begin anew
+    long = F.concat(F.repeat(F.lit("word "), 2000), F.lit("\ufb01\U0001f600"), F.col("id").cast("string"))
+    df = spark.range(6000, numPartitions=1).select(long.alias("v"), F.lit("\uff21").alias("w"), F.lit(None).cast("string").alias("x"))
+    done = clean_text_columns(df).select(F.count_if(F.col("v").contains("word fi\U0001f600") & (F.col("w") == "a") & F.col("x").isNull()))
+    assert done.first()[0] == 6000
+    peaks = [int((p / "status").read_text().split("VmHWM:")[1].split()[0]) // 1024 for p in workers()]
+    assert peaks and max(peaks) < 450
+
+
 @pytest.mark.parametrize("inline_limit", [0, 200])
 def test_categorical_mapping(spark, values, inline_limit):
     df = spark.createDataFrame(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 # Cells that stand for "missing" inside text columns.
@@ -22,12 +22,25 @@ _UNTIDY_SPACE = rf"[{WHITESPACE}&&[^ ]][{WHITESPACE}]*| [{WHITESPACE}]+"
 
 _NON_ASCII = r"[^\x00-\x7F]"
 
+# Of the cells of a batch, which are Arrow bytes, about this many at a time are Python's text.
+_PIECE_BYTES = 1024 * 1024
+
 
 def _nfkc(c: Column) -> Column:
-    # Defined inside, so tasks get the function itself and need not import this package.
-    @pandas_udf(StringType())
-    def normalized(cells: pd.Series) -> pd.Series:
-        return cells.str.normalize("NFKC")
+    piece_bytes = _PIECE_BYTES
+
+    # Defined inside, so tasks get the function itself and need not import this package. Functions of
+    # iterators would yield the pieces, but take a Python process for each column.
+    @arrow_udf(StringType())
+    def normalized(cells: pa.Array) -> pa.Array:
+        from unicodedata import normalize
+
+        rows = max(1, len(cells) * piece_bytes // max(1, cells.nbytes))
+        pieces = [
+            pa.array([t and normalize("NFKC", t) for t in cells.slice(i, rows).to_pylist()], pa.string())
+            for i in range(0, len(cells), rows)
+        ]
+        return pa.concat_arrays(pieces) if pieces else cells
 
     return normalized(c)
 
