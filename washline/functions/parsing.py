@@ -185,20 +185,52 @@ _FROM_TEXT = _let(
 )
 
 
-# Shapes of digits and separators only, with years far from the limits, each with the rule that reads
-# it; ``c`` is the trimmed cell. They are most of what tables hold, and as their rules bind nothing,
+# Shapes of digits and separators only, those with separators with years far from the limits, each with
+# the rule that reads it; ``c`` is the trimmed cell. They are most of what tables hold, and as their rules bind nothing,
 # they stay in generated code.
 _NEAR_YEAR = r"(?:1[7-9]|2[01])\d\d"
-_PLAIN_YEAR_FIRST = rf"^{_NEAR_YEAR}[-/.]\d{{1,2}}[-/.]\d{{1,2}}$"
-_PLAIN_YEAR_LAST = rf"^\d{{1,2}}[-/.]\d{{1,2}}[-/.]{_NEAR_YEAR}$"
-_PLAIN_STAMP = rf"^{_NEAR_YEAR}[-/.]\d{{1,2}}[-/.]\d{{1,2}} \d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?$"
-_PLAIN_DIGITS = rf"^{_NEAR_YEAR}\d{{4}}$"
+_PLAIN_YEAR_FIRST = rf"^{_NEAR_YEAR}[-/.]\d{{1,2}}[-/.]\d{{1,2}}\z"
+_PLAIN_YEAR_LAST = rf"^\d{{1,2}}[-/.]\d{{1,2}}[-/.]{_NEAR_YEAR}\z"
+_PLAIN_STAMP = rf"^{_NEAR_YEAR}[-/.]\d{{1,2}}[-/.]\d{{1,2}} \d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?\z"
+_PLAIN_DIGITS = r"^(?:\d{4}|\d{6}|\d{8})\z"
+# Numbers that are no date: all but years, digits with a month and a day in them, stamps, and a year and a
+# month with a dot. They start like a date, so without this look each would go through all the rules.
+_TWO_MONTH, _TWO_DAY, _FOUR_YEAR = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"(?:1[6-9]|2[0-2])\d\d"
+_NO_DATE = (
+    rf"^(?!(?:{_FOUR_YEAR}(?:{_TWO_MONTH}{_TWO_DAY})?|{_TWO_DAY}{_TWO_DAY}\d\d"
+    rf"|(?:3[2-9]|[4-9]\d){_TWO_MONTH}{_TWO_DAY}|\d{{12}}(?:\d\d)?|\d{{4}}\.\d{{1,2}}|\d{{1,2}}\.\d{{4}})\z)"
+    r"[0-9,]*+\.?[0-9,]*+\z"
+)
+
+
+def _century(year: str) -> str:
+    return f"CASE WHEN {year} >= '69' THEN '19' ELSE '20' END"
+
+
+def _digits_rule(c: str) -> str:
+    """Date of four (a year), six (month, day, year, or year first) or eight digits (year first)."""
+
+    def date(*parts: str) -> str:
+        return f"try_cast(concat_ws('-', {', '.join(parts)}) AS date)"
+
+    first, second, third = (f"substr({c}, {k}, 2)" for k in (1, 3, 5))
+    front, back = (f"concat({_century(y)}, {y})" for y in (first, third))
+    return f"""
+        try_cast(CASE length({c})
+            WHEN 8 THEN CASE WHEN {c} BETWEEN '16770922' AND '22620411'
+                             THEN {date(f"substr({c}, 1, 4)", f"substr({c}, 5, 2)", f"substr({c}, 7, 2)")} END
+            WHEN 6 THEN CASE WHEN {first} >= '32' THEN {date(front, second, third)}
+                             ELSE coalesce({date(back, first, second)}, {date(back, second, first)}) END
+            ELSE CASE WHEN {c} BETWEEN '1678' AND '2262' THEN try_cast({c} AS date) END
+        END AS timestamp_ntz)"""
 
 
 def _plain_rules(c: str, bare_digits: bool) -> list[tuple[str, str]]:
     dashed = f"translate({c}, '/.', '--')"
     year, first, second = (f"split_part({dashed}, '-', {k})" for k in (3, 1, 2))
     rules = [
+        (f"{c} RLIKE r'{_NO_DATE}' OR NOT {c} RLIKE '[0-9]'", "NULL"),
+        (f"{c} RLIKE r'{_PLAIN_DIGITS}'", _digits_rule(c) if bare_digits else "NULL"),
         (f"{c} RLIKE r'{_PLAIN_YEAR_FIRST}'", f"try_cast(try_cast({dashed} AS date) AS timestamp_ntz)"),
         (
             f"{c} RLIKE r'{_PLAIN_YEAR_LAST}'",
@@ -210,9 +242,6 @@ def _plain_rules(c: str, bare_digits: bool) -> list[tuple[str, str]]:
             f"try_cast(concat(translate(split_part({c}, ' ', 1), '/.', '--'), ' ', split_part({c}, ' ', 2)) AS timestamp_ntz)",
         ),
     ]
-    if bare_digits:
-        ymd = f"concat(substr({c}, 1, 4), '-', substr({c}, 5, 2), '-', substr({c}, 7, 2))"
-        rules.append((f"{c} RLIKE r'{_PLAIN_DIGITS}'", f"try_cast(try_cast({ymd} AS date) AS timestamp_ntz)"))
     return rules
 
 
@@ -270,6 +299,12 @@ _ORDINARY_WORD = r"(?i)(?=[a-z]{4})[a-z]{0,3}?[bdghjlmoquvwx]"
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))$"
 _INTEGER = r"^[+-]?[0-9]+$"
 
+# Without a digit only an infinity can be meant.
+_SOME_NUMBER = r"[0-9]|(?i:inf)"
+
+# Bare as they are. Nothing is bound for them, so they stay in generated code.
+_PLAIN_NUMBER = r"^[+-]?[0-9]+\.?[0-9]*\z"
+
 
 def _bare_number_sql(column: str, ignore_code_case: bool) -> str:
     bare = rf"""
@@ -279,11 +314,11 @@ def _bare_number_sql(column: str, ignore_code_case: bool) -> str:
     plain = rf"""
         CASE WHEN c RLIKE r'[^-+.,()0-9eE ]'
              THEN regexp_replace(c, r'{_currency_pattern(ignore_code_case)}', '') ELSE c END"""
-    # Without a digit only an infinity can be meant.
-    cell = f"""
-        CASE WHEN c RLIKE r'[0-9]|(?i:inf)' AND NOT c RLIKE r'{_ORDINARY_WORD}'
-             THEN {_let("plain", plain, bare)} END"""
-    return _let("c", quoted_name(column), cell)
+    cell = f"CASE WHEN NOT c RLIKE r'{_ORDINARY_WORD}' THEN {_let('plain', plain, bare)} END"
+    name = quoted_name(column)
+    return f"""
+        CASE WHEN {name} RLIKE r'{_PLAIN_NUMBER}' THEN {name}
+             WHEN {name} RLIKE r'{_SOME_NUMBER}' THEN {_let("c", name, cell)} END"""
 
 
 def bare_number_text(column: str, *, ignore_code_case: bool = True) -> Column:
@@ -297,7 +332,11 @@ def bare_number_text(column: str, *, ignore_code_case: bool = True) -> Column:
 def parse_number(column: str, *, ignore_code_case: bool = True) -> Column:
     """Double read from a text column, NULL where the text is no number."""
     number = f"CASE WHEN b RLIKE r'{_NUMBER}' THEN try_cast(b AS double) END"
-    return F.expr(_let("b", _bare_number_sql(column, ignore_code_case), number))
+    long = _let("b", _bare_number_sql(column, ignore_code_case), number)
+    name = quoted_name(column)
+    return F.expr(f"""
+        CASE WHEN {name} RLIKE r'{_PLAIN_NUMBER}' THEN try_cast({name} AS double)
+             WHEN {name} RLIKE r'{_SOME_NUMBER}' THEN {long} END""")
 
 
 def number_of(bare: Column) -> Column:
